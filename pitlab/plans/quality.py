@@ -72,7 +72,7 @@ def bar_quality(bars: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
         per_session.withColumn("gap", gap)
         .groupingSets([["symbol"], []], "symbol")
         .agg(
-            F.when(F.grouping("symbol") == 1, "total").otherwise("symbol").alias("level"),
+            F.when(F.grouping("symbol") == 1, "total").otherwise(F.col("symbol")).alias("level"),
             F.sum("n").alias("bar_count"),
             F.min("first_ts").alias("first_timestamp"),
             F.max("last_ts").alias("last_timestamp"),
@@ -117,7 +117,7 @@ def market_data_coverage(
     rows = rows.withColumn("download_status", status)
     cut_short = has & incomplete_range(F.col("first_date"), F.col("last_date"), day(start), day(end))
     return rows.rollup("symbol").agg(
-        F.when(F.grouping("symbol") == 1, "total").otherwise("symbol").alias("level"),
+        F.when(F.grouping("symbol") == 1, "total").otherwise(F.col("symbol")).alias("level"),
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
         F.sum("row_count").alias("row_count"),

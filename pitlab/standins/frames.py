@@ -64,6 +64,36 @@ class Standins:
             "volume",
         )
 
+    @cached_property
+    def raw_bars(self) -> DataFrame:
+        """Order lines as unchecked text bars, with every kind of defect.
+
+        Several lines of one supplier and day are duplicates; the source text orders them.
+        """
+        px = F.col("l_extendedprice").cast(CENTS)
+        up, down = px * F.lit("1.02").cast("decimal(3,2)"), px * F.lit("0.98").cast("decimal(3,2)")
+        crossed = F.col("l_tax") == 0.08
+        text = lambda c: c.cast("string")
+        sign = F.when((F.col("l_discount") == 0.1) & (F.col("l_tax") == 0.05), -1).otherwise(1)
+        stamp = F.date_format("l_shipdate", "yyyy-MM-dd'T'14:30:00")
+        return self.table("lineitem").select(
+            F.concat(F.lit(" "), F.lower(ticker("l_suppkey"))).alias("symbol"),
+            F.concat(stamp, F.when(F.col("l_linenumber") == 7, "").otherwise("Z")).alias("timestamp"),
+            text(px).alias("open"),
+            text(F.when(crossed, down).otherwise(up)).alias("high"),
+            text(F.when(crossed, up).otherwise(down)).alias("low"),
+            text(px).alias("close"),
+            F.when(F.col("l_discount") == 0, "")
+            .otherwise(text(px * (1 - F.col("l_discount").cast(T.DecimalType(4, 2)))))
+            .alias("adjusted_close"),
+            text(F.col("l_quantity").cast("long") * sign).alias("volume"),
+            F.concat_ws(
+                "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (px * 100).cast("long"), F.col("l_quantity").cast("long")
+            ).alias("source"),
+            F.col("l_orderkey").alias("row_number"),
+            F.col("l_returnflag").alias("feed"),
+        )
+
     @cached_property
     def calendar(self) -> DataFrame:
         """Sessions straight from the ship dates: no bar needs to be built for them."""

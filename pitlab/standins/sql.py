@@ -19,6 +19,22 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM lineitem) t
   GROUP BY l_suppkey, l_shipdate""",
     ),
+    "raw_bars": (
+        (),
+        """
+  SELECT *, CASE WHEN naive THEN 1 ELSE 0 END + CASE WHEN high < low THEN 1 ELSE 0 END + CASE WHEN high < open THEN 1 ELSE 0 END
+            + CASE WHEN high < close THEN 1 ELSE 0 END + CASE WHEN low > open THEN 1 ELSE 0 END + CASE WHEN low > close THEN 1 ELSE 0 END
+            + CASE WHEN volume < 0 THEN 1 ELSE 0 END AS n_issues
+  FROM (SELECT printf('S%06d', l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS session,
+         CAST(l_shipdate AS DATE) + INTERVAL '14 hours 30 minutes' AS ts, l_linenumber = 7 AS naive, px AS open, px AS close,
+         CASE WHEN l_tax = 0.08 THEN px * CAST(0.98 AS DECIMAL(3,2)) ELSE px * CAST(1.02 AS DECIMAL(3,2)) END AS high,
+         CASE WHEN l_tax = 0.08 THEN px * CAST(1.02 AS DECIMAL(3,2)) ELSE px * CAST(0.98 AS DECIMAL(3,2)) END AS low,
+         CASE WHEN l_discount <> 0 THEN px * (1 - CAST(l_discount AS DECIMAL(4,2))) END AS adjusted_close,
+         CAST(l_quantity AS BIGINT) * CASE WHEN l_discount = 0.1 AND l_tax = 0.05 THEN -1 ELSE 1 END AS volume,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(px * 100 AS BIGINT), CAST(l_quantity AS BIGINT)) AS source,
+         l_orderkey AS row_number, l_returnflag AS feed
+        FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS px FROM lineitem) l) r""",
+    ),
     "calendar": (
         (),
         """
