@@ -76,7 +76,8 @@ def _run(
     chunk: DataFrame, keys: list[str], step: Step, output: T.StructType, state: DataFrame | None = None
 ) -> DataFrame:
     """One round: fold each group's chunk; a last row per group carries its state."""
-    schema = T.StructType([*output.fields, T.StructField(_STATE, T.StringType())])
+    # The state row is NULL in every output column but the keys.
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in output] + [T.StructField(_STATE, T.StringType())])
     names = [f.name for f in output.fields]
 
     def fold(pdf: pd.DataFrame, before: dict) -> pd.DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlab.functions.dates import effective_end, valid_at
+from pitlab.functions.dates import effective_end
 
 
 def snapshots_to_intervals(snapshots: DataFrame) -> DataFrame:
@@ -58,20 +58,21 @@ def expand_to_dates(
     )
 
 
-def interval_lookup(
-    rows: DataFrame,
-    intervals: DataFrame,
-    keys: Sequence[tuple[str, str]],
-    at: str,
-    start: str,
-    end: str,
-    how: str = "left",
+def expand_to_sessions(
+    spans: DataFrame, calendar: DataFrame, start: str = "start_date", end: str = "end_date"
 ) -> DataFrame:
-    """Equi-join on ``keys`` (row column, interval column) with half-open containment of ``at``."""
-    left, right = rows.alias("r"), intervals.alias("i")
-    cond = [F.col(f"r.{a}") == F.col(f"i.{b}") for a, b in keys]
-    cond.append(valid_at(F.col(f"i.{start}"), F.col(f"i.{end}"), F.col(f"r.{at}")))
-    return left.join(right, cond, how)
+    """Every (span, session) with start <= session < end, for spans that start and end on sessions.
+
+    Both ends become calendar positions through a broadcast calendar, and the span opens
+    into the positions between them: no row is made that the result does not hold.
+    """
+    days = calendar.select("session", "idx")
+    beyond = days.agg(F.max("idx") + 1).scalar()
+    first = F.broadcast(days.select(F.col("session").alias(start), F.col("idx").alias("_i0")))
+    last = F.broadcast(days.select(F.col("session").alias(end), F.col("idx").alias("_i1")))
+    placed = spans.join(first, start).join(last, end, "left")
+    opened = placed.withColumn("idx", F.explode(F.sequence(F.col("_i0"), F.coalesce("_i1", beyond) - 1)))
+    return opened.join(F.broadcast(days), "idx").drop("idx", "_i0", "_i1")
 
 
 def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
@@ -102,7 +103,7 @@ def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: s
     at_start = swept.select(*keys, F.col("_d").alias(start), "_ended")
     counted = sound.join(at_stop, [*keys, "_stop"], "left").join(at_start, [*keys, start], "left")
     overlaps = F.when(F.col("impossible"), F.lit(0)).otherwise(F.col("_started") - F.col("_ended") - 1)
-    return counted.select(*keys, start, end, "copies", overlaps.cast("long").alias("overlaps"), "impossible")
+    return counted.select(*keys, start, end, "copies", overlaps.cast("long").alias("overlap_count"), "impossible")
 
 
 def latest_end(end: str) -> Column:

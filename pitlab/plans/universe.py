@@ -163,7 +163,7 @@ def validate_memberships(memberships: DataFrame) -> DataFrame:
 def persistable(memberships: DataFrame) -> tuple[DataFrame, bool]:
     """(distinct intervals, may they be stored?). Overlaps and impossible ranges block; copies do not."""
     checked = validate_memberships(memberships)
-    blocking = not checked.filter(F.col("impossible") | (F.col("overlaps") > 0)).isEmpty()
+    blocking = not checked.filter(F.col("impossible") | (F.col("overlap_count") > 0)).isEmpty()
     return memberships.dropDuplicates(["symbol", "start_date", "end_date"]), not blocking
 
 

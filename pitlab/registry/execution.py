@@ -1 +1,446 @@
-QUERIES = {}
+"""Targets, orders, fills, positions and performance."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from pitlab.params import LedgerParams
+from pitlab.plans import ledger as l
+from pitlab.plans import performance as perf
+from pitlab.plans import portfolio as p
+from pitlab.plans.quality import last_bars
+from pitlab.plans.reports import equity_table
+from pitlab.registry import Query
+from pitlab.registry.bars import doubles
+from pitlab.registry.signals import PARAMS, signal_ctes, signals
+from pitlab.sources import tables
+from pitlab.standins.frames import Standins
+from pitlab.standins.sql import with_tables as T
+
+COSTS = LedgerParams(
+    initial_cash=Decimal("2000000"), commission_rate=Decimal("0.0005"), slippage_bps=Decimal("10"), min_trade_value=Decimal("50000")
+)
+
+
+def r(c: str, digits: int = 4) -> Column:
+    return F.round(F.col(c), digits).cast("double").alias(c)
+
+
+def _targets(s: Standins) -> DataFrame:
+    picked = signals(s).select("as_of", "symbol", "rank")
+    return p.equal_weight_targets(picked)
+
+
+def _prices(s: Standins) -> DataFrame:
+    """Open of each name's last bar, if it is at most two weeks older than the last session."""
+    recent = s.bars.filter(F.col("session") >= F.date_sub(s.calendar.agg(F.max("session")).scalar(), 14))
+    return recent.groupBy("symbol").agg(F.max_by("open", "session").alias("price"))
+
+
+def _wanted(s: Standins) -> DataFrame:
+    return p.equal_weight_targets(s.wanted, ("portfolio_id",))
+
+
+def _deltas(s: Standins) -> DataFrame:
+    return p.order_deltas(s.holdings, _wanted(s), _prices(s), s.accounts, COSTS)
+
+
+def _orders(s: Standins) -> DataFrame:
+    return p.affordable_orders(_deltas(s), s.accounts, COSTS)
+
+
+def _sequenced(s: Standins) -> DataFrame:
+    numbered = p.sequence_orders(_deltas(s), F.lit("2001-11-05").cast("date"))
+    return numbered.select("portfolio_id", "position_key", "side", "sequence", "client_order_id")
+
+
+def ledger(s: Standins) -> DataFrame:
+    return l.replay_ledger(s.orders, COSTS)
+
+
+def _nav(s: Standins, book: DataFrame) -> tuple[DataFrame, DataFrame]:
+    marked = l.mark_positions(l.position_history(book), s.bars, s.calendar)
+    return marked, l.nav(marked, l.cash_history(book), s.calendar)
+
+
+def _curve(s: Standins) -> DataFrame:
+    return perf.equity_curve(_nav(s, ledger(s))[1], COSTS.initial_cash)
+
+
+def _metrics(s: Standins) -> DataFrame:
+    m = perf.performance_metrics(_curve(s), COSTS.initial_cash)
+    names = ("total_return", "annualized_return", "volatility", "sharpe_ratio", "max_drawdown")
+    return m.select("portfolio_id", "sessions", r("final_equity", 2), *[r(c, 6) for c in names])
+
+
+def _marks(s: Standins) -> DataFrame:
+    marked = l.mark_positions(l.position_history(ledger(s)), s.bars, s.calendar)
+    return marked.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("position_days"), F.count_if("valued").alias("valued"), F.count_if("held_price").alias("held")
+    )
+
+
+def _cut_bars(s: Standins) -> DataFrame:
+    return s.bars.filter((F.col("session") < "2001-09-15") | ~F.col("symbol").rlike("[02]$"))
+
+
+def _exits(s: Standins) -> DataFrame:
+    exits = l.terminal_exits(s.holdings, last_bars(_cut_bars(s)), s.calendar.select("session"), s.securities, s.tickers)
+    return doubles(exits.drop("no_slippage"))
+
+
+def _actions(s: Standins) -> DataFrame:
+    rows = s.holdings.select(
+        "portfolio_id", "position_key", "symbol", F.col("quantity").cast("decimal(28,10)").alias("quantity"),
+        F.col("market_price").cast("decimal(28,10)").alias("average_price"),
+        F.col("market_price").cast("decimal(28,10)").alias("market_price"), F.lit(0).cast("decimal(28,10)").alias("cash"),
+    )
+    applied = l.apply_actions(rows, s.actions)
+    return applied.select(
+        "portfolio_id", "position_key", "effective_date", "action_type", "application", "symbol",
+        r("quantity"), r("average_price"), r("cash"),
+    )
+
+
+def _status_log(s: Standins) -> DataFrame:
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "signup", "CREATED").when(kind == "view", "VALIDATED").when(kind == "click", "SUBMITTED")
+        .when(kind == "purchase", "FILLED").otherwise("REJECTED")
+    )
+    return s.table("events").select(F.concat(F.lit("o-"), "user_id").alias("client_order_id"), F.col("event_id").alias("seq"), status.alias("status"))
+
+
+_LOG = {
+    "log": """SELECT 'o-' || user_id AS client_order_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'CREATED' WHEN 'view' THEN 'VALIDATED'
+              WHEN 'click' THEN 'SUBMITTED' WHEN 'purchase' THEN 'FILLED' ELSE 'REJECTED' END AS status FROM events""",
+    "last": "SELECT client_order_id, MAX(seq) AS seq, arg_max(status, seq) AS status FROM log GROUP BY client_order_id",
+}
+
+_TARGETS = {
+    **signal_ctes(PARAMS),
+    "targets": "SELECT as_of, symbol, rank, CAST(1.0 / COUNT(*) OVER (PARTITION BY as_of) AS DOUBLE) AS weight FROM signals",
+}
+
+_DELTAS = {
+    "prices": """SELECT symbol, arg_max(open, session) AS price FROM bars WHERE session >= (SELECT MAX(session) FROM bars) - 14 GROUP BY symbol""",
+    "equity": """
+  SELECT a.portfolio_id, a.cash, a.cash + COALESCE(SUM(CASE WHEN h.valued THEN h.quantity * h.market_price END), 0) AS equity
+  FROM accounts a LEFT JOIN holdings h USING (portfolio_id) GROUP BY a.portfolio_id, a.cash""",
+    "booked": """
+  SELECT COALESCE(h.portfolio_id, w.portfolio_id) AS portfolio_id, COALESCE(h.position_key, w.position_key) AS position_key, COALESCE(w.symbol, h.symbol) AS symbol,
+         CAST(COALESCE(h.quantity, 0) AS BIGINT) AS held, CASE WHEN h.valued THEN h.quantity * h.market_price ELSE 0 END AS held_value, COALESCE(w.weight, 0.0) AS weight
+  FROM holdings h FULL OUTER JOIN (SELECT *, CAST(1 AS DOUBLE) / COUNT(*) OVER (PARTITION BY portfolio_id) AS weight FROM wanted) w
+       ON h.portfolio_id = w.portfolio_id AND h.position_key = w.position_key""",
+    "sized": """
+  SELECT b.*, p.price, CAST(e.equity AS DOUBLE) * b.weight AS target_value,
+         CAST(p.price AS DOUBLE) * CASE WHEN CAST(e.equity AS DOUBLE) * b.weight >= b.held_value THEN 1.001 ELSE 0.999 END AS px
+  FROM booked b JOIN equity e ON e.portfolio_id = b.portfolio_id JOIN prices p ON p.symbol = b.symbol WHERE p.price > 0""",
+    "deltas": """
+  SELECT portfolio_id, position_key, symbol, price, held, CAST(trunc(target_value / px) AS BIGINT) AS target_shares,
+         CASE WHEN trunc(target_value / px) - held < 0 THEN 'SELL' ELSE 'BUY' END AS side,
+         CAST(CASE WHEN trunc(target_value / px) - held < 0 THEN LEAST(held - trunc(target_value / px), held) ELSE trunc(target_value / px) - held END AS BIGINT) AS quantity,
+         CAST(CASE WHEN trunc(target_value / px) - held < 0 THEN price * CAST(0.999 AS DECIMAL(4,3)) ELSE price * CAST(1.001 AS DECIMAL(4,3)) END AS DECIMAL(28,6)) AS fill_price
+  FROM sized WHERE ABS(target_value - held_value) >= 50000""",
+    "wants": "SELECT * FROM deltas WHERE quantity > 0",
+}
+_AFFORD = {
+    **_DELTAS,
+    "buys": "SELECT *, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY position_key) AS k FROM wants WHERE side = 'BUY'",
+    "walk": """
+  SELECT a.portfolio_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS position_key, CAST(0 AS BIGINT) AS got,
+         CAST(a.cash + COALESCE((SELECT SUM(quantity * fill_price * CAST(0.9995 AS DECIMAL(5,4))) FROM wants w WHERE w.side = 'SELL' AND w.portfolio_id = a.portfolio_id), 0) AS DECIMAL(28,10)) AS cash
+  FROM accounts a
+  UNION ALL
+  SELECT portfolio_id, k, position_key, CASE WHEN ok THEN n ELSE 0 END, CAST(cash - CASE WHEN ok THEN n * fill_price * CAST(1.0005 AS DECIMAL(5,4)) ELSE 0 END AS DECIMAL(28,10))
+  FROM (SELECT *, n > 0 AND n * fill_price >= 50000 AS ok
+        FROM (SELECT w.portfolio_id, b.k, b.position_key, w.cash, b.fill_price,
+                     LEAST(b.quantity, CASE WHEN w.cash > 0 THEN CAST(floor(CAST(w.cash AS DOUBLE) / (CAST(b.fill_price AS DOUBLE) * 1.0005)) AS BIGINT) ELSE 0 END) AS n
+              FROM walk w JOIN buys b ON b.portfolio_id = w.portfolio_id AND b.k = w.k + 1) q) z""",
+    "placed": """
+  SELECT portfolio_id, position_key, side, quantity FROM wants WHERE side = 'SELL'
+  UNION ALL SELECT portfolio_id, position_key, 'BUY', got FROM walk WHERE got > 0""",
+}
+
+_LEDGER = {
+    "steps": """
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY session, order_id) AS k, CAST(right(position_key, 1) AS INTEGER) + 1 AS ix,
+         CAST(market_price * CASE WHEN side = 'BUY' THEN CAST(1.001 AS DECIMAL(4,3)) ELSE CAST(0.999 AS DECIMAL(4,3)) END AS DECIMAL(18,5)) AS px
+  FROM trades""",
+    "walk": """
+  SELECT portfolio_id, CAST(0 AS BIGINT) AS k, CAST(2000000 AS DECIMAL(28,10)) AS cash, CAST([0,0,0,0,0,0,0,0,0,0] AS BIGINT[]) AS q,
+         CAST([0,0,0,0,0,0,0,0,0,0] AS DOUBLE[]) AS a, CAST(NULL AS VARCHAR) AS order_id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS outcome, 0 AS ix
+  FROM (SELECT DISTINCT portfolio_id FROM trades) d
+  UNION ALL
+  SELECT portfolio_id, k, CAST(CASE WHEN reason IS NOT NULL THEN cash WHEN side = 'BUY' THEN cash - v - fee ELSE cash + v - fee END AS DECIMAL(28,10)),
+         CASE WHEN reason IS NOT NULL THEN q ELSE list_transform(q, lambda x, i: CASE WHEN i = ix THEN x + CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END ELSE x END) END,
+         CASE WHEN reason IS NOT NULL OR side = 'SELL' THEN a
+              ELSE list_transform(a, lambda x, i: CASE WHEN i = ix THEN (q[ix] * x + CAST(v AS DOUBLE)) / (q[ix] + quantity) ELSE x END) END,
+         order_id, reason, CASE WHEN reason IS NULL AND side = 'SELL' THEN CASE WHEN CAST(px AS DOUBLE) > a[ix] THEN 'WIN' WHEN CAST(px AS DOUBLE) < a[ix] THEN 'LOSS' ELSE 'FLAT' END END, ix
+  FROM (SELECT *, CASE WHEN px IS NULL OR px <= 0 THEN 'no price' WHEN side = 'BUY' AND v + fee > cash THEN 'insufficient cash'
+                       WHEN side = 'SELL' AND quantity > q[ix] THEN 'insufficient position' END AS reason
+        FROM (SELECT w.portfolio_id, t.k, w.cash, w.q, w.a, t.order_id, t.side, t.quantity, t.px, t.ix, t.quantity * t.px AS v,
+                     CAST(t.quantity * t.px * CAST(0.0005 AS DECIMAL(4,4)) AS DECIMAL(28,10)) AS fee
+              FROM walk w JOIN steps t ON t.portfolio_id = w.portfolio_id AND t.k = w.k + 1) x) y""",
+    "book": """
+  SELECT w.portfolio_id, w.order_id, t.position_key, t.session, t.side, t.quantity, w.reason, w.cash, w.q[w.ix] AS pos, CASE WHEN w.q[w.ix] > 0 THEN w.a[w.ix] ELSE 0 END AS avg_px, w.outcome,
+         CASE WHEN w.reason IS NULL THEN t.px END AS px, t.market_price, t.k
+  FROM walk w JOIN steps t ON t.portfolio_id = w.portfolio_id AND t.k = w.k""",
+}
+_NAV = {
+    **_LEDGER,
+    "spans": """
+  SELECT portfolio_id, position_key, qty, session AS s0, LEAD(session) OVER (PARTITION BY portfolio_id, position_key ORDER BY session) AS s1
+  FROM (SELECT portfolio_id, position_key, session, SUM(SUM(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END)) OVER (PARTITION BY portfolio_id, position_key ORDER BY session) AS qty
+        FROM book WHERE reason IS NULL GROUP BY portfolio_id, position_key, session) x""",
+    "days": """
+  SELECT p.portfolio_id, p.position_key, p.qty, c.session FROM spans p JOIN calendar c ON c.session >= p.s0 AND (p.s1 IS NULL OR c.session < p.s1) WHERE p.qty <> 0""",
+    "marks": """
+  SELECT g.symbol, c.session, b.close, b.session AS bar FROM (SELECT symbol, MAX(session) AS last FROM bars GROUP BY symbol) g JOIN calendar c ON c.session <= g.last
+  ASOF JOIN bars b ON b.symbol = g.symbol AND c.session >= b.session""",
+    "valued": """SELECT d.*, m.close, m.bar < d.session AS held FROM days d LEFT JOIN marks m ON m.symbol = d.position_key AND m.session = d.session""",
+    "cash_spans": """
+  SELECT portfolio_id, session AS s0, LEAD(session) OVER (PARTITION BY portfolio_id ORDER BY session) AS s1, arg_max(cash, k) AS cash FROM book GROUP BY portfolio_id, session""",
+    "nav": """
+  SELECT c.portfolio_id, d.session, c.cash, c.cash + COALESCE(v.worth, 0) AS equity
+  FROM cash_spans c JOIN calendar d ON d.session >= c.s0 AND (c.s1 IS NULL OR d.session < c.s1)
+  LEFT JOIN (SELECT portfolio_id, session, SUM(qty * close) AS worth FROM valued GROUP BY portfolio_id, session) v ON v.portfolio_id = c.portfolio_id AND v.session = d.session""",
+    "curve": """
+  SELECT portfolio_id, session, CAST(equity AS DOUBLE) AS equity, ROW_NUMBER() OVER w AS k,
+         CASE WHEN COALESCE(LAG(equity) OVER w, 0) = 0 THEN 0.0 ELSE CAST(equity AS DOUBLE) / CAST(LAG(equity) OVER w AS DOUBLE) - 1 END AS ret,
+         CAST(equity AS DOUBLE) / GREATEST(2000000.0, CAST(MAX(equity) OVER w AS DOUBLE)) - 1 AS dd
+  FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY session)""",
+}
+
+
+def _returns(s: Standins) -> DataFrame:
+    rows = p.period_returns(_targets(s), s.rebalances, s.bars, cost_bps=15.0)
+    return rows.select("as_of", "buy_at", "sell_at", *[r(c, 8) for c in ("gross", "turnover", "net", "growth")])
+
+
+def _snapshots(s: Standins) -> DataFrame:
+    """NAV snapshots: a customer's order total on each order date."""
+    return s.table("orders").groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("o_orderdate").cast("date").alias("session")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("nav")
+    )
+
+
+QUERIES: dict[str, Query] = {
+    "equal_weight_targets": Query(
+        lambda s: doubles(_targets(s)).select("as_of", "symbol", "rank", r("weight", 9)),
+        T("bars universe", "SELECT as_of, symbol, rank, ROUND(weight, 9) AS weight FROM targets", _TARGETS),
+        "L01 D9",
+    ),
+    "cash_weights": Query(
+        lambda s: p.cash_weights(s.rebalances, _targets(s)).select("as_of", r("invested", 6), "cash_weight", "balanced"),
+        T(
+            "bars universe rebalances",
+            """SELECT r.as_of, ROUND(COALESCE(SUM(t.weight), 0), 6) AS invested, CASE WHEN COUNT(t.symbol) > 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cash_weight, TRUE AS balanced
+               FROM rebalances r LEFT JOIN targets t ON t.as_of = r.as_of GROUP BY r.as_of""",
+            _TARGETS,
+        ),
+        "D9 L01",
+    ),
+    "next_session_execution": Query(
+        lambda s: p.next_session_execution(signals(s), s.rebalances).select("as_of", "symbol", "execution_session", "executed"),
+        T(
+            "bars universe rebalances",
+            "SELECT d.as_of, d.symbol, r.execution_session, r.execution_session IS NOT NULL AS executed FROM signals d JOIN rebalances r ON r.as_of = d.as_of",
+            signal_ctes(PARAMS),
+        ),
+        "J30 W13",
+    ),
+    "order_deltas": Query(
+        lambda s: _deltas(s).select("portfolio_id", "position_key", "symbol", "side", "quantity", r("fill_price"), "target_shares", "held"),
+        T("holdings wanted accounts bars", "SELECT portfolio_id, position_key, symbol, side, quantity, CAST(ROUND(fill_price, 4) AS DOUBLE) AS fill_price, target_shares, held FROM wants", _DELTAS),
+        "L03 J14 J15 P20 A14",
+    ),
+    "affordable_orders": Query(
+        lambda s: _orders(s).select("portfolio_id", "position_key", "side", "quantity"),
+        T("holdings wanted accounts bars", "SELECT * FROM placed", _AFFORD),
+        "L04",
+    ),
+    "sequenced_orders": Query(
+        _sequenced,
+        T(
+            "holdings wanted accounts bars",
+            """SELECT portfolio_id, position_key, side, sequence, '2001-11-05-' || lpad(CAST(sequence AS VARCHAR), 4, '0') AS client_order_id
+               FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY portfolio_id ORDER BY side DESC, position_key) AS sequence FROM wants) q""",
+            _DELTAS,
+        ),
+        "T05",
+    ),
+    "missing_prices": Query(
+        lambda s: p.missing_prices(s.holdings, s.wanted, _prices(s)),
+        T("holdings wanted bars", "SELECT symbol FROM holdings WHERE symbol NOT IN (SELECT symbol FROM prices) UNION SELECT symbol FROM wanted WHERE symbol NOT IN (SELECT symbol FROM prices)", {"prices": _DELTAS["prices"]}),
+        "J15",
+    ),
+    "short_sales": Query(
+        lambda s: p.no_short(
+            s.orders.withColumn("position_key", F.concat(F.lit("security:"), "position_key")), s.holdings.withColumn("quantity", F.col("quantity") - 5)
+        ).groupBy("portfolio_id", "accepted").agg(F.count(F.lit(1)).alias("orders")),
+        T(
+            "trades holdings",
+            """SELECT t.portfolio_id, NOT (t.side = 'SELL' AND t.quantity > COALESCE(h.quantity - 5, 0)) AS accepted, COUNT(*) AS orders
+               FROM trades t LEFT JOIN holdings h ON h.portfolio_id = t.portfolio_id AND h.symbol = t.position_key GROUP BY 1, 2""",
+        ),
+        "P20",
+    ),
+    "priced_fills": Query(
+        lambda s: l.price_fills(s.orders, COSTS).groupBy("portfolio_id", "side").agg(
+            F.count("fill_price").alias("fills"), F.sum("commission").alias("commission"), F.sum("slippage").alias("slippage")
+        ).select("portfolio_id", "side", "fills", r("commission"), r("slippage")),
+        T(
+            "trades",
+            """SELECT portfolio_id, side, COUNT(market_price) AS fills,
+                      CAST(ROUND(SUM(CASE WHEN market_price IS NULL THEN 0 ELSE quantity * market_price * CASE WHEN side = 'BUY' THEN CAST(1.001 AS DECIMAL(4,3)) ELSE CAST(0.999 AS DECIMAL(4,3)) END * CAST(0.0005 AS DECIMAL(4,4)) END), 4) AS DOUBLE) AS commission,
+                      CAST(ROUND(SUM(quantity * market_price * CAST(0.001 AS DECIMAL(4,3))), 4) AS DOUBLE) AS slippage
+               FROM trades GROUP BY portfolio_id, side""",
+        ),
+        "L02",
+    ),
+    "ledger": Query(
+        lambda s: ledger(s).select(
+            "portfolio_id", "order_id", "status", "reject_reason", r("fill_price"), r("cash"), "position_quantity", r("average_price", 3), "outcome"
+        ),
+        T(
+            "trades",
+            """SELECT portfolio_id, order_id, CASE WHEN reason IS NULL THEN 'FILLED' ELSE 'REJECTED' END AS status, reason AS reject_reason, CAST(ROUND(px, 4) AS DOUBLE) AS fill_price,
+                      CAST(ROUND(cash, 4) AS DOUBLE) AS cash, pos AS position_quantity, ROUND(avg_px, 3) AS average_price, outcome FROM book""",
+            _LEDGER,
+        ),
+        "L05 L06 D10",
+    ),
+    "trade_statistics": Query(
+        lambda s: l.trade_statistics(ledger(s)).select(
+            "portfolio_id", "fills", "rejected", r("total_commission"), r("total_slippage"), "winning_trades", "losing_trades"
+        ),
+        T(
+            "trades",
+            """SELECT portfolio_id, COUNT(px) AS fills, COUNT(*) - COUNT(px) AS rejected, CAST(ROUND(COALESCE(SUM(quantity * px * CAST(0.0005 AS DECIMAL(4,4))), 0), 4) AS DOUBLE) AS total_commission,
+                      CAST(ROUND(COALESCE(SUM(ABS(px - market_price) * quantity), 0), 4) AS DOUBLE) AS total_slippage, COUNT(*) FILTER (WHERE outcome = 'WIN') AS winning_trades,
+                      COUNT(*) FILTER (WHERE outcome = 'LOSS') AS losing_trades FROM book GROUP BY portfolio_id""",
+            _LEDGER,
+        ),
+        "A13",
+    ),
+    "position_marks": Query(
+        _marks,
+        T("trades calendar bars", "SELECT position_key AS symbol, COUNT(*) AS position_days, COUNT(close) AS valued, COUNT(*) FILTER (WHERE held) AS held FROM valued GROUP BY position_key", _NAV),
+        "J18 L08",
+    ),
+    "performance_metrics": Query(
+        _metrics,
+        T(
+            "trades calendar bars",
+            """SELECT portfolio_id, sessions, ROUND(fe, 2) AS final_equity, ROUND(fe / 2000000 - 1, 6) AS total_return,
+                      ROUND(CASE WHEN days > 0 THEN pow(fe / 2000000, 365.25 / days) - 1 ELSE 0 END, 6) AS annualized_return,
+                      ROUND(CASE WHEN n < 2 OR sd = 0 THEN 0 ELSE sd * sqrt(252) END, 6) AS volatility, ROUND(CASE WHEN n < 2 OR sd = 0 THEN 0 ELSE mean / sd * sqrt(252) END, 6) AS sharpe_ratio,
+                      ROUND(dd, 6) AS max_drawdown
+               FROM (SELECT portfolio_id, COUNT(*) AS sessions, arg_max(equity, session) AS fe, date_diff('day', MIN(session), MAX(session)) AS days, stddev_samp(ret) FILTER (WHERE k > 1) AS sd,
+                            AVG(ret) FILTER (WHERE k > 1) AS mean, COUNT(*) FILTER (WHERE k > 1) AS n, MIN(dd) AS dd FROM curve GROUP BY portfolio_id) q""",
+            _NAV,
+        ),
+        "W08 A11 A14 L08 D11",
+    ),
+    "equity_by_session": Query(
+        lambda s: equity_table(_curve(s)).groupBy("date").agg(
+            F.count(F.lit(1)).alias("portfolios"), F.sum("equity").alias("equity"), F.min("drawdown_pct").alias("worst_drawdown_pct")
+        ).select("date", "portfolios", r("equity", 1), r("worst_drawdown_pct", 6)),
+        T("trades calendar bars", "SELECT session AS date, COUNT(*) AS portfolios, ROUND(SUM(equity), 1) AS equity, ROUND(MIN(dd) * 100, 6) AS worst_drawdown_pct FROM curve GROUP BY session", _NAV),
+        "P23 W08 S18",
+    ),
+    "terminal_exits": Query(
+        _exits,
+        T(
+            "holdings bars calendar",
+            """SELECT h.portfolio_id, strftime(c.next_session, '%Y-%m-%d') || '-TERM-' || h.symbol AS order_id, h.symbol, h.position_key, c.next_session AS session, 'SELL' AS side,
+                      CAST(h.quantity AS BIGINT) AS quantity, CAST(l.px AS DOUBLE) AS market_price
+               FROM holdings h JOIN (SELECT symbol, MAX(session) AS last, arg_max(close, session) AS px FROM bars WHERE session < DATE '2001-09-15' AND symbol LIKE '%2' GROUP BY symbol) l ON l.symbol = h.symbol
+               JOIN calendar c ON c.session = l.last WHERE c.next_session IS NOT NULL AND h.quantity > 0""",
+        ),
+        "L07 J13",
+    ),
+    "corporate_actions": Query(
+        _actions,
+        T(
+            "holdings",
+            """SELECT h.portfolio_id, a.position_key, a.effective_date, a.action_type, CASE WHEN a.action_type IN ('SHARE_CONVERSION', 'CASH_ACQUISITION') THEN 'UNRESOLVED' ELSE 'APPLIED' END AS application,
+                      CASE WHEN a.renamed > 0 THEN a.position_key || '-new' ELSE h.symbol END AS symbol, ROUND(CAST(h.quantity AS DOUBLE) * a.scale, 4) AS quantity,
+                      ROUND(CAST(h.market_price AS DOUBLE) / a.scale, 4) AS average_price, ROUND(CAST(h.quantity AS DOUBLE) * a.paid, 4) AS cash
+               FROM holdings h JOIN (
+                 SELECT *, SUM(CASE WHEN action_type = 'CASH_DIVIDEND' THEN 1.25 * scale ELSE 0 END) OVER (PARTITION BY position_key ORDER BY effective_date, action_type) AS paid
+                 FROM (SELECT *, pow(2, SUM(CASE action_type WHEN 'SPLIT' THEN 1 WHEN 'REVERSE_SPLIT' THEN -1 ELSE 0 END) OVER w) AS scale, COUNT(*) FILTER (WHERE action_type = 'RENAME') OVER w AS renamed
+                       FROM (SELECT DISTINCT 'security:' || printf('S%06d', l_suppkey % 10) AS position_key, CAST(date_trunc('year', l_shipdate) AS DATE) AS effective_date,
+                                    CASE p_type WHEN 'ECONOMY' THEN 'SPLIT' WHEN 'SMALL' THEN 'CASH_DIVIDEND' WHEN 'LARGE' THEN 'REVERSE_SPLIT' WHEN 'MEDIUM' THEN 'RENAME'
+                                         WHEN 'PROMO' THEN 'SHARE_CONVERSION' ELSE 'CASH_ACQUISITION' END AS action_type
+                             FROM lineitem JOIN part ON l_partkey = p_partkey) d WINDOW w AS (PARTITION BY position_key ORDER BY effective_date, action_type)) e) a ON a.position_key = h.position_key""",
+        ),
+        "L09 D12",
+    ),
+    "benchmark_returns": Query(
+        lambda s: perf.benchmark_returns(s.bars, s.calendar).select("symbol", "closes", r("buy_hold_return", 9)),
+        T("price_windows", "SELECT symbol, bars AS closes, CASE WHEN bars >= 2 THEN ROUND(CAST(last_close AS DOUBLE) / CAST(first_close AS DOUBLE) - 1, 9) END AS buy_hold_return FROM price_windows"),
+        "A12",
+    ),
+    "period_returns": Query(
+        _returns,
+        T(
+            "bars universe rebalances",
+            """SELECT as_of, buy_at, sell_at, ROUND(gross, 8) AS gross, ROUND(turnover, 8) AS turnover, ROUND(net, 8) AS net, ROUND(exp(SUM(ln(1 + net)) OVER (ORDER BY as_of)), 8) AS growth
+               FROM (SELECT x.as_of, x.buy_at, x.sell_at, COALESCE(g.gross, 0) AS gross, COALESCE(v.turnover, 0) AS turnover, COALESCE(g.gross, 0) - COALESCE(v.turnover, 0) * 0.0015 AS net
+                     FROM per x
+                     LEFT JOIN (SELECT t.as_of, SUM(t.weight * COALESCE(CAST(z.open AS DOUBLE) / CAST(a.open AS DOUBLE) - 1, 0)) AS gross FROM targets t JOIN per q ON q.as_of = t.as_of
+                                LEFT JOIN bars a ON a.symbol = t.symbol AND a.session = q.buy_at LEFT JOIN bars z ON z.symbol = t.symbol AND z.session = q.sell_at GROUP BY t.as_of) g ON g.as_of = x.as_of
+                     LEFT JOIN (SELECT COALESCE(a.k, b.k + 1) AS k, SUM(ABS(COALESCE(a.weight, 0) - COALESCE(b.weight, 0))) AS turnover
+                                FROM (SELECT q.k, t.* FROM targets t JOIN per q USING (as_of)) a FULL OUTER JOIN (SELECT q.k, t.* FROM targets t JOIN per q USING (as_of)) b
+                                     ON b.symbol = a.symbol AND b.k = a.k - 1 GROUP BY 1) v ON v.k = x.k
+                     WHERE x.sell_at IS NOT NULL) y""",
+            {
+                **_TARGETS,
+                "per": """SELECT as_of, execution_session AS buy_at, LEAD(execution_session) OVER (ORDER BY as_of) AS sell_at, ROW_NUMBER() OVER (ORDER BY as_of) AS k
+                          FROM rebalances WHERE execution_session IS NOT NULL""",
+            },
+        ),
+        "L10",
+    ),
+    "open_orders": Query(
+        lambda s: tables.open_orders(_status_log(s)),
+        T("", "SELECT client_order_id, seq, status FROM last WHERE status IN ('CREATED', 'VALIDATED', 'SUBMITTED')", _LOG),
+        "S16 L12",
+    ),
+    "order_status": Query(
+        lambda s: tables.status_of(s.table("customer").select(F.concat(F.lit("o-"), "c_custkey").alias("client_order_id")), _status_log(s)),
+        T("", "SELECT 'o-' || c_custkey AS client_order_id, COALESCE(l.status, 'FAILED') AS status FROM customer LEFT JOIN last l ON l.client_order_id = 'o-' || c_custkey", _LOG),
+        "L12 S16",
+    ),
+    "cancelled_orders": Query(
+        lambda s: tables.cancel(_status_log(s), s.table("customer").filter(F.col("c_acctbal") > 0).select(F.concat(F.lit("o-"), "c_custkey").alias("client_order_id"))),
+        T("", "SELECT client_order_id, seq + 1 AS seq, 'CANCELLED' AS status FROM last WHERE status IN ('CREATED', 'VALIDATED', 'SUBMITTED') AND client_order_id IN (SELECT 'o-' || c_custkey FROM customer WHERE c_acctbal > 0)", _LOG),
+        "L12",
+    ),
+    "latest_snapshots": Query(
+        lambda s: doubles(tables.latest_snapshot(_snapshots(s))),
+        """SELECT portfolio_id, session, CAST(nav AS DOUBLE) AS nav FROM (
+             SELECT o_custkey AS portfolio_id, CAST(o_orderdate AS DATE) AS session, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS nav,
+                    ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE) DESC) AS k FROM orders GROUP BY 1, 2) q WHERE k = 1""",
+        "S17",
+    ),
+    "latest_signals": Query(
+        lambda s: tables.latest_signals(signals(s)),
+        T("bars universe", "SELECT as_of, symbol, momentum, rank FROM signals WHERE as_of = (SELECT MAX(as_of) FROM signals)", signal_ctes(PARAMS)),
+        "S15",
+    ),
+    "fills_with_side": Query(
+        lambda s: s.orders.join(
+            s.orders.filter("side = 'SELL'").select("order_id", F.col("side").alias("known_side")), "order_id", "left"
+        ).groupBy("portfolio_id", F.coalesce("known_side", F.lit("")).alias("side")).agg(
+            F.sum(F.col("quantity") * F.col("market_price")).alias("gross_value")
+        ).select("portfolio_id", "side", r("gross_value")),
+        T("trades", "SELECT portfolio_id, CASE WHEN side = 'SELL' THEN 'SELL' ELSE '' END AS side, CAST(ROUND(SUM(quantity * market_price), 4) AS DOUBLE) AS gross_value FROM trades GROUP BY 1, 2"),
+        "J16 S18",
+    ),
+}

@@ -286,7 +286,7 @@ QUERIES: dict[str, Query] = {
         lambda s: overlap_counts(s.tickers, ["scheme", "ticker"], "valid_from", "valid_to"),
         T(
             "tickers",
-            """SELECT a.scheme, a.ticker, a.valid_from, a.valid_to, CAST(1 AS BIGINT) AS copies, COUNT(b.ticker) AS overlaps, FALSE AS impossible
+            """SELECT a.scheme, a.ticker, a.valid_from, a.valid_to, CAST(1 AS BIGINT) AS copies, COUNT(b.ticker) AS overlap_count, FALSE AS impossible
                FROM tickers a LEFT JOIN tickers b ON a.scheme = b.scheme AND a.ticker = b.ticker AND a.valid_from <> b.valid_from
                     AND a.valid_from < COALESCE(b.valid_to, DATE '9999-12-31') AND b.valid_from < COALESCE(a.valid_to, DATE '9999-12-31') GROUP BY ALL""",
         ),

@@ -287,7 +287,7 @@ class Standins:
                 "effective_date",
                 F.row_number().over(w).cast("long").alias("seq"),
                 "action_type",
-                F.when(F.col("action_type") == "SPLIT", 2).when(F.col("action_type") == "REVERSE_SPLIT", F.lit("0.5")).cast(PRICE).alias("factor"),
+                F.when(F.col("action_type") == "SPLIT", F.lit("2")).when(F.col("action_type") == "REVERSE_SPLIT", F.lit("0.5")).cast(PRICE).alias("factor"),
                 F.when(F.col("action_type") == "CASH_DIVIDEND", F.lit("1.25")).cast(PRICE).alias("amount"),
                 F.when(F.col("action_type") == "RENAME", F.concat("position_key", F.lit("-new"))).alias("ticker"),
                 F.lit(None).cast(PRICE).alias("terminal_price"),
