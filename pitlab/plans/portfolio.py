@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitlab.functions.prices import commission, fill_price
+from pitlab.functions.prices import commission, fill_price, shares
 from pitlab.operators.fold import ordered_fold
 from pitlab.operators.ranking import number_rows
 from pitlab.params import LedgerParams
@@ -104,7 +104,7 @@ def missing_prices(holdings: DataFrame, targets: DataFrame, prices: DataFrame) -
 
 
 def _cost(params: LedgerParams) -> Column:
-    value = F.col("quantity") * F.col("fill_price")
+    value = shares(F.col("quantity")) * F.col("fill_price")
     return value + commission(value, params.commission_rate)
 
 
@@ -115,7 +115,7 @@ def affordable_orders(deltas: DataFrame, accounts: DataFrame, params: LedgerPara
     portfolio whose buys all fit needs no sequence: its cash can never run short. That is
     one sum per portfolio; only the others are folded in key order.
     """
-    value = F.col("quantity") * F.col("fill_price")
+    value = shares(F.col("quantity")) * F.col("fill_price")
     sell, buy = F.col("side") == "SELL", F.col("side") == "BUY"
     net = value - commission(value, params.commission_rate)
     sums = deltas.groupBy("portfolio_id").agg(

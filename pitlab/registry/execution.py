@@ -99,10 +99,12 @@ def _actions(s: Standins) -> DataFrame:
         F.col("market_price").cast("decimal(28,10)").alias("market_price"), F.lit(0).cast("decimal(28,10)").alias("cash"),
     )
     applied = l.apply_actions(rows, s.actions)
-    return applied.select(
-        "portfolio_id", "position_key", "effective_date", "action_type", "application", "symbol",
-        r("quantity"), r("average_price"), r("cash"),
-    )
+    last = F.struct("effective_date", "action_type")
+    return applied.groupBy("portfolio_id", "position_key").agg(
+        F.count_if(F.col("application") == "APPLIED").alias("applied"),
+        F.count_if(F.col("application") == "UNRESOLVED").alias("unresolved"),
+        *[F.max_by(c, last).alias(c) for c in ("symbol", "quantity", "average_price", "cash")],
+    ).select("portfolio_id", "position_key", "applied", "unresolved", "symbol", r("quantity"), r("average_price", 7), r("cash"))
 
 
 def _status_log(s: Standins) -> DataFrame:
@@ -304,12 +306,12 @@ QUERIES: dict[str, Query] = {
     ),
     "ledger": Query(
         lambda s: ledger(s).select(
-            "portfolio_id", "order_id", "status", "reject_reason", r("fill_price"), r("cash"), "position_quantity", r("average_price", 3), "outcome"
+            "portfolio_id", "order_id", "status", "reject_reason", r("fill_price"), r("cash"), "position_quantity", r("average_price", 7), "outcome"
         ),
         T(
             "trades",
             """SELECT portfolio_id, order_id, CASE WHEN reason IS NULL THEN 'FILLED' ELSE 'REJECTED' END AS status, reason AS reject_reason, CAST(ROUND(px, 4) AS DOUBLE) AS fill_price,
-                      CAST(ROUND(cash, 4) AS DOUBLE) AS cash, pos AS position_quantity, ROUND(avg_px, 3) AS average_price, outcome FROM book""",
+                      CAST(ROUND(cash, 4) AS DOUBLE) AS cash, pos AS position_quantity, ROUND(avg_px, 7) AS average_price, outcome FROM book""",
             _LEDGER,
         ),
         "L05 L06 D10",
@@ -368,16 +370,16 @@ QUERIES: dict[str, Query] = {
         _actions,
         T(
             "holdings",
-            """SELECT h.portfolio_id, a.position_key, a.effective_date, a.action_type, CASE WHEN a.action_type IN ('SHARE_CONVERSION', 'CASH_ACQUISITION') THEN 'UNRESOLVED' ELSE 'APPLIED' END AS application,
-                      CASE WHEN a.renamed > 0 THEN a.position_key || '-new' ELSE h.symbol END AS symbol, ROUND(CAST(h.quantity AS DOUBLE) * a.scale, 4) AS quantity,
-                      ROUND(CAST(h.market_price AS DOUBLE) / a.scale, 4) AS average_price, ROUND(CAST(h.quantity AS DOUBLE) * a.paid, 4) AS cash
+            """SELECT h.portfolio_id, a.position_key, a.applied, a.unresolved, CASE WHEN a.renamed > 0 THEN a.position_key || '-new' ELSE h.symbol END AS symbol,
+                      ROUND(CAST(h.quantity AS DOUBLE) * a.scale, 4) AS quantity, ROUND(CAST(h.market_price AS DOUBLE) / a.scale, 7) AS average_price, ROUND(CAST(h.quantity AS DOUBLE) * a.paid, 4) AS cash
                FROM holdings h JOIN (
-                 SELECT *, SUM(CASE WHEN action_type = 'CASH_DIVIDEND' THEN 1.25 * scale ELSE 0 END) OVER (PARTITION BY position_key ORDER BY effective_date, action_type) AS paid
+                 SELECT position_key, COUNT(*) FILTER (WHERE action_type NOT IN ('SHARE_CONVERSION', 'CASH_ACQUISITION')) AS applied, COUNT(*) FILTER (WHERE action_type IN ('SHARE_CONVERSION', 'CASH_ACQUISITION')) AS unresolved,
+                        arg_max(scale, (effective_date, action_type)) AS scale, MAX(renamed) AS renamed, SUM(CASE WHEN action_type = 'CASH_DIVIDEND' THEN 1.25 * scale ELSE 0 END) AS paid
                  FROM (SELECT *, pow(2, SUM(CASE action_type WHEN 'SPLIT' THEN 1 WHEN 'REVERSE_SPLIT' THEN -1 ELSE 0 END) OVER w) AS scale, COUNT(*) FILTER (WHERE action_type = 'RENAME') OVER w AS renamed
                        FROM (SELECT DISTINCT 'security:' || printf('S%06d', l_suppkey % 10) AS position_key, CAST(date_trunc('year', l_shipdate) AS DATE) AS effective_date,
                                     CASE p_type WHEN 'ECONOMY' THEN 'SPLIT' WHEN 'SMALL' THEN 'CASH_DIVIDEND' WHEN 'LARGE' THEN 'REVERSE_SPLIT' WHEN 'MEDIUM' THEN 'RENAME'
                                          WHEN 'PROMO' THEN 'SHARE_CONVERSION' ELSE 'CASH_ACQUISITION' END AS action_type
-                             FROM lineitem JOIN part ON l_partkey = p_partkey) d WINDOW w AS (PARTITION BY position_key ORDER BY effective_date, action_type)) e) a ON a.position_key = h.position_key""",
+                             FROM lineitem JOIN part ON l_partkey = p_partkey) d WINDOW w AS (PARTITION BY position_key ORDER BY effective_date, action_type)) e GROUP BY position_key) a ON a.position_key = h.position_key""",
         ),
         "L09 D12",
     ),
