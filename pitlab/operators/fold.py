@@ -1,106 +1,149 @@
 """Ordered folds over groups of any size.
 
 Some results depend on every earlier row of a group: a cash account that may refuse an
-order, for instance. Such a chain cannot be a window. Here it runs in rounds. The rows are
-range-partitioned by (keys, order), so a large group spans many partitions, and written
-once. Each group is cut into chunks of at most ``chunk_rows`` rows; round r folds chunk r
-of every group at once and hands the small state of each group to round r + 1 through a
-written table. No task ever holds more than one chunk of a group, and a lost executor
-only repeats its own chunk.
+order, for instance. Such a chain cannot be a window. Spark partitions by key and sorts;
+the fold then streams over the sorted Arrow batches of a partition and keeps nothing but
+the state of the current group, so memory does not depend on group size.
+
+Time could still: one group may hold a third of all rows. Groups longer than
+``chunk_rows`` therefore run in rounds. The rows are range-partitioned by (keys, order), so
+a long group spans many partitions, and written once. Round r folds chunk r of every group
+at once and hands the small state of each group to round r + 1 through a written table. No
+task sees more than one chunk of a group, and a lost executor repeats only its own chunk.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections import namedtuple
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlab.session import materialize
 
-Step = Callable[[pd.DataFrame, dict], tuple[pd.DataFrame, dict]]
-DEFAULT_CHUNK_ROWS = 250_000
+Begin = Callable[[tuple], dict]
+Advance = Callable[[dict, tuple], tuple]
+DEFAULT_CHUNK_ROWS = 1_000_000
 _STATE = "_state"
+_POS = "_pos"
 
 
 def ordered_fold(
     rows: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    step: Step,
+    begin: Begin,
+    advance: Advance,
     output: T.StructType,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
     label: str = "fold",
 ) -> DataFrame:
-    """Fold ``step`` over each group in ``order``.
+    """Fold each group in ``order``, one output row per input row.
 
-    ``step(chunk, state)`` gets the rows of one chunk in order and a JSON-able dict (empty
-    at the start of a group), and returns (output rows, new state). ``order`` must be total
+    ``begin(row)`` makes the state of a group from its first row, ``advance(state, row)``
+    changes the state and returns the output values. Rows come as named tuples; a state
+    holds numbers, texts, decimals, and lists or dicts of them. ``order`` must be total
     within a group up to rows that are interchangeable.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    if longest <= chunk_rows:
+        return _stream(rows, keys, order, begin, advance, output, keep_state=False).drop(_STATE)
+
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        rows.repartitionByRange(parts, *keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
-    )
-    stored = materialize(placed, f"{label}-rows")
+    placed = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    stored = materialize(placed.withColumn(_POS, F.monotonically_increasing_id()), f"{label}-rows")
     # Place of each row within its group: rows of the group in earlier partitions, plus
     # the distance from its first row in this one. Only counts per partition are shuffled.
-    located = stored.withColumn("_part", F.shiftright("_pos", 33))
-    runs = located.groupBy(*keys, "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    located = stored.withColumn("_part", F.shiftright(_POS, 33))
+    runs = located.groupBy(*keys, "_part").agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    longest = runs.agg(F.max(F.col("_before") + F.col("_n"))).first()[0] or 0
-    last = -(-longest // chunk_rows)
-    if last <= 1:
-        return drop_state(_run(stored, keys, step, output))
-    place = F.col("_before") + F.col("_pos") - F.col("_first")
+    place = F.col("_before") + F.col(_POS) - F.col("_first")
     numbered = located.join(runs, [*keys, "_part"]).withColumn("_round", F.floor(place / F.lit(chunk_rows)) + 1)
     staged = materialize(numbered.drop("_part", "_first", "_n", "_before"), f"{label}-chunks", ("_round",))
+
     done, state = [], None
-    for r in range(1, last + 1):
-        chunk = staged.filter(F.col("_round") == r).drop("_round")
-        result = materialize(_run(chunk, keys, step, output, state), f"{label}-round")
-        done.append(drop_state(result))
-        state = result.filter(F.col(_STATE).isNotNull()).select(*keys, _STATE)
+    for r in range(1, -(-longest // chunk_rows) + 1):
+        chunk = staged.filter(F.col("_round") == r).drop("_round").withColumn(_STATE, F.lit(None).cast("string"))
+        if state is not None:
+            live = chunk.select(*keys).distinct()
+            chunk = chunk.unionByName(state.join(live, keys, "left_semi"), allowMissingColumns=True)
+        result = materialize(_stream(chunk, keys, [_POS], begin, advance, output, keep_state=True), f"{label}-round")
+        done.append(result.filter(F.col(_STATE).isNull()).drop(_STATE))
+        state = result.filter(F.col(_STATE).isNotNull()).select(*keys, _STATE, F.lit(-1).cast("long").alias(_POS))
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
-def _run(
-    chunk: DataFrame, keys: list[str], step: Step, output: T.StructType, state: DataFrame | None = None
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.DecimalType):
+        return pa.decimal128(kind.precision, kind.scale)
+    simple = {T.LongType: pa.int64(), T.StringType: pa.string(), T.DateType: pa.date32(), T.BooleanType: pa.bool_()}
+    return simple[type(kind)]
+
+
+def dump_state(state: dict) -> str:
+    return json.dumps(state, default=lambda d: {"$decimal": str(d)})
+
+
+def load_state(text: str) -> dict:
+    return json.loads(text, object_hook=lambda d: Decimal(d["$decimal"]) if "$decimal" in d else d)
+
+
+def _stream(
+    rows: DataFrame, keys: list[str], order: list[str], begin: Begin, advance: Advance, output: T.StructType, keep_state: bool
 ) -> DataFrame:
-    """One round: fold each group's chunk; a last row per group carries its state."""
-    # The state row is NULL in every output column but the keys.
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in output] + [T.StructField(_STATE, T.StringType())])
-    names = [f.name for f in output.fields]
-
-    def fold(pdf: pd.DataFrame, before: dict) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos", kind="stable").reset_index(drop=True)
-        out, after = step(pdf, before)
-        out = out[names].copy()
-        out[_STATE] = None
-        tail = dict.fromkeys(names)
-        tail.update({k: pdf[k].iloc[0] for k in keys})
-        tail[_STATE] = json.dumps(after)
-        # Object columns keep decimals exact and let the tail row hold None everywhere else.
-        return pd.concat([out.astype(object), pd.DataFrame([tail], dtype=object)], ignore_index=True)
-
-    if state is None:
-        return chunk.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf, {}), schema=schema)
-
-    def resume(pdf: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty:
-            return pd.DataFrame(columns=[*names, _STATE])
-        return fold(pdf, json.loads(carried[_STATE].iloc[0]) if len(carried) else {})
-
-    return chunk.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(resume, schema=schema)
-
-
-def drop_state(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(_STATE).isNull()).drop(_STATE)
+    """Partition by key, sort, and fold batch by batch.
+
+    With ``keep_state`` a row at position -1 carries the state a group starts from, and a
+    last row per group carries its state on; it is NULL in every column but the keys.
+    """
+    fields = [T.StructField(f.name, f.dataType) for f in output] + [T.StructField(_STATE, T.StringType())]
+    arrow = pa.schema([(f.name, _arrow_type(f.dataType)) for f in fields])
+    names, width = rows.columns, len(output)
+    record = namedtuple("record", [n.lstrip("_") if n.startswith("_") else n for n in names])
+    at = [names.index(k) for k in keys]
+    key_out = [output.fieldNames().index(k) for k in keys]
+    pos_at = names.index(_POS) if keep_state else -1
+    state_at = names.index(_STATE) if keep_state else -1
+
+    def carried(key: tuple, state: dict) -> tuple:
+        row = [None] * width
+        for i, value in zip(key_out, key):
+            row[i] = value
+        return (*row, dump_state(state))
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in map(record._make, zip(*(column.to_pylist() for column in batch.columns))):
+                mine = tuple(row[i] for i in at)
+                if mine != key:
+                    if keep_state and key is not None:
+                        out.append(carried(key, state))
+                    key, state = mine, None
+                if keep_state and row[pos_at] == -1:
+                    state = load_state(row[state_at])
+                    continue
+                if state is None:
+                    state = begin(row)
+                out.append((*advance(state, row), None))
+            if out:
+                yield pack(out)
+        if keep_state and key is not None:
+            yield pack([carried(key, state)])
+
+    arranged = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return arranged.mapInArrow(fold, schema=T.StructType(fields))

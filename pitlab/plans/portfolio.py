@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_DOWN, Decimal
+from decimal import ROUND_DOWN
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +12,7 @@ from pitlab.functions.prices import commission, fill_price, shares
 from pitlab.operators.fold import ordered_fold
 from pitlab.operators.ranking import number_rows
 from pitlab.params import LedgerParams
+from pitlab.session import materialize
 
 MONEY = T.DecimalType(18, 6)
 WEIGHT = T.DecimalType(19, 18)
@@ -117,6 +117,8 @@ def affordable_orders(deltas: DataFrame, accounts: DataFrame, params: LedgerPara
     """
     value = shares(F.col("quantity")) * F.col("fill_price")
     sell, buy = F.col("side") == "SELL", F.col("side") == "BUY"
+    # Read three times below, so the join behind it is done once and written.
+    deltas = materialize(deltas, "deltas")
     net = value - commission(value, params.commission_rate)
     sums = deltas.groupBy("portfolio_id").agg(
         F.sum(F.when(sell, net)).alias("_in"), F.sum(F.when(buy, _cost(params))).alias("_out")
@@ -132,23 +134,23 @@ def affordable_orders(deltas: DataFrame, accounts: DataFrame, params: LedgerPara
     squeezed = with_budget.filter(buy & tight).select(*deltas.columns, "budget")
     rate, least = params.commission_rate, params.min_trade_value
 
-    def spend(chunk: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
-        cash = Decimal(state["cash"]) if state else chunk["budget"].iloc[0]
-        quantities = []
-        for wanted, price in zip(chunk["quantity"], chunk["fill_price"]):
-            per_share = price * (1 + rate)
-            can = (cash / per_share).to_integral_value(rounding=ROUND_DOWN) if cash > 0 else Decimal(0)
-            shares = min(Decimal(int(wanted)), can)
-            worth = shares * price
-            if shares <= 0 or worth < least:
-                quantities.append(0)
-                continue
-            cash -= worth + (worth * rate if rate > 0 else 0)
-            quantities.append(int(shares))
-        return chunk.assign(quantity=quantities), {"cash": str(cash)}
-
+    def begin(row: tuple) -> dict:
+        return {"cash": row.budget}
+
+    def advance(state: dict, row: tuple) -> tuple:
+        cash, price = state["cash"], row.fill_price
+        can = int((cash / (price * (1 + rate))).to_integral_value(rounding=ROUND_DOWN)) if cash > 0 else 0
+        shares_now = min(row.quantity, can)
+        worth = shares_now * price
+        if shares_now <= 0 or worth < least:
+            shares_now = 0
+        else:
+            state["cash"] = cash - worth - worth * rate
+        return tuple(shares_now if f == "quantity" else getattr(row, f) for f in fields)
+
+    fields = deltas.columns
     bought = ordered_fold(
-        squeezed, ["portfolio_id"], ["position_key"], spend, deltas.schema, label="affordable"
+        squeezed, ["portfolio_id"], ["position_key"], begin, advance, deltas.schema, label="affordable"
     ).filter("quantity > 0")
     return free.unionByName(bought)
 

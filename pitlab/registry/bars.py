@@ -59,7 +59,7 @@ def _rejects(s: Standins) -> DataFrame:
 
 
 def _good(s: Standins) -> DataFrame:
-    return _parsed(s).filter(F.size("issues") == 0).drop("issues")
+    return _checked(_parsed(s))
 
 
 def _deduped(s: Standins) -> DataFrame:
@@ -75,22 +75,25 @@ _FIRST = {
 
 
 def _feeds(s: Standins) -> tuple[DataFrame, DataFrame]:
-    """(stored, incoming): the returned feed is stored, the others arrive."""
-    tagged = _parsed(s).join(s.raw_bars.select("source", "feed").distinct(), "source")
-    good = tagged.filter(F.size("issues") == 0).drop("issues")
-    stored = dedupe_bars(good.filter("feed = 'R'").drop("feed"), ["source", "row_number"])
-    return stored, good.filter("feed <> 'R'").drop("feed")
+    """(stored, incoming): the returned feed is stored, the others arrive unchecked."""
+    tagged = parse_bars(s.raw_bars, fatal=False, carry=["feed"])
+    good = tagged.filter((F.col("feed") == "R") & (F.size("issues") == 0)).drop("feed", "issues")
+    return dedupe_bars(good, ["source", "row_number"]), tagged.filter(F.col("feed") != "R").drop("feed")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size("issues") == 0).drop("issues")
 
 
 def _merged(s: Standins) -> DataFrame:
     stored, incoming = _feeds(s)
-    merged = merge_bars(stored, incoming, order=("source", "row_number"))
+    merged = merge_bars(stored, _checked(incoming), order=("source", "row_number"))
     return doubles(merged.select("symbol", "session", "close", "volume", "source"))
 
 
 def _appended(s: Standins) -> DataFrame:
     stored, incoming = _feeds(s)
-    return upsert_bars(stored, incoming, ["source", "row_number"])[1]
+    return upsert_bars(stored, _checked(incoming), ["source", "row_number"])[1]
 
 
 _FEEDS = {
@@ -117,8 +120,7 @@ _REQUESTS = {
 
 def _import(s: Standins, strict: bool) -> DataFrame:
     stored, incoming = _feeds(s)
-    tagged = _parsed(s).join(s.raw_bars.select("source", "feed").distinct(), "source").filter("feed <> 'R'").drop("feed")
-    return imports.import_bars(tagged, stored, _requests(s), strict=strict)[1]
+    return imports.import_bars(incoming, stored, _requests(s), strict=strict)[1]
 
 
 def _import_ctes(strict: bool) -> dict[str, str]:

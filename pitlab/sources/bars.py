@@ -26,9 +26,11 @@ def file_symbol(name: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_replace(name, r"(?i)\.csv$", ""), r"(?i)_daily$", ""))
 
 
-def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True) -> DataFrame:
+def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Typed bars from text columns, with ``issues`` naming every violated rule.
 
+    ``source`` and ``row_number`` are kept if present, and so are the ``carry`` columns.
+
     A number or timestamp that cannot be read stops the job when ``fatal``; otherwise it
     becomes the issue ``unparseable row``. A readable time without a UTC offset is a
     rejected row in both cases.
@@ -47,15 +49,19 @@ def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True) -> Data
     if fatal:
         problem = F.concat(F.lit("cannot read timestamp: "), F.coalesce(text["timestamp"], F.lit("NULL")))
         ts = F.when(ts.isNull(), F.raise_error(problem).cast("timestamp")).otherwise(ts)
-    typed = raw.withColumn("raw_timestamp", text["timestamp"]).select(
+    kept = [c for c in ("source", "row_number", *carry) if c in raw.columns]
+    cells = F.struct(
         normalize_symbol("symbol").alias("symbol"),
         ts.alias("ts"),
         *[number(c, PRICE).alias(c) for c in NUMBERS],
         number("adjusted_close", PRICE, optional=True).alias("adjusted_close"),
         number("volume", T.LongType()).alias("volume"),
-        (~has_offset(F.col("raw_timestamp"))).alias("naive"),
-        *[c for c in ("source", "row_number") if c in raw.columns],
+        (~has_offset(text["timestamp"])).alias("naive"),
+        *[F.col(c) for c in kept],
     )
+    # Each text is read once: a filter on the rules below cannot be pushed through a
+    # generator, where it would parse every text again for every rule that mentions it.
+    typed = raw.select(F.inline(F.array(cells)))
     rules = strict_bar_rules(F.col("naive")) if strict else bar_rules(F.col("naive"))
     if not fatal:
         unread = F.col("ts").isNull() | F.col("volume").isNull()
