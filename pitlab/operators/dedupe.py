@@ -54,9 +54,14 @@ def upsert_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], nu
 
 
 def upsert_bars(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Idempotent append. Returns (rows to insert, per-symbol inserted and duplicate counts)."""
+    """Idempotent append. Returns (rows to insert, per-symbol inserted and duplicate counts).
+
+    Of the stored table only the sessions between the first and last incoming one are read.
+    """
     first = keep_first(incoming, ("symbol", "ts"), order, count_as="_copies")
-    stored = existing.select("symbol", "ts").withColumn("_stored", F.lit(True))
+    span = incoming.agg(F.min("session").alias("lo"), F.max("session").alias("hi"))
+    near = (F.col("session") >= span.select("lo").scalar()) & (F.col("session") <= span.select("hi").scalar())
+    stored = existing.filter(near).select("symbol", "ts").withColumn("_stored", F.lit(True))
     tagged = first.join(stored, ["symbol", "ts"], "left")
     fresh = tagged.filter(F.col("_stored").isNull()).drop("_stored", "_copies")
     counts = tagged.groupBy("symbol").agg(

@@ -21,7 +21,7 @@ from decimal import Decimal
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,18 +57,9 @@ def ordered_fold(
     if longest <= chunk_rows:
         return _stream(rows, keys, order, begin, advance, output, keep_state=False).drop(_STATE)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
-    stored = materialize(placed.withColumn(_POS, F.monotonically_increasing_id()), f"{label}-rows")
-    # Place of each row within its group: rows of the group in earlier partitions, plus
-    # the distance from its first row in this one. Only counts per partition are shuffled.
-    located = stored.withColumn("_part", F.shiftright(_POS, 33))
-    runs = located.groupBy(*keys, "_part").agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    place = F.col("_before") + F.col(_POS) - F.col("_first")
-    numbered = located.join(runs, [*keys, "_part"]).withColumn("_round", F.floor(place / F.lit(chunk_rows)) + 1)
-    staged = materialize(numbered.drop("_part", "_first", "_n", "_before"), f"{label}-chunks", ("_round",))
+    placed = place_in_group(rows, keys, order, label)
+    numbered = placed.withColumn("_round", F.floor(F.col("_place") / F.lit(chunk_rows)) + 1)
+    staged = materialize(numbered.drop("_place"), f"{label}-chunks", ("_round",))
 
     done, state = [], None
     for r in range(1, -(-longest // chunk_rows) + 1):
@@ -82,6 +73,26 @@ def ordered_fold(
     return reduce(lambda a, b: a.unionByName(b), done)
 
 
+def place_in_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], label: str) -> DataFrame:
+    """Adds ``_place``, the position of each row in its group from 0, and ``_pos``.
+
+    The rows are range-partitioned by (keys, order), so a group of any size spreads over
+    many partitions, and written once. The place is the number of rows of the group in
+    earlier partitions plus the distance from its first row in this one; only those counts
+    are shuffled and summed.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    stored = materialize(sorted_rows.withColumn(_POS, F.monotonically_increasing_id()), f"{label}-rows")
+    # The upper bits of the id are the partition.
+    located = stored.withColumn("_part", F.shiftright(_POS, 33))
+    runs = located.groupBy(*keys, "_part").agg(F.min(_POS).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    place = F.col("_before") + F.col(_POS) - F.col("_first")
+    return located.join(runs, [*keys, "_part"]).withColumn("_place", place).drop("_part", "_first", "_before")
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.DecimalType):
         return pa.decimal128(kind.precision, kind.scale)

@@ -1,9 +1,10 @@
 """Temporal identity: ticker and day to security, never guessed.
 
-A ticker resolves on a day only if exactly one catalog row covers it. Lookups run on the
-distinct (ticker, day) pairs, so a ticker with a third of all bars is looked up at most
-once per calendar day; joining back is an equi-join with a unique right side, which
-adaptive execution splits when the left side is skewed.
+A ticker resolves on a day only if exactly one catalog row covers it. The catalog is first
+cut into stretches where that holds; a lookup is then one left join on the ticker whose
+right side matches at most once. Spark broadcasts the stretches while they are small, so
+bars are not shuffled at all; beyond that, adaptive execution splits a ticker that holds a
+third of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pitlab.functions.dates import day, overlaps_window, valid_at, valid_through
 from pitlab.functions.text import listing_id, position_key
+from pitlab.operators.intervals import overlap_counts, timeline
 
 LISTING = "listing"
 VENDOR = "vendor"
@@ -22,29 +24,29 @@ RESOLVED = "RESOLVED"
 UNRESOLVED = "UNRESOLVED"
 
 
-def _unique_match(pairs: DataFrame, tickers: DataFrame, scheme: str, out: str) -> DataFrame:
-    """Distinct (ticker, day) pairs with the seed key under ``out``, NULL unless exactly one row matches."""
-    rows = tickers.filter(F.col("scheme") == scheme).select(
-        F.col("ticker").alias("_t"), "valid_from", "valid_to", F.col("seed_key").alias("_seed")
-    )
-    hit = (F.col("ticker") == F.col("_t")) & valid_at(F.col("valid_from"), F.col("valid_to"), F.col("day"))
-    matched = pairs.join(rows, hit, "left")
-    return matched.groupBy("ticker", "day").agg(
-        F.when(F.count("_seed") == 1, F.min("_seed")).alias(out),
-        F.count("_seed").alias(f"{out}_matches"),
-    )
+def ticker_timeline(tickers: DataFrame, scheme: str) -> DataFrame:
+    """When each ticker of a scheme means exactly one security, and since when its row runs."""
+    rows = tickers.filter(F.col("scheme") == scheme).select("ticker", "valid_from", "valid_to", "seed_key")
+    return timeline(rows, ["ticker"], "valid_from", "valid_to", ["seed_key", F.col("valid_from").alias("since")])
 
 
 def resolve_security(
     rows: DataFrame, tickers: DataFrame, ticker: str, on_day: str, scheme: str = LISTING, prefix: str = ""
 ) -> DataFrame:
     """Adds ``{prefix}status`` and ``{prefix}seed_key``."""
-    pairs = rows.select(F.col(ticker).alias("ticker"), F.col(on_day).alias("day")).distinct()
-    found = _unique_match(pairs, tickers, scheme, "_seed").select(
-        F.col("ticker").alias(ticker), F.col("day").alias(on_day), F.col("_seed").alias(f"{prefix}seed_key")
-    )
+    found = _at(rows, ticker_timeline(tickers, scheme), ticker, on_day, {"seed_key": f"{prefix}seed_key"})
     status = F.when(F.col(f"{prefix}seed_key").isNull(), UNRESOLVED).otherwise(RESOLVED)
-    return rows.join(found, [ticker, on_day], "left").withColumn(f"{prefix}status", status)
+    return found.withColumn(f"{prefix}status", status)
+
+
+def _at(rows: DataFrame, segments: DataFrame, ticker: str, on_day: str, names: dict[str, str]) -> DataFrame:
+    """Left join to the one stretch of the ticker that holds the day; ``names`` renames its columns."""
+    right = segments.select(
+        F.col("ticker").alias("_t"), F.col("seg_from").alias("_f"), F.col("seg_to").alias("_u"),
+        *[F.col(c).alias(n) for c, n in names.items()],
+    )
+    hit = (F.col(ticker) == F.col("_t")) & valid_at(F.col("_f"), F.col("_u"), F.col(on_day))
+    return rows.join(right, hit, "left").drop("_t", "_f", "_u")
 
 
 def has_vendor_mapping(rows: DataFrame, tickers: DataFrame, ticker: str) -> DataFrame:
@@ -116,18 +118,15 @@ def assess_identity(bars: DataFrame, tickers: DataFrame) -> DataFrame:
     A resolved listing whose vendor ticker is not the same security makes the whole series
     ``identity_mismatch``.
     """
-    pairs = bars.select(F.col("symbol").alias("ticker"), F.col("session").alias("day")).distinct()
-    listing = _unique_match(pairs, tickers, LISTING, "listing_seed").drop("listing_seed_matches")
-    vendor = _unique_match(pairs, tickers, VENDOR, "vendor_seed").drop("vendor_seed_matches")
-    seeds = listing.join(vendor, ["ticker", "day"])
+    seeded = _at(bars, ticker_timeline(tickers, LISTING), "symbol", "session", {"seed_key": "listing_seed"})
+    seeded = _at(seeded, ticker_timeline(tickers, VENDOR), "symbol", "session", {"seed_key": "vendor_seed"})
     wrong = F.col("listing_seed").isNotNull() & ~F.col("listing_seed").eqNullSafe(F.col("vendor_seed"))
-    series = seeds.groupBy("ticker").agg(F.bool_or(wrong).alias("mismatch"))
-    mapped = tickers.filter(F.col("scheme") == VENDOR).select("ticker").distinct().withColumn("_m", F.lit(True))
-    verdict = series.join(mapped, "ticker", "left").withColumn("has_vendor", F.col("_m").isNotNull()).drop("_m")
-    days = seeds.join(verdict, "ticker").select(
-        F.col("ticker").alias("symbol"), F.col("day").alias("session"), "listing_seed", "vendor_seed", "mismatch", "has_vendor"
+    series = seeded.groupBy("symbol").agg(F.bool_or(wrong).alias("mismatch"))
+    mapped = tickers.filter(F.col("scheme") == VENDOR).select(F.col("ticker").alias("symbol")).distinct()
+    verdict = series.join(mapped.withColumn("_m", F.lit(True)), "symbol", "left")
+    return seeded.join(
+        verdict.select("symbol", "mismatch", F.col("_m").isNotNull().alias("has_vendor")), "symbol"
     )
-    return bars.join(days, ["symbol", "session"])
 
 
 def apply_identity(bars: DataFrame, tickers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,31 +148,28 @@ def resolve_identity(rows: DataFrame, tickers: DataFrame, memberships: DataFrame
     covers it gives a listing, and if there is none the occupancy is unknown. Two intervals
     of one ticker on one day cannot share a slot: ``occupancy_conflict`` is then true.
     """
-    pairs = rows.select(F.col(ticker).alias("ticker"), F.col(on_day).alias("day")).distinct()
-    listed = tickers.filter(F.col("scheme") == LISTING).select(
-        F.col("ticker").alias("_t"), "valid_from", "valid_to", F.col("seed_key").alias("_seed")
-    )
-    covered = (F.col("ticker") == F.col("_t")) & valid_at(F.col("valid_from"), F.col("valid_to"), F.col("day"))
-    one = F.count("_t") == 1
-    by_catalog = pairs.join(listed, covered, "left").groupBy("ticker", "day").agg(
-        F.when(one, F.min("_seed")).alias("security_id"), F.when(one, F.min("valid_from")).alias("_since")
-    )
-    member = memberships.select(F.col("symbol").alias("_s"), "start_date", "end_date").distinct()
-    inside = (F.col("ticker") == F.col("_s")) & valid_at(F.col("start_date"), F.col("end_date"), F.col("day"))
-    by_index = pairs.join(member, inside, "left").groupBy("ticker", "day").agg(
-        F.min("start_date").alias("_occupied"), (F.count("start_date") > 1).alias("occupancy_conflict")
-    )
-    listing = listing_id(F.col("ticker"), F.coalesce("_since", "_occupied"))
-    resolved = by_catalog.join(by_index, ["ticker", "day"]).select(
-        F.col("ticker").alias(ticker),
-        F.col("day").alias(on_day),
+    listed = ticker_timeline(tickers, LISTING)
+    found = _at(rows, listed, ticker, on_day, {"seed_key": "security_id", "since": "_since"})
+    member = memberships.select(F.col("symbol").alias("ticker"), "start_date", "end_date").distinct()
+    alone = timeline(member, ["ticker"], "start_date", "end_date", [F.col("start_date").alias("occupied")])
+    found = _at(found, alone, ticker, on_day, {"occupied": "_occupied"})
+    # Days on which intervals overlap: open intervals less the single stretches.
+    clash = overlap_counts(member, ["ticker"], "start_date", "end_date").filter("overlap_count > 0")
+    asked = found.filter(F.col("_occupied").isNull()).select(F.col(ticker).alias("_t"), F.col(on_day).alias("_d")).distinct()
+    covered = (F.col("_t") == F.col("ticker")) & valid_at(F.col("start_date"), F.col("end_date"), F.col("_d"))
+    disputed = asked.join(clash, covered, "left_semi").select(
+        F.col("_t").alias(ticker), F.col("_d").alias(on_day), F.lit(True).alias("_dispute")
+    )
+    found = found.join(disputed, [ticker, on_day], "left")
+    listing = listing_id(F.col(ticker), F.coalesce("_since", "_occupied"))
+    return found.select(
+        *rows.columns,
         F.when(F.col("security_id").isNull(), UNRESOLVED).otherwise(RESOLVED).alias("status"),
         "security_id",
         listing.alias("listing_id"),
-        position_key(F.col("security_id"), listing, F.col("ticker")).alias("position_key"),
-        "occupancy_conflict",
+        position_key(F.col("security_id"), listing, F.col(ticker)).alias("position_key"),
+        F.col("_dispute").isNotNull().alias("occupancy_conflict"),
     )
-    return rows.join(resolved, [ticker, on_day], "left")
 
 
 def attach_signal_identities(signals: DataFrame, tickers: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlab.functions.dates import effective_end
+from pitlab.schemas import OPEN_END
 
 
 def snapshots_to_intervals(snapshots: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def expand_to_dates(
             F.sequence(F.trunc("_lo", "MM"), F.trunc(F.date_sub("_hi", 1), "MM"), F.expr("interval 1 month"))
         ),
     )
-    calendar = F.broadcast(dates.withColumn("_month", F.trunc(date_col, "MM")))
+    # One row per day at most, whatever was passed in: that bounds the broadcast.
+    calendar = F.broadcast(dates.dropDuplicates([date_col]).withColumn("_month", F.trunc(date_col, "MM")))
     return (
         months.join(calendar, "_month")
         .filter((F.col("_lo") <= F.col(date_col)) & (F.col(date_col) < F.col("_hi")))
@@ -106,6 +108,46 @@ def overlap_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: s
     return counted.select(*keys, start, end, "copies", overlaps.cast("long").alias("overlap_count"), "impossible")
 
 
+def timeline(intervals: DataFrame, keys: Sequence[str], start: str, end: str, carry: Sequence[Column | str]) -> DataFrame:
+    """Stretches of each key that exactly one interval covers, with the ``carry`` columns of it.
+
+    Returns keys, ``seg_from``, ``seg_to`` (exclusive, NULL if open) and the carried columns;
+    stretches never overlap, so a day meets at most one. Days are swept in order with the
+    number of intervals open and the sum of their row hashes: where one is open, the sum is
+    its hash. Each key has at most one row per calendar day, and no interval meets another.
+    """
+    sound = intervals.filter(F.col(start) < effective_end(F.col(end)))
+    rows = sound.select(
+        *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)],
+        F.col(start).alias("_from"),
+        effective_end(F.col(end)).alias("_to"),
+        F.struct(*carry).alias("_row"),
+    )
+    names = [f"_k{n}" for n in range(len(keys))]
+    rows = rows.withColumn("_h", F.xxhash64(*names, "_from", "_to", "_row").cast("decimal(20,0)"))
+    marks = rows.select(*names, F.col("_from").alias("_d"), F.lit(1).alias("_n"), "_h").unionByName(
+        rows.select(*names, F.col("_to").alias("_d"), F.lit(-1).alias("_n"), (-F.col("_h")).alias("_h"))
+    )
+    days = marks.groupBy(*names, "_d").agg(F.sum("_n").alias("_n"), F.sum("_h").cast("decimal(38,0)").alias("_h"))
+    w = Window.partitionBy(*names).orderBy("_d")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    single = (
+        days.select(
+            *names, F.col("_d").alias("seg_from"), F.lead("_d").over(w).alias("_next"),
+            F.sum("_n").over(run).alias("_open"), F.sum("_h").over(run).cast("decimal(20,0)").alias("_h"),
+        )
+        .filter(F.col("_open") == 1)
+        .drop("_open")
+    )
+    segments = single.join(rows.select(*names, "_h", "_row"), [*names, "_h"])
+    return segments.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)],
+        "seg_from",
+        F.nullif("_next", F.lit(OPEN_END).cast("date")).alias("seg_to"),
+        "_row.*",
+    )
+
+
 def latest_end(end: str) -> Column:
     """Aggregate: NULL if any interval is open, else the greatest end."""
     return F.when(F.bool_or(F.col(end).isNull()), F.lit(None).cast("date")).otherwise(F.max(end))

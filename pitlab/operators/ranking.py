@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlab.operators.fold import place_in_group
+
 
 def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int, rank_as: str = "rank") -> DataFrame:
     """The n greatest values per key, ties by ``tie`` ascending, ranked from 1.
@@ -18,32 +20,12 @@ def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int, rank
     return df.withColumn(rank_as, F.row_number().over(w).cast("long")).filter(F.col(rank_as) <= n)
 
 
-def number_rows(
-    df: DataFrame, keys: Sequence[str], bins: Sequence[Column], order: Sequence[Column], number_as: str
-) -> DataFrame:
-    """Numbers the rows of each key 1..N in ``order`` without sorting a whole key in one task.
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], number_as: str) -> DataFrame:
+    """Numbers the rows of each key 1..N in a total ``order``, with no task holding a whole key."""
+    placed = place_in_group(df, keys, order, "number")
+    return placed.withColumn(number_as, (F.col("_place") + 1).cast("long")).drop("_place", "_pos")
 
-    ``bins`` are coarse columns that never disagree with ``order``: sorting by the bins and
-    then by ``order`` gives the same sequence. The number is the count of rows in earlier
-    bins, known from a small pre-summed table, plus the place inside the bin.
-    """
-    names = [f"_bin{i}" for i in range(len(bins))]
-    binned = df.select("*", *[b.alias(n) for b, n in zip(bins, names)])
-    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy(*keys, *names)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, *names, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_above"))
-    )
-    inside = Window.partitionBy(*keys, *names).orderBy(*order)
-    placed = binned.withColumn("_place", F.row_number().over(inside)).join(offsets, [*keys, *names])
-    return placed.withColumn(number_as, (F.col("_above") + F.col("_place")).cast("long")).drop(*names, "_above", "_place")
-
-
-def full_rank(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, width: float = 0.01, limit: int = 10_000, rank_as: str = "rank"
-) -> DataFrame:
-    """Unique rank 1..N per key, value descending then ``tie`` ascending, in value bins of
-    ``width`` (clamped to +-``limit`` bins)."""
-    scaled = F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(F.col(value) / F.lit(width)))).cast("int")
-    return number_rows(df, keys, [-scaled], [F.col(value).desc(), F.col(tie).asc()], rank_as)
+
+def full_rank(df: DataFrame, keys: Sequence[str], value: str, tie: str, rank_as: str = "rank") -> DataFrame:
+    """Unique rank 1..N per key, value descending then ``tie`` ascending."""
+    return number_rows(df, keys, [F.col(value).desc(), F.col(tie).asc()], rank_as)

@@ -50,7 +50,9 @@ def import_bars(
     """
     spans = requests.select("symbol", "start", "end")
     inside = F.col("session").between(F.col("start"), F.col("end"))
-    before = existing.join(spans, "symbol").filter(inside).groupBy("symbol").agg(
+    # Only the requested symbols and ranges of the stored table take part in anything below.
+    held = existing.join(spans, "symbol").filter(inside)
+    before = held.groupBy("symbol").agg(
         F.min("session").alias("old_first"), F.max("session").alias("old_last"), F.count(F.lit(1)).alias("old_bars")
     )
     state = spans.join(before, "symbol", "left").withColumn(
@@ -63,7 +65,7 @@ def import_bars(
     )
     valid = rows.filter(F.size("issues") == 0).drop("issues", "start", "end")
     unique = keep_first(valid, ("symbol", "ts"), ["source", "row_number"], count_as="_copies")
-    tagged = unique.join(existing.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
+    tagged = unique.join(held.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
     fresh = F.col("_old").isNull()
     moved = tagged.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("unique_bars"),

@@ -159,7 +159,7 @@ def sequence_orders(orders: DataFrame, session: Column) -> DataFrame:
     """Sales before buys, each by position key, with ids such as ``2024-05-01-0001`` per portfolio."""
     rank = F.when(F.col("side") == "SELL", 0).otherwise(1)
     key = F.col("position_key")
-    numbered = number_rows(orders, ["portfolio_id"], [rank, F.substring(key, 1, 16)], [rank, key], "sequence")
+    numbered = number_rows(orders, ["portfolio_id"], [rank, key], "sequence")
     label = F.concat_ws("-", F.date_format(session, "yyyy-MM-dd"), F.lpad(F.col("sequence").cast("string"), 4, "0"))
     wide = F.concat_ws("-", F.date_format(session, "yyyy-MM-dd"), F.col("sequence").cast("string"))
     return numbered.withColumn("client_order_id", F.when(F.col("sequence") > 9999, wide).otherwise(label))

@@ -55,8 +55,9 @@ def _snapshot_files(s: Standins) -> DataFrame:
         .otherwise(F.date_format(day, "yyyy-MM-dd"))
     )
     name = F.when(F.col("symbol").endswith("3"), F.concat(F.lit(" '"), F.lower("symbol"), F.lit("-199702'"))).otherwise(F.col("symbol"))
-    # The file format has one row per change date with all of its tickers.
-    lines = s.snapshots.groupBy("change_date").agg(F.array_join(F.collect_list(name), ",").alias("tickers"))
+    # A row lists the at most 100 suppliers that share all but the last two digits.
+    block = F.expr("substring(symbol, 1, length(symbol) - 2)")
+    lines = s.snapshots.groupBy("change_date", block.alias("block")).agg(F.array_join(F.collect_list(name), ",").alias("tickers"))
     return lines.select(text.alias("date"), "tickers")
 
 
