@@ -63,7 +63,7 @@ def fixed_point(c: Column) -> Column:
 
 
 def alias_tokens(c: Column) -> Column:
-    """Tickers named in a must-not-alias text such as ``ENB/ENBRIDGE, current SE``."""
+    """Tickers named in a must-not-alias text such as ``BUYR/BUYER, current PI``."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), "[,/]"), lambda p: F.trim(p))
     return F.array_distinct(
         F.filter(parts, lambda p: (p != "") & ~F.lower(p).startswith("current ") & (p == F.upper(p)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlab.operators.dedupe import keep_first
 from pitlab.plans.quality import RANGE_TOLERANCE_DAYS, incomplete_range
 
 
@@ -60,24 +59,28 @@ def import_bars(
     )
     todo = state.filter(~F.col("covered")).select("symbol", "start", "end")
     rows = parsed.join(todo, "symbol").filter(inside)
-    read = rows.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("rows_read"), F.count_if(F.size("issues") > 0).alias("invalid_rows")
+    # One pass over the new rows: each task folds its rows of a stamp before the shuffle.
+    valid = F.size("issues") == 0
+    payload = [c for c in parsed.columns if c not in ("symbol", "ts", "issues")]
+    stamps = rows.groupBy("symbol", "ts").agg(
+        F.min_by(F.struct(*payload), F.when(valid, F.struct("source", "row_number"))).alias("_row"),
+        F.count_if(valid).alias("_copies"),
+        F.count_if(~valid).alias("_invalid"),
     )
-    valid = rows.filter(F.size("issues") == 0).drop("issues", "start", "end")
-    unique = keep_first(valid, ("symbol", "ts"), ["source", "row_number"], count_as="_copies")
-    tagged = unique.join(held.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
-    fresh = F.col("_old").isNull()
+    tagged = stamps.join(held.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
+    good = F.col("_copies") > 0
+    fresh = good & F.col("_old").isNull()
     moved = tagged.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("unique_bars"),
+        F.sum(F.col("_copies") + F.col("_invalid")).alias("rows_read"),
+        F.sum("_invalid").alias("invalid_rows"),
+        F.count_if(good).alias("unique_bars"),
         F.count_if(fresh).alias("rows_inserted"),
         (F.sum("_copies") - F.count_if(fresh)).alias("new_duplicates"),
-        F.min(F.when(fresh, F.col("session"))).alias("new_first"),
-        F.max(F.when(fresh, F.col("session"))).alias("new_last"),
+        F.min(F.when(fresh, F.col("_row.session"))).alias("new_first"),
+        F.max(F.when(fresh, F.col("_row.session"))).alias("new_last"),
     )
-    joined = (
-        state.join(read, "symbol", "left")
-        .join(moved, "symbol", "left")
-        .fillna(0, ["old_bars", "rows_read", "invalid_rows", "unique_bars", "rows_inserted", "new_duplicates"])
+    joined = state.join(moved, "symbol", "left").fillna(
+        0, ["old_bars", "rows_read", "invalid_rows", "unique_bars", "rows_inserted", "new_duplicates"]
     )
     kept = F.col("rows_inserted") > 0
     first = F.least(F.col("old_first"), F.when(kept, F.col("new_first")))
@@ -119,7 +122,7 @@ def import_bars(
         status.alias("status"),
         origin.alias("origin"),
     )
-    return tagged.filter(fresh).drop("_old", "_copies"), summary
+    return tagged.filter(fresh).select("symbol", "ts", "_row.*"), summary
 
 
 def import_report(summary: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from pitlab.operators.calendars import rebalance_dates, trading_calendar
 from pitlab.operators.intervals import snapshots_to_intervals
 from pitlab.schemas import PRICE
+from pitlab.session import shared_folder
 
 CENTS = T.DecimalType(18, 2)
 MEMBER_VOLUME = 150
@@ -20,8 +23,18 @@ def ticker(number: Column | str) -> Column:
     return F.format_string("S%06d", F.col(number) if isinstance(number, str) else number)
 
 
+# Paths of tables already written, by application, data folder and name.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
 class Standins:
-    """Lazily derived tables over one data folder."""
+    """Tables derived from one data folder.
+
+    Bars, calendar, memberships and the trade tape are what a research store holds, so they
+    are derived once per application and written to the shared folder, as an import would.
+    Queries then read pruned columns of those tables instead of deriving them from every
+    order line again and again. The other tables are lazy views of small dimensions.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -29,8 +42,21 @@ class Standins:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            df = build()
+            path = f"{shared_folder(self.spark)}/pitlab/store/{uuid.uuid4().hex}/{name}"
+            df.write.parquet(path)
+            _WRITTEN[key] = (path, df.schema)
+        path, schema = _WRITTEN[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     @cached_property
     def bars(self) -> DataFrame:
+        return self.written("bars", self.build_bars)
+
+    def build_bars(self) -> DataFrame:
         """One bar per supplier and ship date.
 
         First and last print are the least and greatest line, so the whole bar is one
@@ -96,12 +122,15 @@ class Standins:
 
     @cached_property
     def calendar(self) -> DataFrame:
+        return self.written("calendar", self.build_calendar)
+
+    def build_calendar(self) -> DataFrame:
         """Sessions straight from the ship dates: no bar needs to be built for them."""
         return trading_calendar(self.table("lineitem").select(F.col("l_shipdate").cast("date").alias("session")))
 
     @cached_property
     def rebalances(self) -> DataFrame:
-        return rebalance_dates(self.calendar)
+        return self.written("rebalances", lambda: rebalance_dates(self.calendar))
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -118,7 +147,7 @@ class Standins:
 
     @cached_property
     def memberships(self) -> DataFrame:
-        return snapshots_to_intervals(self.snapshots)
+        return self.written("memberships", lambda: snapshots_to_intervals(self.snapshots))
 
     @cached_property
     def securities(self) -> DataFrame:
@@ -182,6 +211,9 @@ class Standins:
 
     @cached_property
     def orders(self) -> DataFrame:
+        return self.written("orders", self.build_orders)
+
+    def build_orders(self) -> DataFrame:
         """Trade tape: customers trade ten names; a line without tax has no price."""
         cents = (F.col("l_extendedprice").cast(CENTS) * 100).cast("long")
         return (

@@ -155,5 +155,5 @@ def test_alias_rules(spark):
     from pitlab.functions.text import is_alias_identity
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([("ENB-201702", "Enbridge", "ENB/current SE"), ("SE", "Sea", "ENB/current SE"), ("X", "THE ENB GROUP", "ENB, Foo"), ("FOO", "", "Foo"), ("Y", None, None)], "s string, n string, a string")
+    rows = spark.createDataFrame([("BUY-201702", "Buyer", "BUY/current PI"), ("PI", "Game", "BUY/current PI"), ("X", "THE BUY GROUP", "BUY, Foo"), ("FOO", "", "Foo"), ("Y", None, None)], "s string, n string, a string")
     assert [r[0] for r in rows.select(is_alias_identity(F.col("s"), F.col("n"), F.col("a"))).collect()] == [True, False, True, False, False]

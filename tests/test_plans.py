@@ -80,7 +80,7 @@ def test_scans_are_pruned_and_filtered(small, tmp_path):
     kept = bars_in_range(read_bars(small.spark, str(tmp_path / "bars")), date(1996, 1, 1), date(1996, 2, 1)).select("symbol", "close")
     text = plan(kept)
     assert "GreaterThanOrEqual(session" in text and "volume" not in text.split("ReadSchema")[1]
-    scan = plan(small.bars).split("ReadSchema")[1]
+    scan = plan(small.build_bars()).split("ReadSchema")[1]
     assert "l_tax" not in scan and "l_returnflag" not in scan
 
 
