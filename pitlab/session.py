@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +31,13 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, laptops) and the master is local do we pick a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, laptops) it is a folder of the
+    warehouse, which the driver and all executors share.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    chosen = tempfile.mkdtemp(prefix="pitlab-")
-    spark.conf.set(CHECKPOINT_CONF, chosen)
-    return chosen
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.pitlab-work"
 
 
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
