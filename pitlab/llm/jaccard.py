@@ -11,8 +11,8 @@ frequent ones by rising document count. A document that may miss ``t`` of its to
 
 Documents that share a signature are candidates. Verification compares whole token sets. As only the classes
 are wanted, candidates are met in two rounds: first each member of a signature with the smallest one (hot signatures are
-salted, and the salts' smallest meet again), then, in signatures whose members are still apart, every pair of
-different components. Nothing is sampled or capped.
+salted, and the salts' smallest meet again), then, where members of a signature are still apart, all
+documents led by the same one, in blocks of whole token sets. Nothing is sampled or capped.
 
 Token counts cover all documents; they choose the order and the classes and never change the result. At most
 ``FREQUENT_TOKENS`` tokens are called frequent, the most frequent ones, which bounds the table that is sent to the tasks.
@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlab.llm.common import chunks, mix, utf8, word_hashes, word_table
-from pitlab.llm.components import components
+from pitlab.llm.common import chunks, mix, ragged, utf8, word_hashes, word_table
+from pitlab.llm.components import components, forest
 from pitlab.session import materialize
 
 FREQUENT_FROM = 64
 FREQUENT_TOKENS = 1 << 20
 SALTS = 64
+_BLOCK, _BLOCK_TOKENS, _FEW, _COLUMNS = 384, 1 << 20, 4, 4096
 #: Bits of the table that tells which documents take part in a verification. It lets others pass by chance only.
 PRESENCE_BITS = 20
 SPACES = word_table([(0x20, 0x20), (0x09, 0x0D)])
@@ -220,24 +221,28 @@ def _fits(a: str, b: str, percent: int) -> str:
     return f"100L * LEAST({a}, {b}) >= {percent}L * GREATEST({a}, {b})"
 
 
-def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough.
+def _token_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tokens) of the documents in ``ids``, made again from their texts.
 
-    Sets are made again for documents of the pairs only. At most ``2 ** PRESENCE_BITS`` hash places of their ids are
-    broadcast; they keep nearly all other documents from being read further.
+    At most ``2 ** PRESENCE_BITS`` hash places of the ids are broadcast; they keep nearly all other documents from being
+    read further, and the join on the ids drops the rest.
     """
     place = f"pmod(xxhash64(doc_id), {1 << PRESENCE_BITS}L) AS place"
-    pairs = materialize(pairs, "candidate-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    present = ids.selectExpr(place).distinct()
+    ids = materialize(ids.select("doc_id").distinct(), "wanted-ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = [s.tobytes() for s in column_shingles(batch.column("text"), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "tokens"])
 
-    wanted = documents.selectExpr("doc_id", "text", place).join(F.broadcast(present), "place", "left_semi").select("doc_id", "text")
-    made = materialize(wanted.mapInArrow(sets, "doc_id long, tokens binary"), "token-sets")
+    wanted = documents.selectExpr("doc_id", "text", place).join(F.broadcast(ids.selectExpr(place).distinct()), "place", "left_semi").select("doc_id", "text")
+    return wanted.mapInArrow(sets, "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
+
+
+def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    made = materialize(_token_sets(documents, ids, size), "token-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,6 +259,75 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
     return with_b.join(made.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets share."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    heads = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    spread = np.diff(np.append(heads, len(tokens)))
+    common = np.zeros((n, n), np.float32)
+    # Tokens of few sets pair by pair, the others as columns of a product.
+    few = (spread > 1) & (spread <= _FEW)
+    for count in np.unique(spread[few]):
+        rows = owner[heads[few & (spread == count)][:, None] + np.arange(count)]
+        for x in range(count):
+            for y in range(count):
+                if x != y:
+                    np.add.at(common, (rows[:, x], rows[:, y]), 1)
+    many = np.flatnonzero(spread > _FEW)
+    for low in range(0, len(many), _COLUMNS):
+        part = many[low : low + _COLUMNS]
+        held = np.zeros((n, len(part)), np.float32)
+        held[owner[ragged(heads[part], spread[part])], np.repeat(np.arange(len(part)), spread[part])] = 1
+        common += held @ held.T
+    return common
+
+
+def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is similar within each group of ``groups`` (top, rep, n, c).
+
+    A group is cut into blocks; a task compares all sets of two blocks and sends back at most one link a document. Pairs that
+    are in one component already tell nothing new.
+    """
+    sizes = groups.groupBy("top").agg(F.ceil(F.greatest(F.count("*") / _BLOCK, F.sum("n") / _BLOCK_TOKENS)).cast("long").alias("blocks"))
+    rows = groups.join(sizes, "top").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("top", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("doc_id"), "c")
+    placed = rows.join(sets, "doc_id").select("top", "i", "j", "doc_id", "c", "tokens").repartition("top", "i", "j").sortWithinPartitions("top", "i", "j")
+
+    def compare(parts: list[tuple]) -> pa.RecordBatch:
+        ids, comps = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        held = [np.frombuffer(x, np.uint64) for p in parts for x in p[2]]
+        counts = np.array([len(x) for x in held], np.int64)
+        common = _overlaps(held).astype(np.int64)
+        linked = 100 * common >= percent * (counts[:, None] + counts[None, :] - common)
+        a, b = np.nonzero(linked & np.not_equal.outer(comps, comps) & np.less.outer(ids, ids))
+        node, root = forest(ids[a], ids[b])
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("top", "i", "j")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(batch)]))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(keys[:, low].tolist())
+                if key != now and held:
+                    yield compare(held)
+                    held = []
+                now = key
+                part = batch.slice(low, high - low)
+                held.append((part.column("doc_id").to_numpy(), part.column("c").to_numpy(), part.column("tokens").to_pylist()))
+        if held:
+            yield compare(held)
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
 def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -284,13 +358,13 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     # Second round: signatures that still join several components. Each pair of members of different ones is verified.
     grouped = components(links)
-    placed = shared.join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    first = shared.groupBy("sig").agg(F.min("lead").alias("top"))
+    placed = shared.join(first, "sig").join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "top", "rep", "n", F.coalesce("component", "rep").alias("c"))
     placed = materialize(placed, "placed-signatures")
     apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    members = placed.join(apart, "sig").distinct()
-    x, y = members.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), members.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    crossing = x.join(y, "sig").where(f"c_a != c_b AND a < b AND {_fits('n_a', 'n_b', percent)}").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(docs, crossing, size, percent).distinct(), "links-second")
+    groups = materialize(placed.join(apart, "sig").select("top", "rep", "n", "c").distinct(), "open-groups")
+    sets = materialize(_token_sets(docs, groups.select(F.col("rep").alias("doc_id")), size), "token-sets")
+    more = materialize(_within_groups(groups, sets, percent).distinct(), "links-second")
 
     copies = prints.join(classes, ["n", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.unionByName(more).unionByName(copies))
