@@ -210,9 +210,6 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tupl
     return counts, np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1, sorted(found)
 
 
-FOUND = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
-
-
 def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str, str]]]:
     blocks, size = [[]], 0
     rows = benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
@@ -225,10 +222,14 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str, s
     return blocks
 
 
-def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: n_words, merged spans (first word, word after the last) and ids of items, as strings."""
-    found = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = found.selectExpr("doc_id", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS starts", "CAST(array() AS array<bigint>) AS ends", "CAST(array() AS array<string>) AS items")
+def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: n_words, merged spans (first word, word after the last) and ids of items, as strings.
+
+    Columns named in ``carry`` go along.
+    """
+    carry = carry or []
+    found = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
+    found = found.selectExpr(*carry, "doc_id", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS starts", "CAST(array() AS array<bigint>) AS ends", "CAST(array() AS array<string>) AS items")
     for block in _blocks(benchmark, item_key, item_text):
         found = _pass(found, phrases_of(block))
     return found.drop("text")
@@ -237,6 +238,7 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
 def _pass(found: DataFrame, phrases: Phrases) -> DataFrame:
     """Adds what one block of the benchmark finds."""
     shared = found.sparkSession.sparkContext.broadcast(phrases)  # of at most BLOCK_BYTES of text
+    names = found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +256,10 @@ def _pass(found: DataFrame, phrases: Phrases) -> DataFrame:
                         columns[0][row], columns[1][row] = [a for a, _ in spans], [b for _, b in spans]
                         columns[2][row] = sorted({*columns[2][row], *(i for r, i in pairs if r == row)})
                     columns = [pa.array(c, pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(counts), *columns], names=["doc_id", "text", "n_words", "starts", "ends", "items"])
+                held = [part.column(c) for c in names[:-4]]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(counts), *columns], names=names)
 
-    return found.mapInArrow(run, "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>")
+    return found.mapInArrow(run, found.schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -270,8 +273,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(found: DataFrame) -> DataFrame:
+def contamination(found: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The verdict of each document: hit words, items, and whether hit words are at least a twentieth of all."""
+    carry = carry or []
     hit = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda total, s: total + s["ends"] - s["starts"])
-    rows = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws(":", s["starts"], s["ends"])).alias("spans"))
-    return rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), F.array_join("spans", ",").alias("removal_spans"))
+    rows = found.select(*carry, "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.transform(F.arrays_zip("starts", "ends"), lambda s: F.concat_ws(":", s["starts"], s["ends"])).alias("spans"))
+    return rows.select(*carry, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.expr("n_hit > 0 AND 20 * n_hit >= n_words").alias("contaminated"), F.array_join("spans", ",").alias("removal_spans"))

@@ -12,7 +12,8 @@ frequent ones by rising document count. A document that may miss ``t`` of its to
 Documents that share a signature are candidates. Verification compares whole token sets. As only the classes
 are wanted, candidates are met in two rounds: first each member of a signature with the smallest one (hot signatures are
 salted, and the salts' smallest meet again), then, where members of a signature are still apart, all
-documents led by the same one, in blocks of whole token sets. Nothing is sampled or capped.
+documents led by the same one, in blocks: signatures and sizes rule out most pairs for good, and whole token sets
+decide the others. Nothing is sampled or capped.
 
 Token counts cover all documents; they choose the order and the classes and never change the result. At most
 ``FREQUENT_TOKENS`` tokens are called frequent, the most frequent ones, which bounds the table that is sent to the tasks.
@@ -24,7 +25,7 @@ component. Repeated rows give repeated rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +203,7 @@ class Signatures:
 
 
 def _signatures(documents: DataFrame, frequent: pa.Table, slices: int, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, signatures) of every document with a token."""
+    """(doc_id, n, rare, signatures) of every document: ``rare`` of the signatures are single tokens."""
     shift = 64 - _KEPT - (slices - 1).bit_length()
     table = (frequent.column("token").to_numpy().astype(np.uint64), frequent.column("df").to_numpy())
     shared = documents.sparkSession.sparkContext.broadcast(table)  # at most FREQUENT_TOKENS rows of 16 bytes
@@ -212,9 +213,10 @@ def _signatures(documents: DataFrame, frequent: pa.Table, slices: int, size: int
         for batch in batches:
             sets = [(len(s), signatures.of(s)) for s in column_shingles(batch.column("text"), size)]
             data = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for _, x in sets]))), pa.int32()), pa.array(np.concatenate([x for _, x in sets] or [np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), data], names=["doc_id", "n", "signatures"])
+            rare = [int((x & np.uint64(1) == 0).sum()) for _, x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array(rare, pa.int64()), data], names=["doc_id", "n", "rare", "signatures"])
 
-    return documents.mapInArrow(run, "doc_id long, n long, signatures array<long>")
+    return documents.mapInArrow(run, "doc_id long, n long, rare long, signatures array<long>")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -286,26 +288,16 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join what is similar within each group of ``groups`` (top, rep, n, c).
-
-    A group is cut into blocks; a task compares all sets of two blocks and sends back at most one link a document. Pairs that
-    are in one component already tell nothing new.
-    """
-    sizes = groups.groupBy("top").agg(F.ceil(F.greatest(F.count("*") / _BLOCK, F.sum("n") / _BLOCK_TOKENS)).cast("long").alias("blocks"))
+def _in_blocks(groups: DataFrame, weight: str, most: int) -> DataFrame:
+    """``groups`` with block numbers (i, j): each two rows of a ``top`` meet in some block pair of bounded weight."""
+    sizes = groups.groupBy("top").agg(F.ceil(F.greatest(F.count("*") / _BLOCK, F.sum(weight) / most)).cast("long").alias("blocks"))
     rows = groups.join(sizes, "top").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("top", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("rep").alias("doc_id"), "c")
-    placed = rows.join(sets, "doc_id").select("top", "i", "j", "doc_id", "c", "tokens").repartition("top", "i", "j").sortWithinPartitions("top", "i", "j")
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
-    def compare(parts: list[tuple]) -> pa.RecordBatch:
-        ids, comps = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        held = [np.frombuffer(x, np.uint64) for p in parts for x in p[2]]
-        counts = np.array([len(x) for x in held], np.int64)
-        common = _overlaps(held).astype(np.int64)
-        linked = 100 * common >= percent * (counts[:, None] + counts[None, :] - common)
-        a, b = np.nonzero(linked & np.not_equal.outer(comps, comps) & np.less.outer(ids, ids))
-        node, root = forest(ids[a], ids[b])
-        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], names=["a", "b"])
+
+def _each_block(rows: DataFrame, columns: list[str], compare: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """``compare`` over the rows of each block pair, its columns as lists of one kind of array per batch."""
+    placed = rows.select("top", "i", "j", *columns).repartition("top", "i", "j").sortWithinPartitions("top", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -317,15 +309,66 @@ def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 key = tuple(keys[:, low].tolist())
                 if key != now and held:
-                    yield compare(held)
+                    yield compare(now[0], pa.Table.from_batches(held))
                     held = []
                 now = key
-                part = batch.slice(low, high - low)
-                held.append((part.column("doc_id").to_numpy(), part.column("c").to_numpy(), part.column("tokens").to_pylist()))
+                held.append(batch.slice(low, high - low))
         if held:
-            yield compare(held)
+            yield compare(now[0], pa.Table.from_batches(held))
+
+    return placed.mapInArrow(run, schema)
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+def _hopeful(groups: DataFrame, percent: int) -> DataFrame:
+    """The rows (top, rep) of ``groups`` (top, rep, n, rare, c, sigs) that may link to another component of their group.
+
+    Tokens that two documents share beyond their common signatures can only stand behind a prefix, so the signatures
+    and sizes give an upper bound of what they share; a pair whose bound is too small is left out for good.
+    """
+
+    def compare(top: int, table: pa.Table) -> pa.RecordBatch:
+        ids, comps, n, rare = _numbers(table, "rep", "c", "n", "rare")
+        held = [np.array(x, np.int64) for x in table.column("sigs").to_pylist()]
+        plain = np.array([not (x & 1).any() for x in held])
+        common = _overlaps([x[x & 1 == 0] for x in held])
+        rest = (n - rare).astype(np.float64)
+        both, neither = np.logical_and.outer(plain, plain), np.logical_and.outer(~plain, ~plain)
+        # One plain: the bound is that document's rest. Neither: only frequent tokens are left to share.
+        mixed = np.where(plain[:, None], rest[:, None], rest[None, :])
+        bound = common + np.where(both, np.maximum.outer(rest, rest), np.where(neither, np.minimum.outer(rest, rest), mixed))
+        total = np.add.outer(n, n)
+        fits = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+        open_ = ((100 + percent) * bound >= percent * total) & fits & np.not_equal.outer(comps, comps)
+        found = ids[open_.any(axis=1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), top)), pa.array(found)], names=["top", "rep"])
+
+    rows = _in_blocks(groups.withColumn("held", F.size("sigs")), "held", _BLOCK_TOKENS)
+    return _each_block(rows, ["rep", "c", "n", "rare", "sigs"], compare, "top long, rep long").distinct()
+
+
+def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is similar within each group of ``groups`` (top, rep, n, c).
+
+    A group is cut into blocks; a task compares all sets of two blocks and sends back at most one link a document. Pairs that
+    are in one component already tell nothing new.
+    """
+
+    def compare(top: int, table: pa.Table) -> pa.RecordBatch:
+        ids, comps = _numbers(table, "doc_id", "c")
+        held = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        counts = np.array([len(x) for x in held], np.int64)
+        common = _overlaps(held).astype(np.int64)
+        linked = 100 * common >= percent * (counts[:, None] + counts[None, :] - common)
+        a, b = np.nonzero(linked & np.not_equal.outer(comps, comps) & np.less.outer(ids, ids))
+        node, root = forest(ids[a], ids[b])
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.array(node)], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    rows = _in_blocks(groups, "n", _BLOCK_TOKENS).withColumnRenamed("rep", "doc_id").join(sets, "doc_id")
+    return _each_block(rows, ["doc_id", "c", "tokens"], compare, "a long, b long")
 
 
 def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -342,12 +385,12 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     held = _signatures(docs.where("doc_id IS NOT NULL"), frequent, slices, size, percent)
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    postings = held.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", F.explode("signatures").alias("sig"))
+    postings = held.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "rare", F.explode("signatures").alias("sig"))
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
     salted = postings.withColumn("salt", F.when(odd, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     salts = Window.partitionBy("sig", "salt")
     led = salted.withColumn("lead", F.min(F.struct("rep", "n")).over(salts)).withColumn("members", F.count("*").over(salts)).where((F.col("members") > 1) | odd)
-    shared = materialize(led.select("sig", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "signatures")
+    shared = materialize(led.select("sig", "rep", "n", "rare", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "signatures")
 
     # First round: each member with the smallest one of its salt, and the salts' smallest with the smallest of all.
     inner = shared.where(f"rep != lead AND {_fits('n', 'lead_n', percent)}").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
@@ -359,12 +402,15 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     # Second round: signatures that still join several components. Each pair of members of different ones is verified.
     grouped = components(links)
     first = shared.groupBy("sig").agg(F.min("lead").alias("top"))
-    placed = shared.join(first, "sig").join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "top", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    placed = shared.join(first, "sig").join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "top", "rep", "n", "rare", F.coalesce("component", "rep").alias("c"))
     placed = materialize(placed, "placed-signatures")
     apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    groups = materialize(placed.join(apart, "sig").select("top", "rep", "n", "c").distinct(), "open-groups")
-    sets = materialize(_token_sets(docs, groups.select(F.col("rep").alias("doc_id")), size), "token-sets")
-    more = materialize(_within_groups(groups, sets, percent).distinct(), "links-second")
+    groups = placed.join(apart, "sig").select("top", "rep").distinct()
+    held = placed.groupBy("rep").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("c").alias("c"), F.collect_set("sig").alias("sigs"))
+    groups = materialize(groups.join(held, "rep"), "open-groups")
+    hopeful = materialize(groups.drop("sigs").join(_hopeful(groups, percent), ["top", "rep"]), "hopeful")
+    sets = materialize(_token_sets(docs, hopeful.select(F.col("rep").alias("doc_id")), size), "token-sets")
+    more = materialize(_within_groups(hopeful, sets, percent).distinct(), "links-second")
 
     copies = prints.join(classes, ["n", "h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     whole = components(links.unionByName(more).unionByName(copies))
