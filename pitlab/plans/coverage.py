@@ -65,7 +65,7 @@ def pit_coverage(
         rows.select(F.col("symbol").alias("listing"), F.col("expected_start").alias("w_start"), day(end).alias("w_end")), tickers
     )
     fetch = F.col("fetch_symbols")
-    looked_up = F.when(F.size(fetch) > 1, F.slice(fetch, 2, 1_000_000)).otherwise(fetch)
+    looked_up = F.when(F.size(fetch) > 1, F.slice(fetch, F.lit(2), F.size(fetch) - 1)).otherwise(fetch)
     win = windows.select(F.col("symbol").alias("_name"), F.struct("first_date", "last_date").alias("_w"))
     series = (
         names.select(F.col("listing").alias("symbol"), F.posexplode(looked_up).alias("_n", "_name"))

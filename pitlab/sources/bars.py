@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +15,7 @@ from pitlab.functions.dates import has_offset
 from pitlab.functions.text import fixed_point, normalize_symbol
 from pitlab.operators.dedupe import dedupe_bars
 from pitlab.params import ParameterError, warmup_start
-from pitlab.schemas import BAR_TEXT_COLUMNS, BARS, OHLCV_COLUMNS, PRICE, assert_columns
+from pitlab.schemas import BAR_TEXT_COLUMNS, BARS, OHLCV_COLUMNS, PRICE, SchemaError
 
 NUMBERS = ("open", "high", "low", "close")
 # Fixed value: the UTC time of day given to a bar that only names its date.
@@ -45,6 +46,15 @@ def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry:
         problem = F.concat(F.lit(f"cannot read {name}: "), F.coalesce(text[name], F.lit("NULL")))
         return F.when(bad, F.raise_error(problem).cast(kind)).otherwise(value)
 
+    def whole(name: str) -> Column:
+        """A count; ``100.0`` is one, ``100.5`` is not."""
+        value = text[name].try_cast(T.DecimalType(38, 10))
+        found = F.when(value == F.floor(value), value).try_cast(T.LongType())
+        if not fatal:
+            return found
+        problem = F.concat(F.lit(f"cannot read {name}: "), F.coalesce(text[name], F.lit("NULL")))
+        return F.when(found.isNull(), F.raise_error(problem).cast("long")).otherwise(found)
+
     ts = text["timestamp"].try_cast("timestamp")
     if fatal:
         problem = F.concat(F.lit("cannot read timestamp: "), F.coalesce(text["timestamp"], F.lit("NULL")))
@@ -55,7 +65,7 @@ def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry:
         ts.alias("ts"),
         *[number(c, PRICE).alias(c) for c in NUMBERS],
         number("adjusted_close", PRICE, optional=True).alias("adjusted_close"),
-        number("volume", T.LongType()).alias("volume"),
+        whole("volume").alias("volume"),
         (~has_offset(text["timestamp"])).alias("naive"),
         *[F.col(c) for c in kept],
     )
@@ -71,6 +81,40 @@ def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry:
     return typed.withColumn("issues", issues(rules)).withColumn("session", F.to_date("ts")).drop("naive")
 
 
+def read_csv_rows(spark: SparkSession, path: str | Sequence[str], what: str = "bar file") -> DataFrame:
+    """Text cells of bar files, each file read by the names in its own first line.
+
+    Adds ``source`` (the file) and ``row_number`` (its line, the header being line 1). Files may name their columns in
+    any order and have others besides; one without the required columns is an error.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    # Lines of a split follow each other, so a line's number is its place in the split plus the lines of those before.
+    splits = lines.groupBy("source", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.min_by("value", "_id").alias("_head"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    head = F.first("_head").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    splits = splits.select("source", "_block", "_first", before.alias("_before"), F.regexp_replace(head, "^\ufeff", "").alias("_header"))
+    rows = lines.join(splits, ["source", "_block"]).withColumn("row_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    rows = rows.filter((F.col("row_number") > 1) & (F.trim("value") != ""))
+
+    cells = F.lit(None)
+    # One value per way of writing the first line, not per file.
+    for (header,) in splits.select("_header").distinct().toLocalIterator():
+        names = [n.strip().lower() for n in next(csv.reader([header]))]
+        missing = sorted(set(BAR_TEXT_COLUMNS) - set(names))
+        if missing:
+            raise SchemaError(f"{what}: missing required columns {', '.join(missing)}")
+        parsed = F.from_csv("value", ", ".join(f"_c{k} STRING" for k in range(len(names))))
+        own = F.struct(*[parsed[f"_c{names.index(c)}"].alias(c) for c in BAR_TEXT_COLUMNS])
+        cells = F.when(F.col("_header") == header, own).otherwise(cells)
+    kind = ", ".join(f"{c}: STRING" for c in BAR_TEXT_COLUMNS)
+    return rows.select(cells.cast(f"STRUCT<{kind}>").alias("_c"), "source", "row_number").select("_c.*", "source", "row_number")
+
+
 def read_bars_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -86,16 +130,7 @@ def read_bars_csv(
     """
     if start is not None and end is not None and start > end:
         raise ParameterError("start must be <= end")
-    header = spark.read.option("header", "true").csv(path).columns
-    raw = spark.read.option("header", "true").csv(path)
-    assert_columns(raw, BAR_TEXT_COLUMNS, "bar file")
-    names = {h.strip().lstrip("﻿").lower(): h for h in header}
-    # Position in the file orders duplicates: Spark keeps rows of one split in order.
-    rows = raw.select(
-        *[F.col(f"`{names[c]}`").alias(c) for c in BAR_TEXT_COLUMNS],
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("row_number"),
-    )
+    rows = read_csv_rows(spark, path)
     if symbols is not None:
         rows = rows.filter(normalize_symbol("symbol").isin([s.strip().upper() for s in symbols]))
     parsed = parse_bars(rows, strict=strict)
@@ -122,13 +157,7 @@ def read_bars_csv(
 
 def read_bars_lenient(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Cache scan: rows that cannot be read or break a rule are dropped, then first wins."""
-    raw = spark.read.option("header", "true").csv(path)
-    assert_columns(raw, BAR_TEXT_COLUMNS, "bar cache")
-    rows = raw.select(
-        *BAR_TEXT_COLUMNS,
-        F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("row_number"),
-    )
+    rows = read_csv_rows(spark, path, "bar cache")
     good = parse_bars(rows, fatal=False).filter(F.size("issues") == 0).drop("issues")
     return dedupe_bars(good, ["source", "row_number"]).select(*BARS.fieldNames())
 
@@ -152,12 +181,16 @@ def discover_symbols(spark: SparkSession, folder: str, skip: Sequence[str] = ("m
 
 
 def read_symbol_files(spark: SparkSession, folder: str, symbol: str) -> DataFrame:
-    """Raw rows of the file of one symbol, found by name without regard to case."""
-    rows = spark.read.option("header", "true").option("pathGlobFilter", "*.[cC][sS][vV]").csv(folder)
-    assert_columns(rows, BAR_TEXT_COLUMNS, "bar file")
-    return rows.filter(file_symbol(F.col("_metadata.file_name")) == symbol.strip().upper()).filter(
-        normalize_symbol("symbol") == symbol.strip().upper()
-    )
+    """Raw rows of the file of one symbol, found by name without regard to case; the first by name if there are two.
+
+    ``{SYMBOL}.csv`` and ``{symbol}_daily.csv`` are its names. No such file is an error.
+    """
+    wanted = symbol.strip().upper()
+    named = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    found = named.filter(file_symbol(F.col("file")) == wanted).agg(F.min_by("path", "file")).first()[0]
+    if found is None:
+        raise ParameterError(f"no bar file for symbol {wanted} in {folder}")
+    return read_csv_rows(spark, found).filter(normalize_symbol("symbol") == wanted)
 
 
 def read_bars(spark: SparkSession, path: str, provider: str = "parquet", **options: str) -> DataFrame:

@@ -19,8 +19,12 @@ def _iso(text: Column, field: str, required: bool) -> Column:
 
 
 def flatten_catalog(payload: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(securities, tickers, identifiers) of catalog documents, with the usual defaults."""
-    each = payload.select("source", "source_version", F.posexplode("securities").alias("_n", "s"))
+    """(securities, tickers, identifiers) of catalog documents, with the usual defaults.
+
+    ``ord`` keeps the order of tickers: by file (column ``file``, if present), security and place.
+    """
+    file = F.col("file") if "file" in payload.columns else F.lit("")
+    each = payload.select(file.alias("_file"), "source", "source_version", F.posexplode("securities").alias("_n", "s"))
     securities = each.select(
         F.col("s.seed_key").alias("seed_key"),
         F.col("s.display_name").alias("display_name"),
@@ -29,7 +33,7 @@ def flatten_catalog(payload: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.upper(F.coalesce(F.nullif(F.col("s.status"), F.lit("")), F.lit("ACTIVE"))).alias("status"),
         F.col("s.notes").alias("notes"),
     )
-    rows = each.select("source", "source_version", "_n", "s.seed_key", F.posexplode("s.tickers").alias("_m", "t"))
+    rows = each.select("_file", "source", "source_version", "_n", "s.seed_key", F.posexplode("s.tickers").alias("_m", "t"))
     tickers = rows.select(
         "seed_key",
         F.lower(F.trim("t.scheme")).alias("scheme"),
@@ -39,7 +43,7 @@ def flatten_catalog(payload: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         F.coalesce("t.continuity", F.lit(False)).alias("continuity"),
         F.coalesce(F.nullif(F.col("t.source"), F.lit("")), F.col("source"), F.lit("security-master-seed")).alias("source"),
         F.coalesce(F.nullif(F.col("t.source_version"), F.lit("")), F.col("source_version")).alias("source_version"),
-        (F.col("_n").cast("long") * 1_000_000 + F.col("_m")).alias("ord"),
+        F.struct(F.col("_file").alias("file"), F.col("_n").alias("security"), F.col("_m").alias("place")).alias("ord"),
     )
     ids = each.select("s.seed_key", F.explode("s.identifiers").alias("i")).select(
         "seed_key",
@@ -54,7 +58,7 @@ def flatten_catalog(payload: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 def read_security_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The catalog is one hand-kept JSON document per file; many files are read in parallel."""
     payload = spark.read.schema(CATALOG_JSON).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    return flatten_catalog(payload)
+    return flatten_catalog(payload.withColumn("file", F.col("_metadata.file_path")))
 
 
 def upsert_catalog(

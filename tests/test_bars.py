@@ -198,3 +198,45 @@ def test_stream_matches_batch(spark, tmp_path):
     stored = spark.read.parquet(table)
     assert [r["session"].day for r in stored.orderBy("session").collect()] == [2, 6]
     assert set(BARS.fieldNames()) <= set(stored.columns)
+
+
+def test_stream_keeps_a_late_backfill(spark, tmp_path):
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+    write(folder / "a.csv", "IBM,2025-12-01T14:30:00Z,10,12,9,11,10,5")
+    raw = read_raw_stream(spark, str(folder))
+    ingest(raw, table, str(tmp_path / "ckpt"), once=True).awaitTermination(120)
+    write(folder / "b.csv", *(f"OLD,{year}-01-06T14:30:00Z,10,12,9,11,10,5" for year in range(2015, 2025)))
+    ingest(raw, table, str(tmp_path / "ckpt"), once=True).awaitTermination(120)
+    assert spark.read.parquet(table).count() == 11
+
+
+def test_csv_columns_are_read_by_name_per_file(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("symbol,timestamp,open,high,low,close,adjusted_close,volume\nIBM,2020-01-02T14:30:00Z,10,12,9,11,10,100.0\n")
+    (folder / "b.csv").write_text("\ufeffVolume, low ,high,open,close,note,adjusted_close,timestamp,symbol\n7,1,4,2,3,\"x,y\",,2020-01-03T14:30:00Z,msft\n-1,1,4,2,3,z,,2020-01-04T14:30:00Z,msft\n")
+    bars, rejects, counts = b.read_bars_csv(spark, str(folder))
+    got = {r["symbol"]: (float(r["open"]), float(r["high"]), float(r["low"]), float(r["close"]), r["volume"]) for r in bars.collect()}
+    assert got == {"IBM": (10.0, 12.0, 9.0, 11.0, 100), "MSFT": (2.0, 4.0, 1.0, 3.0, 7)}
+    (bad,) = rejects.collect()
+    assert bad["row_number"] == 3 and "row=3 symbol=MSFT" in bad["messages"][0]
+    (folder / "c.csv").write_text("symbol,timestamp\nA,2020-01-02T14:30:00Z\n")
+    with pytest.raises(Exception, match="missing required columns"):
+        b.read_bars_csv(spark, str(folder))
+
+
+def test_volume_with_a_fraction_is_no_number(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    write(path, "IBM,2020-01-02T14:30:00Z,10,12,9,11,10,5.5")
+    assert b.read_bars_lenient(spark, str(path)).count() == 0
+    with pytest.raises(Exception, match="cannot read volume"):
+        b.read_bars_csv(spark, str(path))[0].collect()
+
+
+def test_symbol_file_is_the_first_match(spark, tmp_path):
+    write(tmp_path / "IBM.csv", "IBM,2020-01-02T14:30:00Z,10,12,9,11,10,5")
+    write(tmp_path / "ibm_daily.csv", "IBM,2020-01-03T14:30:00Z,10,12,9,11,10,5", "IBM,2020-01-04T14:30:00Z,10,12,9,11,10,5")
+    assert b.read_symbol_files(spark, str(tmp_path), "ibm").count() == 1
+    with pytest.raises(Exception, match="no bar file"):
+        b.read_symbol_files(spark, str(tmp_path), "NONE")
