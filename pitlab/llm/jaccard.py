@@ -323,6 +323,18 @@ def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in names]
 
 
+def _possible(pairs: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound of ``_hopeful`` lets link; ``listed`` has rep, n, rare and held signatures."""
+    part = listed.select("rep", "n", "rare", F.col("held.sig").alias("sigs"))
+    sides = [part.select(*(F.col(c).alias(f"{c}_{x}" if c != "rep" else x) for c in part.columns)) for x in "ab"]
+    both = pairs.join(sides[1], "b").join(sides[0], "a")
+    plain = {x: f"NOT exists(sigs_{x}, s -> s & 1 = 1)" for x in "ab"}
+    rest = {x: f"(n_{x} - rare_{x})" for x in "ab"}
+    more = f"CASE WHEN {plain['a']} AND {plain['b']} THEN GREATEST({rest['a']}, {rest['b']}) WHEN {plain['a']} THEN {rest['a']} WHEN {plain['b']} THEN {rest['b']} ELSE LEAST({rest['a']}, {rest['b']}) END"
+    common = "size(filter(array_intersect(sigs_a, sigs_b), s -> s & 1 = 0))"
+    return both.where(f"{_fits('n_a', 'n_b', percent)} AND {100 + percent} * ({common} + {more}) >= {percent} * (n_a + n_b)").select("a", "b")
+
+
 def _hopeful(groups: DataFrame, percent: int) -> DataFrame:
     """The rows (top, rep) of ``groups`` (top, rep, n, rare, c, sigs) that may link to another component of their group.
 
@@ -389,25 +401,30 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
     salted = postings.withColumn("salt", F.when(odd, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     salts = Window.partitionBy("sig", "salt")
-    led = salted.withColumn("lead", F.min(F.struct("rep", "n")).over(salts)).withColumn("members", F.count("*").over(salts)).where((F.col("members") > 1) | odd)
-    shared = materialize(led.select("sig", "rep", "n", "rare", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "signatures")
+    led = salted.withColumn("lead", F.min("rep").over(salts)).withColumn("members", F.count("*").over(salts)).where((F.col("members") > 1) | odd)
+    led = materialize(led.select("sig", "rep", "n", "rare", "lead"), "led-signatures")
+    tops = led.where((F.col("rep") == F.col("lead")) & odd).select("sig", "lead").distinct().withColumn("top", F.min("lead").over(Window.partitionBy("sig")))
+    tops = materialize(tops, "signature-tops")
+    # Each document with its shared signatures and the smallest document of each.
+    paired = led.where(odd).join(tops, ["sig", "lead"])
+    shared = led.where(~odd).withColumnRenamed("lead", "top").unionByName(paired.drop("lead"))
+    listed = shared.groupBy("rep").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.collect_set(F.struct("sig", "top")).alias("held"))
+    listed = materialize(listed, "listed-signatures")
 
     # First round: each member with the smallest one of its salt, and the salts' smallest with the smallest of all.
-    inner = shared.where(f"rep != lead AND {_fits('n', 'lead_n', percent)}").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    tops = shared.where((F.col("rep") == F.col("lead")) & odd).select("sig", "rep", "n").distinct()
-    outer = tops.withColumn("lead", F.min(F.struct("rep", "n")).over(Window.partitionBy("sig"))).where(f"rep != lead.rep AND {_fits('n', 'lead.n', percent)}")
-    tried = materialize(inner.unionByName(outer.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))).distinct(), "tried-pairs")
-    links = materialize(_verified(docs, tried, size, percent).distinct(), "links-first")
+    inner = led.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    outer = tops.where("lead != top").select(F.col("top").alias("a"), F.col("lead").alias("b"))
+    pairs = _possible(inner.unionByName(outer).distinct(), listed, percent)
+    links = materialize(_verified(docs, materialize(pairs, "tried-pairs"), size, percent).distinct(), "links-first")
 
-    # Second round: signatures that still join several components. Each pair of members of different ones is verified.
+    # Second round: documents of signatures that still join several components.
     grouped = components(links)
-    first = shared.groupBy("sig").agg(F.min("lead").alias("top"))
-    placed = shared.join(first, "sig").join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "top", "rep", "n", "rare", F.coalesce("component", "rep").alias("c"))
-    placed = materialize(placed, "placed-signatures")
-    apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig")
-    groups = placed.join(apart, "sig").select("top", "rep").distinct()
-    held = placed.groupBy("rep").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), F.max("c").alias("c"), F.collect_set("sig").alias("sigs"))
-    groups = materialize(groups.join(held, "rep"), "open-groups")
+    placed = listed.join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    placed = materialize(placed.select("rep", "n", "rare", "c", "held"), "placed-signatures")
+    each = placed.select("rep", "c", F.inline("held"))
+    same = Window.partitionBy("sig")
+    apart = each.withColumn("low", F.min("c").over(same)).withColumn("high", F.max("c").over(same)).where("low < high").select("top", "rep").distinct()
+    groups = materialize(apart.join(placed.select("rep", "n", "rare", "c", F.col("held.sig").alias("sigs")), "rep"), "open-groups")
     hopeful = materialize(groups.drop("sigs").join(_hopeful(groups, percent), ["top", "rep"]), "hopeful")
     sets = materialize(_token_sets(docs, hopeful.select(F.col("rep").alias("doc_id")), size), "token-sets")
     more = materialize(_within_groups(hopeful, sets, percent).distinct(), "links-second")

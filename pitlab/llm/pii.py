@@ -112,8 +112,9 @@ _plus = re.compile(r"\bplus (?=[0-9])", re.IGNORECASE)
 
 _at = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:at|@|arroba)[ ]{0,2}[\])}>][ ]{0,2}", re.IGNORECASE)
 _dot = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:dot|\.|punkt|punto|point)[ ]{0,2}[\])}>][ ]{0,2}", re.IGNORECASE)
-# Bare words count only in the whole shape "name at host dot name".
-_bare = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at> at |@)[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
+# Bare words count only in the whole shape "name at host dot name", with a usual last name.
+_LAST = "(?:com|org|net|edu|gov|info|io|co|us|uk|de|fr|es|eu|ch|at|it|nl|be|mx|ar|ca)"
+_bare = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at> at |@)[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){0,5}(?: dot |\.)" + _LAST + r"(?![A-Za-z0-9-])", re.IGNORECASE)
 _bare_dot = re.compile(r" dot ", re.IGNORECASE)
 _hint = re.compile(r"[\[({<][ ]{0,2}(?:at|@|arroba|dot|\.|punkt|punto|point)[ ]{0,2}[\])}>]| dot ", re.IGNORECASE)
 

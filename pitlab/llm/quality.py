@@ -30,7 +30,7 @@ from pitlab.llm.common import CHUNK_BYTES, chunks, mix, span_hashes, utf8
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE_DOCS = 6000
-WIDTH, EPOCHS, RATE, SEED = 16, 4, 0.05, 7
+WIDTH, STEPS, RATE, SEED = 16, 12_000, 0.1, 7
 
 _AGAIN = np.uint64(0xA6A1)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -92,7 +92,7 @@ def row_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.unique(found[order[begin:end]], return_counts=True)
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, int]], width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> LinearModel:
+def train(samples: list[tuple[np.ndarray, np.ndarray, int]], width: int = WIDTH, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> LinearModel:
     """Averaged subword vectors under softmax, by stochastic gradient descent over (buckets, counts, label)."""
     labels = np.array([y for _, _, y in samples], int)
     if len(set(labels.tolist())) < 2:
@@ -102,9 +102,9 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], width: int = WIDTH,
     vectors = drawn.uniform(-1 / width, 1 / width, (BUCKETS, width)).astype(np.float32)
     output, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
     scaled = [(ids, (counts / counts.sum()).astype(np.float32), y) for ids, counts, y in samples if len(ids)]
-    steps, done = epochs * len(scaled), 0
-    for _ in range(epochs):
-        for k in drawn.permutation(len(scaled)):
+    done = 0
+    while done < steps and scaled:
+        for k in drawn.permutation(len(scaled))[: steps - done]:
             ids, share, label = scaled[k]
             rows = vectors[ids]
             mean = share @ rows

@@ -50,10 +50,9 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     spread[borders] = False
     letters[spread] = letter_index()[codes]
     kept = np.ones(len(letters), bool)
-    kept[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | ~spread[1:]
-    # A row's own border after a run of others would make two: the row's one goes, but its place is remembered.
-    follow = np.flatnonzero(~spread & (np.concatenate(([False], (letters[:-1] == 0) & kept[:-1]))))
-    kept[follow] = False
+    kept[1:] = (letters[1:] > 0) | (letters[:-1] > 0)
+    # A border after another 0 would make two: it goes, and the symbol before stands for it.
+    kept[borders[1:]] = letters[borders[1:] - 1] > 0
     symbols = letters[kept]
     at = np.cumsum(kept) - 1
     edges = at[borders]  # the border that opens each row, and closes the one before
