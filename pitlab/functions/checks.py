@@ -75,7 +75,7 @@ ORDER_STATUSES = (
     "FAILED",
 )
 SECURITY_STATUSES = ("ACTIVE", "DELISTED")
-TICKER_SCHEMES = ("listing", "vendor")
+TICKER_SCHEMES = ("listing", "yahoo")
 ACTION_TYPES = (
     "NO_ACTION",
     "SPLIT",

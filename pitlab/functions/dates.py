@@ -30,11 +30,6 @@ def overlaps_window(start: Column, end: Column, w_start: Column | date, w_end: C
     return (start <= day(w_end)) & (end.isNull() | (day(w_start) < end))
 
 
-def intervals_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Two half-open intervals; touching at a boundary is not an overlap."""
-    return (a_start < effective_end(b_end)) & (b_start < effective_end(a_end))
-
-
 def valid_through(start: Column, end: Column, d: Column) -> Column:
     """Inclusive on both sides, closed intervals only (used for listing terminations)."""
     return (start <= d) & end.isNotNull() & (d <= end)

@@ -19,7 +19,8 @@ from pitlab.functions.text import listing_id, position_key
 from pitlab.operators.intervals import overlap_counts, timeline
 
 LISTING = "listing"
-VENDOR = "vendor"
+# Fixed value: the word by which catalogs mark vendor tickers, unless a caller names another.
+VENDOR = "yahoo"
 RESOLVED = "RESOLVED"
 UNRESOLVED = "UNRESOLVED"
 
@@ -49,13 +50,13 @@ def _at(rows: DataFrame, segments: DataFrame, ticker: str, on_day: str, names: d
     return rows.join(right, hit, "left").drop("_t", "_f", "_u")
 
 
-def has_vendor_mapping(rows: DataFrame, tickers: DataFrame, ticker: str) -> DataFrame:
+def has_vendor_mapping(rows: DataFrame, tickers: DataFrame, ticker: str, vendor_scheme: str = VENDOR) -> DataFrame:
     """Rows whose ticker has any vendor row, at any time."""
-    known = tickers.filter(F.col("scheme") == VENDOR).select(F.col("ticker").alias(ticker))
+    known = tickers.filter(F.col("scheme") == vendor_scheme).select(F.col("ticker").alias(ticker))
     return rows.join(known, ticker, "left_semi")
 
 
-def vendor_symbols(requests: DataFrame, tickers: DataFrame) -> DataFrame:
+def vendor_symbols(requests: DataFrame, tickers: DataFrame, vendor_scheme: str = VENDOR) -> DataFrame:
     """For (listing, w_start, w_end): the names to read, in order, and the preferred one.
 
     The listing comes first, then vendor tickers of the same security that overlap the
@@ -72,7 +73,7 @@ def vendor_symbols(requests: DataFrame, tickers: DataFrame) -> DataFrame:
         .select("listing", "w_start", "w_end", "seed_key")
         .distinct()
     )
-    vendor = catalog.filter(F.col("scheme") == VENDOR).select(
+    vendor = catalog.filter(F.col("scheme") == vendor_scheme).select(
         "seed_key", F.col("ticker").alias("name"), "valid_from", "valid_to", "ord"
     )
     names = (
@@ -112,32 +113,32 @@ def substitute_vendor_series(bars: DataFrame, names: DataFrame) -> DataFrame:
     return bars.join(chosen.select("listing", "symbol", F.col("_v").isNotNull().alias("is_vendor")), "symbol")
 
 
-def assess_identity(bars: DataFrame, tickers: DataFrame) -> DataFrame:
+def assess_identity(bars: DataFrame, tickers: DataFrame, vendor_scheme: str = VENDOR, listing: str = "symbol") -> DataFrame:
     """Bars with listing and vendor seeds and the verdict of their series.
 
-    A resolved listing whose vendor ticker is not the same security makes the whole series
-    ``identity_mismatch``.
+    A series is named by its ``listing`` column, which may differ from the ``symbol`` its bars are stored under (see
+    ``substitute_vendor_series``): the listing is resolved as such, the symbol as a vendor ticker. A resolved listing
+    whose vendor ticker is not the same security makes the whole series ``identity_mismatch``.
     """
-    seeded = _at(bars, ticker_timeline(tickers, LISTING), "symbol", "session", {"seed_key": "listing_seed"})
-    seeded = _at(seeded, ticker_timeline(tickers, VENDOR), "symbol", "session", {"seed_key": "vendor_seed"})
+    seeded = _at(bars, ticker_timeline(tickers, LISTING), listing, "session", {"seed_key": "listing_seed"})
+    seeded = _at(seeded, ticker_timeline(tickers, vendor_scheme), "symbol", "session", {"seed_key": "vendor_seed"})
     wrong = F.col("listing_seed").isNotNull() & ~F.col("listing_seed").eqNullSafe(F.col("vendor_seed"))
-    series = seeded.groupBy("symbol").agg(F.bool_or(wrong).alias("mismatch"))
-    mapped = tickers.filter(F.col("scheme") == VENDOR).select(F.col("ticker").alias("symbol")).distinct()
-    verdict = series.join(mapped.withColumn("_m", F.lit(True)), "symbol", "left")
-    return seeded.join(
-        verdict.select("symbol", "mismatch", F.col("_m").isNotNull().alias("has_vendor")), "symbol"
-    )
+    mapped = tickers.filter(F.col("scheme") == vendor_scheme).select(F.col("ticker").alias("_v")).distinct()
+    symbols = seeded.groupBy(listing, F.col("symbol").alias("_symbol")).agg(F.bool_or(wrong).alias("_wrong"))
+    known = symbols.join(mapped, F.col("_symbol") == F.col("_v"), "left")
+    verdict = known.groupBy(listing).agg(F.bool_or("_wrong").alias("mismatch"), F.bool_or(F.col("_v").isNotNull()).alias("has_vendor"))
+    return seeded.join(verdict, listing)
 
 
-def apply_identity(bars: DataFrame, tickers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(clipped bars, unusable symbols with reason).
+def apply_identity(bars: DataFrame, tickers: DataFrame, vendor_scheme: str = VENDOR, listing: str = "symbol") -> tuple[DataFrame, DataFrame]:
+    """(clipped bars, unusable listings with reason).
 
     Mismatched series are reported and left as they are; of the others, those with a vendor
     mapping lose the bars that it does not cover.
     """
-    assessed = assess_identity(bars, tickers)
+    assessed = assess_identity(bars, tickers, vendor_scheme, listing)
     keep = F.col("mismatch") | ~F.col("has_vendor") | F.col("vendor_seed").isNotNull()
-    unusable = assessed.filter("mismatch").select("symbol").distinct().withColumn("reason", F.lit("identity_mismatch"))
+    unusable = assessed.filter("mismatch").select(F.col(listing).alias("symbol")).distinct().withColumn("reason", F.lit("identity_mismatch"))
     return assessed.filter(keep).select(*bars.columns), unusable
 
 

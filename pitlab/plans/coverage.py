@@ -36,8 +36,9 @@ def pit_coverage(
     start: date,
     end: date,
     encounter_start: date | None = None,
+    vendor_scheme: str = VENDOR,
 ) -> DataFrame:
-    """One row per symbol that was a member in [start, end].
+    """One row per symbol that was a member in [start, end]. ``vendor_scheme`` marks the catalog's vendor tickers.
 
     Membership is folded to a row per symbol first; everything after that is an equi-join
     of per-symbol tables.
@@ -62,7 +63,7 @@ def pit_coverage(
     )
 
     names = vendor_symbols(
-        rows.select(F.col("symbol").alias("listing"), F.col("expected_start").alias("w_start"), day(end).alias("w_end")), tickers
+        rows.select(F.col("symbol").alias("listing"), F.col("expected_start").alias("w_start"), day(end).alias("w_end")), tickers, vendor_scheme
     )
     fetch = F.col("fetch_symbols")
     looked_up = F.when(F.size(fetch) > 1, F.slice(fetch, F.lit(2), F.size(fetch) - 1)).otherwise(fetch)
@@ -85,9 +86,9 @@ def pit_coverage(
 
     rows = resolve_security(rows, tickers, "symbol", "expected_start", LISTING)
     rows = rows.withColumnRenamed("status", "identity_status")
-    rows = resolve_security(rows, tickers, "vendor_symbol", "expected_start", VENDOR, "vendor_")
+    rows = resolve_security(rows, tickers, "vendor_symbol", "expected_start", vendor_scheme, "vendor_")
     rows = rows.withColumn("price_start", F.col("series.first_date")).withColumn("price_end", F.col("series.last_date"))
-    rows = resolve_security(rows, tickers, "vendor_symbol", "price_start", VENDOR, "first_")
+    rows = resolve_security(rows, tickers, "vendor_symbol", "price_start", vendor_scheme, "first_")
     rows = rows.join(securities.select("seed_key", F.col("status").alias("listing_status")), "seed_key", "left")
 
     recycled, renamed = ticker_history(tickers, start, end)
@@ -96,7 +97,7 @@ def pit_coverage(
 
     catalog = tickers if "ord" in tickers.columns else tickers.withColumn("ord", F.lit(0))
     validity = (
-        catalog.filter(F.col("scheme") == VENDOR)
+        catalog.filter(F.col("scheme") == vendor_scheme)
         .groupBy(F.col("ticker").alias("vendor_symbol"), "seed_key")
         .agg(F.min_by(F.struct("valid_from", "valid_to"), F.struct("ord", "valid_from")).alias("_valid"))
     )

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from pitlab.plans import audit as a
 from pitlab.plans import diagnostics as d
 from pitlab.plans.quality import price_windows
-from pitlab.plans.reports import coverage_table
+from pitlab.plans.reports import coverage_table, diagnostics_table
 from pitlab.plans.universe import membership_extents, missing_members, universe_as_of
 from pitlab.plans import momentum
 from pitlab.registry import Query
 from pitlab.registry.signals import PARAMS, signal_ctes
 from pitlab.registry.universes import claims
-from pitlab.standins.frames import Standins
+from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
 
 def _priced(s: Standins) -> DataFrame:
-    """Prices of the names that do not end in 9."""
-    return s.bars.filter(~F.col("symbol").endswith("9"))
+    """Prices, those of the names that end in 9 filed under another name."""
+    return misfiled(s.bars, F.col("symbol").endswith("9"))
 
 
 def _unusable(s: Standins) -> DataFrame:
@@ -81,10 +81,10 @@ def _verdict(s: Standins) -> DataFrame:
 
 
 def _members(s: Standins) -> DataFrame:
-    """Index intervals of good and bad standing: the right ones, disputed claims of names
-    ending in 4, and a fixture row for each name ending in 5."""
+    """Index intervals of good and bad standing: the right ones, disputed claims (those of names
+    ending in 4 under the same name, the others under another), and a fixture row for each name ending in 5."""
     good = s.memberships.withColumn("source", F.lit("index-history"))
-    bad = claims(s).filter(F.col("symbol").endswith("4")).drop("p_type").withColumn("source", F.lit("claims"))
+    bad = misfiled(claims(s), ~F.col("symbol").endswith("4")).drop("p_type").withColumn("source", F.lit("claims"))
     fixture = s.memberships.filter(F.col("symbol").endswith("5")).groupBy("symbol").agg(
         F.date_sub(F.min("start_date"), 900).alias("start_date"), F.date_sub(F.min("start_date"), 800).alias("end_date")
     ).withColumn("source", F.lit("test-fixture"))
@@ -93,9 +93,9 @@ def _members(s: Standins) -> DataFrame:
 
 def _windows(s: Standins) -> DataFrame:
     """Price windows that start late for names ending in 6 and end early for those ending in 7."""
-    late = ~F.col("symbol").endswith("6") | (F.col("session") >= "1997-01-01")
-    early = ~F.col("symbol").endswith("7") | (F.col("session") < "2000-01-01")
-    return price_windows(s.bars.filter(late & early))
+    late = F.col("symbol").endswith("6") & (F.col("session") < "1997-01-01")
+    early = F.col("symbol").endswith("7") & (F.col("session") >= "2000-01-01")
+    return price_windows(misfiled(s.bars, late | early))
 
 
 _AUDIT = {
@@ -105,9 +105,12 @@ _AUDIT = {
                MAX(CAST(l_shipdate AS DATE)) AS last, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) q,
        range(1, 4) r(c) WHERE c <= n % 3 + 1""",
     "mem": """
-  SELECT symbol, start_date, end_date, 'index-history' AS source FROM memberships UNION ALL SELECT symbol, start_date, end_date, 'claims' FROM claims WHERE symbol LIKE '%4'
+  SELECT symbol, start_date, end_date, 'index-history' AS source FROM memberships UNION ALL SELECT CASE WHEN symbol LIKE '%4' THEN symbol ELSE symbol || '-' END, start_date, end_date, 'claims' FROM claims
   UNION ALL SELECT symbol, MIN(start_date) - 900, MIN(start_date) - 800, 'test-fixture' FROM memberships WHERE symbol LIKE '%5' GROUP BY symbol""",
-    "win": "SELECT symbol, MIN(session) AS f, MAX(session) AS l FROM bars WHERE (symbol NOT LIKE '%6' OR session >= DATE '1997-01-01') AND (symbol NOT LIKE '%7' OR session < DATE '2000-01-01') GROUP BY symbol",
+    "win": """
+  SELECT symbol, MIN(session) AS f, MAX(session) AS l
+  FROM (SELECT CASE WHEN symbol LIKE '%6' AND session < DATE '1997-01-01' OR symbol LIKE '%7' AND session >= DATE '2000-01-01' THEN symbol || '-' ELSE symbol END AS symbol, session FROM bars) b
+  GROUP BY symbol""",
     "uniq": "SELECT symbol, start_date, end_date, COUNT(*) AS copies FROM mem GROUP BY symbol, start_date, end_date",
     "checked": """
   SELECT a.symbol, a.start_date, a.end_date, ANY_VALUE(a.copies) AS copies, COALESCE(a.start_date >= a.end_date, FALSE) AS impossible,
@@ -183,6 +186,21 @@ QUERIES: dict[str, Query] = {
         ),
         "A22",
     ),
+    "diagnostics_rows": Query(
+        lambda s: diagnostics_table(_parts(s)[2]),
+        T(
+            "bars universe rebalances securities",
+            """SELECT as_of AS date, universe_members AS members, missing_market_data AS missing, unusable_market_data AS unusable, insufficient_history, failed_price_filter AS price,
+                      failed_liquidity_filter AS liquidity, momentum_eligible AS eligible, selected FROM diag""",
+            _RUN,
+        ),
+        "P23",
+    ),
+    "suffixed_symbols": Query(
+        lambda s: a.suffixed_symbols(s.vendor.select(F.col("vendor_symbol").alias("symbol"))),
+        T("vendor", "SELECT DISTINCT vendor_symbol AS symbol FROM vendor WHERE regexp_matches(vendor_symbol, '-[0-9]{6}$')"),
+        "Q04",
+    ),
     "symbol_flags": Query(
         _flags,
         T(

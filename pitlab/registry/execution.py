@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,13 @@ from pitlab.plans import ledger as l
 from pitlab.plans import performance as perf
 from pitlab.plans import portfolio as p
 from pitlab.plans.quality import last_bars
-from pitlab.plans.reports import equity_table
+from pitlab.plans.reports import equity_table, fills_table
 from pitlab.registry import Query
 from pitlab.registry.bars import doubles
 from pitlab.registry.signals import PARAMS, signal_ctes, signals
+from pitlab.session import shared_folder
 from pitlab.sources import tables
-from pitlab.standins.frames import Standins
+from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
 COSTS = LedgerParams(
@@ -36,8 +38,8 @@ def _targets(s: Standins) -> DataFrame:
 
 def _prices(s: Standins) -> DataFrame:
     """Open of each name's last bar, if it is at most two weeks older than the last session."""
-    recent = s.bars.filter(F.col("session") >= F.date_sub(s.calendar.agg(F.max("session")).scalar(), 14))
-    return recent.groupBy("symbol").agg(F.max_by("open", "session").alias("price"))
+    last = s.bars.groupBy("symbol").agg(F.max_by("open", "session").alias("price"), F.max("session").alias("last"))
+    return last.filter(F.col("last") >= F.date_sub(s.calendar.agg(F.max("session")).scalar(), 14)).drop("last")
 
 
 def _wanted(s: Standins) -> DataFrame:
@@ -84,7 +86,8 @@ def _marks(s: Standins) -> DataFrame:
 
 
 def _cut_bars(s: Standins) -> DataFrame:
-    return s.bars.filter((F.col("session") < "2001-09-15") | ~F.col("symbol").rlike("[02]$"))
+    """Bars with the last weeks of some names filed under another name."""
+    return misfiled(s.bars, (F.col("session") >= "2001-09-15") & F.col("symbol").rlike("[02]$"))
 
 
 def _exits(s: Standins) -> DataFrame:
@@ -107,6 +110,20 @@ def _actions(s: Standins) -> DataFrame:
     ).select("portfolio_id", "position_key", "applied", "unresolved", "symbol", r("quantity"), r("average_price", 7), r("cash"))
 
 
+def _stored_signals(s: Standins) -> DataFrame:
+    """Signals written by date and read back."""
+    path = f"{shared_folder(s.spark)}/pitlab/signals-{uuid.uuid4().hex}"
+    tables.write_signals(signals(s), path)
+    return s.spark.read.parquet(path).select("as_of", "symbol", "momentum", "rank")
+
+
+def _fills(s: Standins) -> DataFrame:
+    """Fills of the priced lines; like a broker's, they do not know their side."""
+    return s.orders.filter("market_price IS NOT NULL").select(
+        "order_id", "session", F.col("position_key").alias("symbol"), "quantity", F.col("market_price").alias("fill_price"), F.lit(1.25).alias("commission"), F.lit(0.5).alias("slippage")
+    )
+
+
 def _status_log(s: Standins) -> DataFrame:
     kind = F.col("event_type")
     status = (
@@ -436,6 +453,22 @@ QUERIES: dict[str, Query] = {
         T("bars universe", "SELECT as_of, symbol, momentum, rank FROM signals WHERE as_of = (SELECT MAX(as_of) FROM signals)", signal_ctes(PARAMS)),
         "S15",
     ),
+    "stored_signals": Query(
+        _stored_signals,
+        T("bars universe", "SELECT as_of, symbol, momentum, rank FROM signals", signal_ctes(PARAMS)),
+        "S15",
+    ),
+    "fills_of_orders": Query(
+        lambda s: fills_table(_fills(s), s.orders).groupBy("session", "symbol", "side").agg(
+            F.sum("quantity").alias("quantity"), F.round(F.sum("price"), 4).alias("price"), F.round(F.sum("commission"), 4).alias("commission"), F.round(F.sum("slippage"), 4).alias("slippage")
+        ),
+        T(
+            "trades",
+            """SELECT session, position_key AS symbol, side, CAST(SUM(quantity) AS BIGINT) AS quantity, CAST(ROUND(SUM(CAST(market_price AS DOUBLE)), 4) AS DOUBLE) AS price, CAST(1.25 * COUNT(*) AS DOUBLE) AS commission, CAST(0.5 * COUNT(*) AS DOUBLE) AS slippage
+               FROM trades WHERE market_price IS NOT NULL GROUP BY session, position_key, side""",
+        ),
+        "J16 P23",
+    ),
     "fills_with_side": Query(
         lambda s: s.orders.join(
             s.orders.filter("side = 'SELL'").select("order_id", F.col("side").alias("known_side")), "order_id", "left"

@@ -13,11 +13,13 @@ from pitlab.plans.coverage import coverage_totals, pit_coverage
 from pitlab.plans.quality import price_windows
 from pitlab.registry import Query
 from pitlab.registry.signals import PARAMS, signal_ctes, signals
-from pitlab.standins.frames import Standins
+from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
 START, END = date(1996, 1, 1), date(2001, 6, 30)
 ENCOUNTER = date(1997, 1, 1)
+# The word of the stand-in catalog for vendor tickers.
+SCHEME = "vendor"
 
 
 def resolve_cte(name: str, pairs: str, scheme: str) -> str:
@@ -42,12 +44,12 @@ _SERIES = {
 def _resolved(s: Standins) -> DataFrame:
     rows = s.bars.select("symbol", "session")
     rows = i.resolve_security(rows, s.tickers, "symbol", "session")
-    rows = i.resolve_security(rows, s.tickers, "symbol", "session", i.VENDOR, "vendor_")
+    rows = i.resolve_security(rows, s.tickers, "symbol", "session", SCHEME, "vendor_")
     return rows.select("symbol", "session", "status", "seed_key", "vendor_status", "vendor_seed_key")
 
 
 def _clipped(s: Standins) -> DataFrame:
-    kept, _ = i.apply_identity(s.bars, s.tickers)
+    kept, _ = i.apply_identity(s.bars, s.tickers, SCHEME)
     return kept.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("bars"), F.min("session").alias("first_session"), F.max("session").alias("last_session")
     )
@@ -76,7 +78,7 @@ def _substituted(s: Standins) -> DataFrame:
     )
     stored = s.bars.select("symbol", "session", "volume")
     copies = stored.join(renamed, "symbol").select(F.col("_to").alias("symbol"), "session", (F.col("volume") * 2).alias("volume"))
-    names = i.vendor_symbols(_requests(s), s.tickers)
+    names = i.vendor_symbols(_requests(s), s.tickers, SCHEME)
     series = i.substitute_vendor_series(stored.unionByName(copies), names)
     return series.groupBy("listing", "is_vendor").agg(F.count(F.lit(1)).alias("bars"), F.sum("volume").alias("volume"))
 
@@ -106,8 +108,8 @@ def _terminated(s: Standins) -> DataFrame:
 
 
 def _coverage(s: Standins) -> DataFrame:
-    kept = s.bars.filter((F.year("session") < 1999) | ~F.col("symbol").endswith("6")).filter(~F.col("symbol").endswith("8"))
-    return pit_coverage(s.memberships, price_windows(kept), s.securities, s.tickers, START, END, ENCOUNTER)
+    kept = misfiled(s.bars, (F.year("session") >= 1999) & F.col("symbol").endswith("6") | F.col("symbol").endswith("8"))
+    return pit_coverage(s.memberships, price_windows(kept), s.securities, s.tickers, START, END, ENCOUNTER, SCHEME)
 
 
 _COVERAGE = {
@@ -196,12 +198,12 @@ QUERIES: dict[str, Query] = {
         "J06 J07 D5 D6",
     ),
     "vendor_mapped": Query(
-        lambda s: i.has_vendor_mapping(s.bars.select("symbol").distinct(), s.tickers, "symbol"),
+        lambda s: i.has_vendor_mapping(s.bars.select("symbol").distinct(), s.tickers, "symbol", SCHEME),
         T("bars tickers", "SELECT DISTINCT symbol FROM bars WHERE symbol IN (SELECT ticker FROM tickers WHERE scheme = 'vendor')"),
         "J07",
     ),
     "vendor_names": Query(
-        lambda s: i.vendor_symbols(_requests(s), s.tickers).select(
+        lambda s: i.vendor_symbols(_requests(s), s.tickers, SCHEME).select(
             "listing", F.array_join("fetch_symbols", ",").alias("fetch_symbols"), "preferred_symbol"
         ),
         T("tickers", "SELECT listing, listing || COALESCE(',' || others, '') AS fetch_symbols, COALESCE(best, listing) AS preferred_symbol FROM names", _VENDOR_NAMES),
@@ -233,7 +235,7 @@ QUERIES: dict[str, Query] = {
         "J10",
     ),
     "identity_mismatches": Query(
-        lambda s: i.apply_identity(s.bars, s.tickers)[1],
+        lambda s: i.apply_identity(s.bars, s.tickers, SCHEME)[1],
         T("bars tickers", "SELECT ticker AS symbol, 'identity_mismatch' AS reason FROM series WHERE mismatch", _SERIES),
         "J10 P18",
     ),

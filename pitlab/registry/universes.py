@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pitlab.operators.intervals import overlap_counts, snapshots_to_intervals
 from pitlab.plans import universe as u
 from pitlab.registry import Query
-from pitlab.sources.tables import members_on
+from pitlab.sources.tables import members_on, memberships_of
 from pitlab.sources.universe import parse_snapshots
-from pitlab.standins.frames import Standins, ticker
+from pitlab.standins.frames import Standins, misfiled, ticker
 from pitlab.standins.sql import with_tables as T
 
 ASOF = date(1999, 6, 15)
@@ -136,6 +136,16 @@ QUERIES: dict[str, Query] = {
         ),
         "J02",
     ),
+    "membership_history": Query(
+        lambda s: memberships_of(s.memberships),
+        T("memberships", "SELECT symbol, start_date, end_date FROM memberships"),
+        "S12",
+    ),
+    "available_symbols": Query(
+        lambda s: u.available_symbols(s.table("part").select(F.concat(F.lit(" "), F.lower(ticker("p_partkey"))).alias("symbol")), s.bars.select("symbol")),
+        T("bars", "SELECT printf('S%06d', p_partkey) AS symbol FROM part UNION SELECT symbol FROM bars"),
+        "U05",
+    ),
     "members_on_date": Query(
         lambda s: members_on(s.memberships, ASOF),
         T("memberships", "SELECT symbol, start_date, end_date FROM memberships WHERE start_date <= DATE '1999-06-15' AND (end_date IS NULL OR DATE '1999-06-15' < end_date)"),
@@ -149,7 +159,10 @@ QUERIES: dict[str, Query] = {
     "missing_members": Query(
         lambda s: u.missing_members(
             u.universe_as_of(s.memberships, s.rebalances),
-            s.bars.join(s.securities.filter("status = 'DELISTED'").select(F.concat(F.lit("S"), F.substring("seed_key", 5, 6)).alias("symbol")), "symbol", "left_anti"),
+            misfiled(
+                s.bars.join(s.securities.filter("status = 'DELISTED'").select(F.concat(F.lit("S"), F.substring("seed_key", 5, 6)).alias("symbol"), F.lit(True).alias("_gone")), "symbol", "left"),
+                F.col("_gone").isNotNull(),
+            ).drop("_gone"),
         ),
         T(
             "universe bars securities",

@@ -12,7 +12,7 @@ from pitlab.plans import vendor_checks as v
 from pitlab.plans.universe import cross_check, universe_as_of
 from pitlab.registry import Query
 from pitlab.registry.identities import resolve_cte
-from pitlab.standins.frames import Standins
+from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
 START, END = date(1995, 6, 1), date(2001, 9, 30)
@@ -290,10 +290,11 @@ QUERIES: dict[str, Query] = {
     "rename_pairs": Query(_renames, T("tickers vendor", "SELECT * FROM renames", _RENAMES), "J27"),
     "recycled_pairs": Query(_recycled, T("tickers vendor", "SELECT * FROM recycled", _RENAMES), "J27"),
     "adjustment_differs": Query(
-        lambda s: v.adjustment_differs(s.bars.filter(~F.col("symbol").endswith("3")), s.bars.filter(~F.col("symbol").endswith("4"))),
+        lambda s: v.adjustment_differs(misfiled(s.bars, F.col("symbol").endswith("3")), misfiled(s.bars, F.col("symbol").endswith("4"))),
         T(
             "bars",
-            """SELECT symbol, CASE WHEN symbol NOT LIKE '%3' AND symbol NOT LIKE '%4' THEN BOOL_OR(COALESCE(adjusted_close, close) <> close) END AS differs FROM bars GROUP BY symbol""",
+            """SELECT symbol, CASE WHEN symbol NOT LIKE '%3' AND symbol NOT LIKE '%4' THEN BOOL_OR(COALESCE(adjusted_close, close) <> close) END AS differs FROM bars GROUP BY symbol
+               UNION ALL SELECT DISTINCT symbol || '-', NULL FROM bars WHERE symbol LIKE '%3' OR symbol LIKE '%4'""",
         ),
         "J24",
     ),

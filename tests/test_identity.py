@@ -4,6 +4,7 @@ import json
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitlab.operators import identity as i
 from pitlab.plans import vendor_checks as v
@@ -19,10 +20,10 @@ CATALOG = {
         {"seed_key": "pipe", "display_name": "Pipe Co", "status": "DELISTED", "identifiers": [{"id_type": "CIK", "id_value": "1"}],
          "tickers": [{"scheme": "listing", "ticker": "PI", "valid_from": "2000-01-01", "valid_to": "2017-03-01"}]},
         {"seed_key": "game", "display_name": "Game Co",
-         "tickers": [{"scheme": "listing", "ticker": "PI", "valid_from": "2017-11-01", "valid_to": None}, {"scheme": "vendor", "ticker": "PI", "valid_from": "2017-11-01", "valid_to": None}]},
+         "tickers": [{"scheme": "listing", "ticker": "PI", "valid_from": "2017-11-01", "valid_to": None}, {"scheme": "yahoo", "ticker": "PI", "valid_from": "2017-11-01", "valid_to": None}]},
         {"seed_key": "pay", "display_name": "Pay Co",
          "tickers": [{"scheme": "listing", "ticker": "OLD", "valid_from": "2015-01-01", "valid_to": "2020-01-01"}, {"scheme": "listing", "ticker": "NEW", "valid_from": "2020-01-01", "valid_to": None},
-                     {"scheme": "vendor", "ticker": "NEW", "valid_from": "2015-01-01", "valid_to": None}]},
+                     {"scheme": "yahoo", "ticker": "NEW", "valid_from": "2015-01-01", "valid_to": None}]},
     ],
 }
 
@@ -157,3 +158,23 @@ def test_alias_rules(spark):
 
     rows = spark.createDataFrame([("BUY-201702", "Buyer", "BUY/current PI"), ("PI", "Game", "BUY/current PI"), ("X", "THE BUY GROUP", "BUY, Foo"), ("FOO", "", "Foo"), ("Y", None, None)], "s string, n string, a string")
     assert [r[0] for r in rows.select(is_alias_identity(F.col("s"), F.col("n"), F.col("a"))).collect()] == [True, False, True, False, False]
+
+
+def test_scheme_of_a_catalog_is_a_parameter(spark, catalog, make_bars):
+    other = catalog[1].withColumn("scheme", F.when(F.col("scheme") == "yahoo", "other").otherwise(F.col("scheme")))
+    bars = make_bars({"NEW": [(0, 1, 1, 1)]})
+    assert i.has_vendor_mapping(bars, catalog[1], "symbol").count() == i.has_vendor_mapping(bars, other, "symbol", "other").count() == 1
+    assert i.has_vendor_mapping(bars, other, "symbol").count() == 0
+    same = [sorted(map(str, f.collect())) for f in (i.apply_identity(bars, catalog[1])[0], i.apply_identity(bars, other, "other")[0])]
+    assert same[0] == same[1]
+
+
+def test_substituted_series_keep_their_listing(spark, make_bars):
+    """A series stored under its vendor's name is judged by the listing that asked for it."""
+    tickers = spark.createDataFrame(
+        [("listing", "OLD", "k1"), ("yahoo", "NEW", "k1"), ("listing", "ODD", "k2"), ("yahoo", "OTHER", "k3")], "scheme string, ticker string, seed_key string"
+    ).withColumn("valid_from", F.lit(date(2015, 1, 1))).withColumn("valid_to", F.lit(None).cast("date"))
+    bars = make_bars({"NEW": [(0, 1, 1, 1), (1, 2, 1, 1)], "OTHER": [(0, 1, 1, 1)]})
+    named = bars.withColumn("listing", F.when(F.col("symbol") == "NEW", "OLD").otherwise("ODD"))
+    kept, unusable = i.apply_identity(named, tickers, listing="listing")
+    assert kept.count() == 3 and [r["symbol"] for r in unusable.collect()] == ["ODD"]
