@@ -71,7 +71,7 @@ def ips(text: str) -> list[Span]:
 def cards(text: str) -> list[Span]:
     found = []
     for m in _card.finditer(text):
-        if m.end() - m.start() < 32 and 16 <= len(digits := _not_digit.sub("", m[0])) <= 19 and luhn(digits):
+        if m.end() - m.start() <= 37 and 16 <= len(digits := _not_digit.sub("", m[0])) <= 19 and luhn(digits):
             found.append(m.span())
     return found
 
