@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlab.llm import decontaminate, jaccard, packing, pii, quality, queries
+from pitlab.llm.common import checked
 from pitlab.session import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,9 +40,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by similarity, the one with the smallest id. Rows of a null id are no documents to compare and stay."""
     found = jaccard.similar_documents(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    # Only ids that occur in several rows need a choice among them; all other texts stay where they are.
+    each = materialize(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept-documents")
+    once, often = (checked(each.where(x).select("doc_id")) for x in ("count = 1", "count > 1"))
+    single = docs.where("doc_id IS NULL").unionByName(docs.join(once, "doc_id", "left_semi"))
+    return single.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitlab.session import materialize
 
 #: Bytes of text that are turned into numpy arrays at once. A longer text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+#: Rows of ids and flags that may be broadcast: some 80 MB in a task's memory.
+BROADCAST_ROWS = 1 << 21
+
 _U64 = np.uint64
 _RATIO = 0x9E3779B97F4A7C15 | 1
 _RATIO_INVERSE = pow(_RATIO, -1, 1 << 64)
@@ -21,6 +28,15 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20250101)).integers(0, 1 << 64, 256, dtype=_U64)
 
 
+def checked(keys: DataFrame) -> DataFrame:
+    """``keys``, a table of an id and at most a flag, written once; for broadcast if its count is within the bound.
+
+    Beyond the bound the same join shuffles both sides.
+    """
+    small = materialize(keys, "keys")
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the row offsets into them. Null is an empty text."""
     column = column.fill_null("")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlab.llm.common import chunks, mix, ragged, utf8, word_hashes, word_table
+from pitlab.llm.common import checked, chunks, mix, ragged, utf8, word_hashes, word_table
 from pitlab.llm.components import components, forest
 from pitlab.session import materialize
 
@@ -45,7 +45,8 @@ PRESENCE_BITS = 20
 SPACES = word_table([(0x20, 0x20), (0x09, 0x0D)])
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 _KEPT = 40  # bits of a token that a slice stores
-_PER_SLICE = 1 << 20
+_PER_SLICE = 1 << 20  # tokens that a task gathers before it sends them
+_PER_SLICE_AT_ONCE = 1 << 22  # tokens that meet in one slice, about
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -386,17 +387,17 @@ def _within_groups(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark = documents.sparkSession
     prints = materialize(_prints(docs, size), "set-prints")
     classes = prints.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "set-classes")
 
-    slices = 1 << max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    total = prints.agg(F.sum("n")).first()[0] or 0
+    slices = 1 << max(6, (total // _PER_SLICE_AT_ONCE).bit_length())
     counts = materialize(_token_counts(docs.where("doc_id IS NOT NULL"), size, slices), "token-counts")
     frequent = counts.orderBy(F.desc("df"), "token").limit(FREQUENT_TOKENS).toArrow()
 
     held = _signatures(docs.where("doc_id IS NOT NULL"), frequent, slices, size, percent)
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = checked(classes.select(F.col("rep").alias("doc_id")).distinct())
     postings = held.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n", "rare", F.explode("signatures").alias("sig"))
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
     salted = postings.withColumn("salt", F.when(odd, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlab.llm import bytepairs, chat, decontaminate, jaccard, langid, neardup, packing, pii, quality, toxicity
+from pitlab.llm.common import checked
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -56,7 +57,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     labels = quality.majority(_read(spark, sf_dir, "labels"), "toxic").where(_fold(5) != 0)
-    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels, "doc_id")
+    labelled = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(checked(labels), "doc_id")
     scored = toxicity.score(documents, toxicity.train(labelled))
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
