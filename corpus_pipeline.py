@@ -49,9 +49,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which hit words are less than a twentieth."""
-    carried = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
-    found = decontaminate.find_spans(carried, _table(spark, sf_dir, "benchmark"), carry=["row"])
-    return decontaminate.contamination(found, carry=["row"]).where("NOT contaminated").select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    carried = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
+    found = decontaminate.find_spans(carried, _table(spark, sf_dir, "benchmark"), carry=["row", "text"])
+    return decontaminate.contamination(found, carry=["row", "text"]).where("NOT contaminated").select("row.*", "text").select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

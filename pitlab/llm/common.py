@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitlab.session import materialize
 
 #: Bytes of text that are turned into numpy arrays at once. A longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Rows of ids and flags that may be broadcast: some 80 MB in a task's memory.
 BROADCAST_ROWS = 1 << 21

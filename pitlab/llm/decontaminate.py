@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlab.llm.common import chunks, ragged, utf8, word_hashes, word_table
+from pitlab.llm.common import CHUNK_BYTES, chunks, ragged, utf8, word_hashes, word_table
 
 WINDOW_WORDS = 13
 SAMPLE_STEP = 8
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = CHUNK_BYTES
 BLOCK_BYTES = 1 << 24
 #: ASCII that parts words: all but digits and letters.
 WORDS = word_table([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -225,14 +225,16 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str, s
 def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per document: n_words, merged spans (first word, word after the last) and ids of items, as strings.
 
-    Columns named in ``carry`` go along.
+    Columns named in ``carry`` go along; ``text`` among them is the text that was searched.
     """
     carry = carry or []
+    texts = [c for c in carry if c == "text"]
+    carry = [c for c in carry if c != "text"]
     found = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
     found = found.selectExpr(*carry, "doc_id", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS starts", "CAST(array() AS array<bigint>) AS ends", "CAST(array() AS array<string>) AS items")
     for block in _blocks(benchmark, item_key, item_text):
         found = _pass(found, phrases_of(block))
-    return found.drop("text")
+    return found if texts else found.drop("text")
 
 
 def _pass(found: DataFrame, phrases: Phrases) -> DataFrame:
