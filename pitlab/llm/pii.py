@@ -245,8 +245,8 @@ def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 def redact_documents(documents: DataFrame, text: str = "text") -> DataFrame:
     """``documents`` with personal data replaced in its text column; null stays null."""
 
-    @F.pandas_udf("string")
-    def cleaned(values):  # noqa: ANN001, ANN202
-        return values.map(redact, na_action="ignore")
+    @F.arrow_udf("string")
+    def cleaned(values: pa.Array) -> pa.Array:
+        return pa.array([None if (t := v.as_py()) is None else redact(t) for v in values], pa.string())
 
-    return documents.withColumn(text, cleaned(F.col(text)))
+    return documents.withColumn(text, cleaned(F.col(text).cast("string")))
