@@ -7,8 +7,8 @@ seen. A text's evidence is the difference of its two log-likelihoods divided by
 logistic curve fitted on labelled rows that were kept out of the counts turns it into the score.
 
 All counting, smoothing and joining is done on DataFrames over all labelled rows. The finished model goes to the workers
-as hashed tables of fixed size (``CELLS`` values each, about 32 MB in total whatever the corpus), where the more frequent
-of two colliding n-grams stands.
+as hashed tables of fixed size (``CELLS`` values each, about 32 MB in total whatever the corpus; only used cells travel),
+where the more frequent of two colliding n-grams stands.
 
 Null text and text without a letter have no evidence: their score is that of evidence 0. Labels are cleaned as for the
 quality model. If a class is missing, the score is the share of toxic labels (0.5 without labels). Repeated rows are scored one by one.
@@ -76,6 +76,23 @@ def cell(order: int, gram: np.ndarray) -> np.ndarray:
     return (mix(gram.astype(np.uint64) * np.uint64(8) + np.uint64(order)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _sparse(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(size, places, values) of the cells that are neither absent nor 0."""
+    places = np.flatnonzero(~np.isnan(table) & (table != 0))
+    return len(table), places.astype(np.int32), table[places]
+
+
+def _dense(packed: tuple[int, np.ndarray, np.ndarray], absent: float) -> np.ndarray:
+    size, places, values = packed
+    table = np.full(size, absent, np.float32)
+    table[places] = values
+    return table
+
+
+def _restored(seen: dict, weights: dict, slope: float, offset: float) -> ClassModels:
+    return ClassModels({k: _dense(t, np.nan) for k, t in seen.items()}, {k: _dense(t, 0.0) for k, t in weights.items()}, slope, offset)
+
+
 @dataclass(frozen=True)
 class ClassModels:
     """Differences of the log-likelihoods, toxic minus ordinary, and the curve over them.
@@ -88,6 +105,10 @@ class ClassModels:
     slope: float
     offset: float
 
+    def __reduce__(self) -> tuple:
+        """Only used cells travel to the workers."""
+        return _restored, ({k: _sparse(t) for k, t in self.seen.items()}, {k: _sparse(t) for k, t in self.weights.items()}, self.slope, self.offset)
+
     def evidence(self, column: pa.Array) -> np.ndarray:
         raw, offsets = utf8(column)
         result = np.zeros(len(column), np.float64)
@@ -178,6 +199,8 @@ def _tables(rows: DataFrame, absent: float) -> dict[int, np.ndarray]:
     placed = rows.mapInArrow(place, "order int, place long, gram long, n long, value double")
     kept = placed.groupBy("order", "place").agg(F.max_by("value", F.struct("n", "gram")).cast("float").alias("value")).toArrow()
     order, where, value = (kept.column(c).to_numpy() for c in ("order", "place", "value"))
+    # A known n-gram without a difference is still known: 0 would be lost on the way.
+    value = np.where((value == 0) & np.isnan(absent), np.finfo(np.float32).tiny, value)
     tables = {}
     for k in range(1, ORDER + 1):
         tables[k] = np.full(1 << min(_BITS * k, CELL_BITS) if k > 2 else 1 << _BITS * k, absent, np.float32)
@@ -216,12 +239,13 @@ def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Clas
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(shared.value.evidence(batch.column("text")))], names=["doc_id", "y", "evidence"])
 
     held = apart.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "y")
-    rows = held.mapInArrow(run, "doc_id long, y int, evidence double").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).toPandas().sort_values("doc_id")
-    share = labelled.agg(F.avg("y")).first()[0] if rows.empty or rows.y.nunique() < 2 else None
-    if rows.empty or rows.y.nunique() < 2:
+    rows = held.mapInArrow(run, "doc_id long, y int, evidence double").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).orderBy("doc_id").toArrow()
+    evidence, labels = rows.column("evidence").to_numpy(), rows.column("y").to_numpy().astype(float)
+    if len(set(labels.tolist())) < 2:
+        share = labelled.agg(F.avg("y")).first()[0]
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
         return ClassModels(bare.seen, bare.weights, 0.0, float(np.log(share / (1 - share))))
-    slope, offset = fit_curve(rows.evidence.to_numpy(), rows.y.to_numpy(float))
+    slope, offset = fit_curve(evidence, labels)
     return ClassModels(bare.seen, bare.weights, slope, offset)
 
 
