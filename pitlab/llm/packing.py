@@ -35,7 +35,7 @@ from pitlab.llm.common import chunks, ragged, span_hashes, utf8
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -259,6 +259,7 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 if len(packer.rows) >= 4096:
                     yield rows(packer)
         packer.finish()
+        _loaded.cache_clear()  # a worker may go on with other stages: the known words go with the task
         yield rows(packer)
 
     return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
