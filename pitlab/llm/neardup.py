@@ -2,8 +2,11 @@
 
 Equal vectors are one class first. In every pass the classes are sorted by the concatenated signs of random projections;
 each is compared with the ``WINDOW`` before it, and pairs with cosine >= 0.9 in double precision are united. The number
-of passes follows from the number of classes, the threshold and the wanted recall: a pair shares the first
-``log2(classes / window)`` signs, which bring it into one window, with a known chance.
+of first passes follows from the number of classes, as if they were spread evenly. Each pass also measures, for each
+class, the chance that it met a partner at the threshold: from its own projections (how likely a partner has the same
+signs) and from how many rows share each prefix of its signs. Classes that stay below the wanted recall, as in a dense
+region, get further passes among themselves, or are compared exactly with each other where that costs less. A pair with
+one such class is covered by the measured chance of the other.
 
 Windows bound what a pass compares, not what is counted: inside every component found, all pairs are verified block by
 block, so a vector's links are complete there however large its group is. Blocks send back counts, never pairs.
@@ -33,11 +36,14 @@ TARGET_RECALL = 0.99
 BITS = 62
 PASSES_AT_ONCE = 8
 BLOCK_ROWS = 512
+#: Rows of a block of the exact comparison. A further pass costs about as much as comparing each row with so many.
+EXACT_ROWS = 2048
+MOST_FURTHER_PASSES = 64
 _SEED, _TILE = 99, 512
 
 
 def passes_for(classes: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = TARGET_RECALL) -> int:
-    """Passes after which a pair at the threshold has met in some window with chance ``recall``."""
+    """Passes after which a pair at the threshold has met in some window with chance ``recall`` if vectors are spread evenly."""
     same = 1 - math.acos(threshold) / math.pi
     chance = same ** max(0.0, math.log2(max(classes, 1) / window))
     return 2 if chance > 0.9 else math.ceil(math.log(1 - recall) / math.log(1 - chance))
@@ -102,8 +108,38 @@ def _keys(found: DataFrame, numbers: list[int]) -> DataFrame:
     return found.select("rep", "v").mapInArrow(run, "pass long, size long, key long, rep long, v binary")
 
 
+def _met(unit: np.ndarray, keys: np.ndarray, projection: np.ndarray, threshold: float, window: int) -> np.ndarray:
+    """The chance of each row of a sorted stretch to have a partner at the threshold, in a random direction, in its window.
+
+    A partner shares sign j with a chance that the row's own distance from plane j gives. Two rows that part after
+    ``d`` signs lie in the two halves of the stretch with these signs; places in the halves count as even. A stretch that
+    reaches an end of the rows may go on beyond and counts as met by nobody.
+    """
+    n, dimensions = unit.shape
+    margin = np.abs(unit @ projection)
+    spread = np.sqrt(np.maximum((projection * projection).sum(axis=0) - margin * margin, 1e-12) / max(dimensions - 1, 1))
+    z = np.minimum(threshold / math.sqrt(max(1 - threshold * threshold, 1e-12)) * margin / spread, 8.0)
+    same = 0.5 * (1 + np.tanh(math.sqrt(2 / math.pi) * (z + 0.044715 * z**3)))  # the normal distribution's integral
+    chance, shared = np.zeros(n), np.ones(n)
+    for depth in range(BITS + 1):
+        prefix = keys >> np.int64(BITS - depth)
+        edges = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [n]))
+        sizes = np.diff(edges).astype(np.float64)
+        ratio = window / np.maximum(sizes, window)
+        met = np.where(ratio > 0.5, 1 - 2 * (1 - ratio) ** 2, 2 * ratio**2)
+        met[[0, -1]] = 0.0
+        parts = same[:, depth] if depth < BITS else np.zeros(n)
+        chance += shared * (1 - parts) * np.repeat(met, np.diff(edges))
+        shared = shared * parts
+    return chance
+
+
 def _windows(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
-    """Links that join what the windows of a sorted partition unite: at most one per row and tile."""
+    """Links (a, b) that join what the windows of a sorted partition unite: at most one per row and tile.
+
+    Each row also gives (a, null, miss): the logarithm of its chance to have missed a partner at the threshold in this pass.
+    """
+    columns = ["a", "b", "miss"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple[tuple[int, int], np.ndarray, np.ndarray] | None = None
@@ -113,18 +149,86 @@ def _windows(keyed: DataFrame, threshold: float, window: int) -> DataFrame:
             edges = np.concatenate(([0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1, [len(ids)])) if len(ids) else [0]
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 own = (int(group[0, low]), int(group[1, low]))
+                whole = _unit(data.slice(low, high - low).to_pylist())
+                met = _met(whole, batch.column("key").to_numpy()[low:high], _projection(*own), threshold, window)
+                miss = np.log1p(-np.minimum(met, 1 - 1e-12))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high]), pa.nulls(high - low, pa.int64()), pa.array(miss)], names=columns)
                 for begin in range(low, high, _TILE):
                     end = min(begin + _TILE, high)
-                    unit, rep = _unit(data.slice(begin, end - begin).to_pylist()), ids[begin:end]
+                    unit, rep = whole[begin - low : end - low], ids[begin:end]
                     if tail is not None and tail[0] == own:
                         unit, rep = np.concatenate((tail[1], unit)), np.concatenate((tail[2], rep))
                     left, right = np.nonzero(np.triu(unit @ unit.T >= threshold, 1) & (np.abs(np.subtract.outer(np.arange(len(rep)), np.arange(len(rep)))) <= window))
                     tail = (own, unit[-window:], rep[-window:])
                     if len(left):
                         node, root = forest(rep[left], rep[right])
-                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.nulls(len(node), pa.float64())], names=columns)
+
+    return keyed.mapInArrow(run, "a long, b long, miss double")
+
+
+def _exact(rows: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all pairs of ``rows`` (rep, size, v): each two blocks are compared, with at most one link a row."""
+    sizes = F.broadcast(rows.groupBy("size").agg(F.ceil(F.count("*") / EXACT_ROWS).cast("long").alias("blocks")))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    dealt = rows.join(sizes, "size").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "v")
+    dealt = dealt.repartition("size", "i", "j").sortWithinPartitions("size", "i", "j")
+
+    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rep = np.concatenate([p.column("rep").to_numpy() for p in parts])
+        unit = _unit([x for p in parts for x in p.column("v").to_pylist()])
+        a, b = [], []
+        for begin in range(0, len(rep), _TILE):
+            left, right = np.nonzero(unit[begin : begin + _TILE] @ unit[begin:].T >= threshold)
+            node, root = forest(rep[begin + left], rep[begin + right])
+            a.append(node)
+            b.append(root)
+        node, root = forest(np.concatenate(a), np.concatenate(b))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("size", "i", "j")])
+            edges = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(batch)])) if len(batch) else [0]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                key = tuple(keys[:, low].tolist())
+                if key != now and held:
+                    yield compared(held)
+                    held = []
+                now = key
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield compared(held)
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(found: DataFrame, threshold: float, window: int, recall: float) -> DataFrame:
+    """Links (a, b) that join the classes: passes over all, then over those whose measured recall is too low."""
+    count, wanted = found.count(), math.log(1 - recall)
+    passes, done, rows, missed, links = passes_for(count, threshold, window, recall), 0, found.select("rep", "v"), None, None
+    while True:
+        for first in range(done, done + passes, PASSES_AT_ONCE):
+            keyed = _keys(rows, list(range(first, min(first + PASSES_AT_ONCE, done + passes))))
+            placed = keyed.repartitionByRange("pass", "size", "key", "rep").sortWithinPartitions("pass", "size", "key", "rep")
+            both = materialize(_windows(placed, threshold, window), "vector-links")
+            part, miss = both.where("b IS NOT NULL").select("a", "b").distinct(), both.where("b IS NULL").select(F.col("a").alias("rep"), "miss")
+            links = part if links is None else links.unionByName(part)
+            missed = miss if missed is None else missed.unionByName(miss)
+        missed = materialize(missed.groupBy("rep").agg(F.sum("miss").alias("miss")).where(F.col("miss") > wanted), "vectors-missed")
+        done += passes
+        left = missed.agg(F.count("*").alias("rows"), F.avg("miss").alias("miss")).first()
+        if not left.rows:
+            return links
+        rows = materialize(rows.join(missed, "rep", "left_semi"), "vectors-left")
+        # What a class gained in a pass so far, on average, says how many more it needs.
+        needed = (wanted - left.miss) / min(left.miss / done, -1e-9)
+        if left.rows <= EXACT_ROWS * max(1.0, needed):
+            sized = rows.select("rep", F.octet_length("v").cast("long").alias("size"), "v")
+            return links.unionByName(materialize(_exact(sized, threshold), "vector-links-exact"))
+        passes = min(MOST_FURTHER_PASSES, max(1, math.ceil(needed)))
 
 
 def _link_counts(members: DataFrame, threshold: float) -> DataFrame:
@@ -181,14 +285,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """One row per vector: vec_id, n_links, component_id, kept."""
     rows, found = classes_of(vectors, key, vector)
     found = materialize(_packed(found), "vector-classes")
-    passes = passes_for(found.count(), threshold, window, recall)
-    links = None
-    for first in range(0, passes, PASSES_AT_ONCE):
-        keyed = _keys(found, list(range(first, min(first + PASSES_AT_ONCE, passes))))
-        placed = keyed.repartitionByRange("pass", "size", "key", "rep").sortWithinPartitions("pass", "size", "key", "rep")
-        part = materialize(_windows(placed, threshold, window).distinct(), "vector-links")
-        links = part if links is None else links.unionByName(part)
-    grouped = components(links).withColumnRenamed("id", "rep")
+    grouped = components(_links(found, threshold, window, recall)).withColumnRenamed("id", "rep")
     members = materialize(found.join(grouped, "rep"), "vector-members")
     counts = _link_counts(members.select("component", "rep", "copies", "v"), threshold)
     summary = found.select("h1", "h2", "rep", "copies").join(members.select("rep", "component"), "rep", "left").join(counts, "rep", "left")
