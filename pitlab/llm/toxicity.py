@@ -4,9 +4,10 @@ Two letter models of order 4, one of the toxic and one of the ordinary training
 counts at the top order, numbers of distinct left neighbours below. Orders 2 to 4 are counted by class. Both classes
 share the counts of the lowest order, so an expression that is rare in a class is judged by what both classes have
 seen. A text's evidence is the difference of its two log-likelihoods divided by its length in letters; a
-logistic curve fitted on labelled rows that were kept out of the counts turns it into the score.
+logistic curve fitted on labelled rows that were kept out of the counts turns it into the score. Only rows that are
+chosen for the curve stay out: of each class a quarter, and at most half of ``CALIBRATION_DOCS``, weighted to the class's size.
 
-All counting, smoothing and joining is done on DataFrames over all labelled rows. The finished model goes to the workers
+All counting, smoothing and joining is done on DataFrames over all other labelled rows. The finished model goes to the workers
 as hashed tables of fixed size (``CELLS`` values each, about 32 MB in total whatever the corpus; only used cells travel),
 where the more frequent of two colliding n-grams stands.
 
@@ -208,29 +209,52 @@ def _tables(rows: DataFrame, absent: float) -> dict[int, np.ndarray]:
     return tables
 
 
-def fit_curve(evidence: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton steps with a small ridge on the slope."""
+def fit_curve(evidence: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over weighted rows, by Newton steps with a small ridge on the slope."""
+    weights = weights / weights.mean()
     scale = float(evidence.std()) or 1.0
     x = np.stack([evidence / scale, np.ones(len(evidence))], axis=1)
     beta = np.zeros(2)
     ridge = np.diag([0.05, 1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (labels - p) - ridge @ beta)
+        step = np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + ridge, x.T @ (weights * (labels - p)) - ridge @ beta)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-6:
             break
     return float(beta[0] / scale), float(beta[1])
 
 
+def _curve_rows(labelled: DataFrame, most: int) -> tuple[DataFrame, dict[int, float]]:
+    """(doc_id, y) of the rows that fit the curve, and by class the documents that each of them stands for.
+
+    Of each class a quarter of its documents, at most half of ``most`` and at least one.
+    """
+    ids = materialize(labelled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y")), "toxicity-ids")
+    sizes = {r.y: r["count"] for r in ids.groupBy("y").count().collect()}
+    quota = {y: min(max(most // 2, 1), max(1, n // 4)) for y, n in sizes.items()}
+    parts = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("curve")), "doc_id").limit(n) for y, n in sorted(quota.items())]
+    chosen = parts[0] if parts else ids
+    for part in parts[1:]:
+        chosen = chosen.unionByName(part)
+    return materialize(chosen, "toxicity-curve"), {y: sizes[y] / n for y, n in quota.items()}
+
+
 def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> ClassModels:
-    """The models of all rows of (doc_id, text, y) but each fourth by hash; those, up to a bound, fit the curve."""
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("curve")), F.lit(4))
-    counts = materialize(count_grams(labelled.where(part != 0)), "toxicity-counts")
+    """The models of all rows of (doc_id, text, y) but those chosen to fit the curve: a bounded number of each class.
+
+    The only document of a class does both.
+    """
+    chosen, weights_of = _curve_rows(labelled, calibration_docs)
+    sizes = {r.y: r["count"] for r in chosen.groupBy("y").count().collect()}
+    apart = chosen.where(F.col("y").isin([y for y in sizes if sizes[y] * weights_of[y] > 1])).select("doc_id")
+    counts = materialize(count_grams(labelled.join(F.broadcast(apart), "doc_id", "left_anti")), "toxicity-counts")
     seen, weights = learn(counts)
     bare = ClassModels(_tables(seen, np.nan), _tables(weights, 0.0), 1.0, 0.0)
-    apart = labelled.where(part == 0)
-    chosen = apart.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_docs)
+    if len(sizes) < 2:
+        share = labelled.agg(F.avg("y")).first()[0]
+        share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
+        return ClassModels(bare.seen, bare.weights, 0.0, float(np.log(share / (1 - share))))
 
     shared = labelled.sparkSession.sparkContext.broadcast(bare)  # fixed size: see CELLS
 
@@ -238,14 +262,10 @@ def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Clas
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(shared.value.evidence(batch.column("text")))], names=["doc_id", "y", "evidence"])
 
-    held = apart.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "y")
+    held = labelled.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "y")
     rows = held.mapInArrow(run, "doc_id long, y int, evidence double").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).orderBy("doc_id").toArrow()
     evidence, labels = rows.column("evidence").to_numpy(), rows.column("y").to_numpy().astype(float)
-    if len(set(labels.tolist())) < 2:
-        share = labelled.agg(F.avg("y")).first()[0]
-        share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
-        return ClassModels(bare.seen, bare.weights, 0.0, float(np.log(share / (1 - share))))
-    slope, offset = fit_curve(evidence, labels)
+    slope, offset = fit_curve(evidence, labels, np.where(labels > 0, weights_of[1], weights_of[0]))
     return ClassModels(bare.seen, bare.weights, slope, offset)
 
 

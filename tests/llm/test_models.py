@@ -86,6 +86,26 @@ def test_toxicity_without_a_class(docs, spark):
     assert toxicity.score(docs([(1, "abc")]), model).first().score == pytest.approx(0.5)
 
 
+def test_toxicity_counts_all_rows_but_those_of_the_curve(spark, prose, monkeypatch):
+    counted = []
+    plain = toxicity.count_grams
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows: counted.append({r.doc_id for r in rows.collect()}) or plain(rows))
+    rows = [(k, prose(k, 20), int(k % 10 == 0)) for k in range(200)]
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"), 8)
+    assert len(counted[0]) == 192 and sum(k % 10 == 0 for k in counted[0]) == 16
+
+
+@pytest.mark.parametrize("toxic", [1, 2, 3])
+def test_toxicity_of_few_toxic_rows(docs, prose, spark, toxic):
+    """Whichever rows they are, both classes are in the curve."""
+    words = lambda k, bad: prose(k, 20) + (" zhukwob gravzkix" * 6 if bad else "")
+    for shift in (0, 40, 41, 42, 43):
+        rows = [(k, words(k, shift <= k < shift + toxic), int(shift <= k < shift + toxic)) for k in range(60)]
+        model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+        found = {r.doc_id: r.score for r in toxicity.score(docs([(1, words(900, True)), (2, words(901, False))]), model).collect()}
+        assert found[1] > found[2]
+
+
 def test_letter_grams_against_plain_code():
     import pyarrow as pa
 
