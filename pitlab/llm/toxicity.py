@@ -7,9 +7,9 @@ seen. A text's evidence is the difference of its two log-likelihoods divided by
 logistic curve fitted on labelled rows that were kept out of the counts turns it into the score. Only rows that are
 chosen for the curve stay out: of each class a quarter, and at most half of ``CALIBRATION_DOCS``, weighted to the class's size.
 
-All counting, smoothing and joining is done on DataFrames over all other labelled rows. The finished model goes to the workers
-as hashed tables of fixed size (``CELLS`` values each, about 32 MB in total whatever the corpus; only used cells travel),
-where the more frequent of two colliding n-grams stands.
+All counting, smoothing and joining is done on DataFrames over all other labelled rows. A finished model of up to
+``MODEL_ROWS`` n-grams and contexts goes to the workers as hashed tables that hold the n-grams themselves, so no n-gram
+is taken for another. A larger model stays a DataFrame: the n-gram counts of the texts are joined with it.
 
 Null text and text without a letter have no evidence: their score is that of evidence 0. Labels are cleaned as for the
 quality model. If a class is missing, the score is the share of toxic labels (0.5 without labels). Repeated rows are scored one by one.
@@ -18,7 +18,7 @@ quality model. If a class is missing, the score is the share of toxic labels (0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from pitlab.llm.langid import letter_index
 from pitlab.session import materialize
 
 ORDER, DISCOUNT = 4, 0.75
-CELL_BITS = 21
-CELLS = 1 << CELL_BITS
+#: N-grams and contexts of a model that is sent to the workers, at most: some 80 MB.
+MODEL_ROWS = 1 << 22
 #: Rows that fit the logistic curve, at most.
 CALIBRATION_DOCS = 20_000
 _BITS = 10
@@ -70,28 +70,40 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return packed[valid], np.concatenate(([0], np.cumsum(sizes)))
 
 
-def cell(order: int, gram: np.ndarray) -> np.ndarray:
-    """The place of an n-gram of 1 to 4 symbols in its table: exact up to two symbols, hashed above."""
-    if order <= 2:
-        return gram
-    return (mix(gram.astype(np.uint64) * np.uint64(8) + np.uint64(order)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cell(gram: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(gram.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sparse(table: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(size, places, values) of the cells that are neither absent nor 0."""
-    places = np.flatnonzero(~np.isnan(table) & (table != 0))
-    return len(table), places.astype(np.int32), table[places]
-
-
-def _dense(packed: tuple[int, np.ndarray, np.ndarray], absent: float) -> np.ndarray:
-    size, places, values = packed
-    table = np.full(size, absent, np.float32)
-    table[places] = values
-    return table
-
-
-def _restored(seen: dict, weights: dict, slope: float, offset: float) -> ClassModels:
-    return ClassModels({k: _dense(t, np.nan) for k, t in seen.items()}, {k: _dense(t, 0.0) for k, t in weights.items()}, slope, offset)
+@dataclass(frozen=True)
+class Table:
+    """N-grams of one order with their values: sorted by hash cell, with the place where each cell begins."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    starts: np.ndarray
+    bits: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Table:
+        bits = max(1, (2 * len(keys)).bit_length())
+        place = _cell(keys, bits)
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange((1 << bits) + 1)).astype(np.int32)
+        return cls(keys[order], values[order].astype(np.float32), starts, bits)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The value of each n-gram, NaN if it is not in the table."""
+        place = _cell(wanted, self.bits)
+        at, end = self.starts[place].astype(np.int64), self.starts[place + 1]
+        found = np.full(len(wanted), np.nan)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            same = self.keys[at[live]] == wanted[live]
+            found[live[same]] = self.values[at[live[same]]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return found
 
 
 @dataclass(frozen=True)
@@ -101,15 +113,11 @@ class ClassModels:
     ``seen[k]`` has the difference of a known k-gram; ``weights[k]`` that of the backoff weights after a context of k.
     """
 
-    seen: dict[int, np.ndarray]
-    weights: dict[int, np.ndarray]
+    seen: dict[int, Table]
+    weights: dict[int, Table]
     slope: float
     offset: float
 
-    def __reduce__(self) -> tuple:
-        """Only used cells travel to the workers."""
-        return _restored, ({k: _sparse(t) for k, t in self.seen.items()}, {k: _sparse(t) for k, t in self.weights.items()}, self.slope, self.offset)
-
     def evidence(self, column: pa.Array) -> np.ndarray:
         raw, offsets = utf8(column)
         result = np.zeros(len(column), np.float64)
@@ -121,23 +129,42 @@ class ClassModels:
         return result
 
     def _differences(self, packed: np.ndarray) -> np.ndarray:
-        value = self.seen[ORDER][cell(ORDER, packed)].astype(np.float64)
+        value = self.seen[ORDER].find(packed)
         left, order = np.flatnonzero(np.isnan(value)), ORDER
         value[left] = 0.0
         while len(left) and order > 1:
             context = packed[left] >> _BITS & (1 << _BITS * (order - 1)) - 1
-            value[left] += self.weights[order - 1][cell(order - 1, context)]
+            value[left] += np.nan_to_num(self.weights[order - 1].find(context))
             order -= 1
             if order == 1:
                 break  # the lowest order is shared: no difference
-            known = self.seen[order][cell(order, packed[left] & (1 << _BITS * order) - 1)]
+            known = self.seen[order].find(packed[left] & (1 << _BITS * order) - 1)
             found = ~np.isnan(known)
             value[left[found]] += known[found]
             left = left[~found]
         return value
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.evidence(column) + self.offset, -60, 60)))
+
+@dataclass(frozen=True)
+class JoinedModels:
+    """The same as DataFrames (order, gram, value), for models beyond ``MODEL_ROWS``."""
+
+    seen: DataFrame
+    weights: DataFrame
+    slope: float
+    offset: float
+
+    def differences(self, found: DataFrame) -> DataFrame:
+        """(gram, value) of the 4-grams of ``found`` (gram)."""
+        rows = found.select("gram", F.lit(0.0).alias("value"), F.lit(False).alias("known"))
+        for order in range(ORDER, 1, -1):
+            own = self.seen.where(F.col("order") == order).select(F.col("gram").alias("own"), F.col("value").alias("difference"))
+            context = self.weights.where(F.col("order") == order - 1).select(F.col("gram").alias("context"), F.col("value").alias("weight"))
+            rows = rows.withColumn("own", F.col("gram").bitwiseAND(F.lit((1 << _BITS * order) - 1))).withColumn("context", F.shiftright("own", _BITS))
+            rows = rows.join(own, "own", "left").join(context, "context", "left")
+            more = F.coalesce("difference", "weight", F.lit(0.0))
+            rows = rows.select("gram", F.when(F.col("known"), F.col("value")).otherwise(F.col("value") + more).alias("value"), (F.col("known") | F.col("difference").isNotNull()).alias("known"))
+        return rows.select("gram", "value")
 
 
 def count_grams(labelled: DataFrame) -> DataFrame:
@@ -186,27 +213,48 @@ def learn(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen[0].union(seen[1]).union(seen[2]), weights[0].union(weights[1]).union(weights[2])
 
 
-def _tables(rows: DataFrame, absent: float) -> dict[int, np.ndarray]:
-    """The model's rows as hashed tables. At most ``CELLS`` rows an order reach the driver."""
+def _tables(rows: DataFrame, orders: range) -> dict[int, Table]:
+    """The model's rows as tables. At most ``MODEL_ROWS`` rows reach the driver."""
+    got = rows.select("order", "gram", F.col("value").cast("float").alias("value")).toArrow()
+    order, gram, value = (got.column(c).to_numpy() for c in ("order", "gram", "value"))
+    return {k: Table.of(gram[order == k], value[order == k]) for k in orders}
+
+
+def _model(seen: DataFrame, weights: DataFrame) -> ClassModels | JoinedModels:
+    """The model without its curve."""
+    seen, weights = (materialize(x.select("order", "gram", "value"), f"toxicity-{name}") for x, name in ((seen, "seen"), (weights, "weights")))
+    if seen.count() + weights.count() > MODEL_ROWS:
+        return JoinedModels(seen, weights, 1.0, 0.0)
+    return ClassModels(_tables(seen, range(2, ORDER + 1)), _tables(weights, range(1, ORDER)), 1.0, 0.0)
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_evidence(rows: DataFrame, model: ClassModels | JoinedModels) -> DataFrame:
+    """The rows with ``evidence`` in place of ``text``."""
+    others = [c for c in rows.columns if c != "text"]
+    if isinstance(model, ClassModels):
+        shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded: see MODEL_ROWS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(shared.value.evidence(batch.column("text")))], names=[*others, "evidence"])
+
+        return rows.mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others), "evidence double"]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, gram = batch.column("order").to_numpy(), batch.column("gram").to_numpy()
-            where = np.zeros(len(order), np.int64)
-            for k in np.unique(order):
-                where[order == k] = cell(int(k), gram[order == k])
-            yield pa.RecordBatch.from_arrays([batch.column("order"), pa.array(where), batch.column("gram"), batch.column("n"), batch.column("value")], names=["order", "place", "gram", "n", "value"])
-
-    placed = rows.mapInArrow(place, "order int, place long, gram long, n long, value double")
-    kept = placed.groupBy("order", "place").agg(F.max_by("value", F.struct("n", "gram")).cast("float").alias("value")).toArrow()
-    order, where, value = (kept.column(c).to_numpy() for c in ("order", "place", "value"))
-    # A known n-gram without a difference is still known: 0 would be lost on the way.
-    value = np.where((value == 0) & np.isnan(absent), np.finfo(np.float32).tiny, value)
-    tables = {}
-    for k in range(1, ORDER + 1):
-        tables[k] = np.full(1 << min(_BITS * k, CELL_BITS) if k > 2 else 1 << _BITS * k, absent, np.float32)
-        tables[k][where[order == k]] = value[order == k]
-    return tables
+            raw, offsets = utf8(batch.column("text"))
+            for low, high in chunks(offsets):
+                packed, edges = grams(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                keys, counts = np.unique(np.repeat(np.arange(high - low), np.diff(edges)) << _BITS * ORDER | packed, return_counts=True)
+                row = pa.array(low + (keys >> _BITS * ORDER))
+                yield pa.RecordBatch.from_arrays([batch.column("h1").take(row), batch.column("h2").take(row), pa.array(keys & (1 << _BITS * ORDER) - 1), pa.array(counts)], names=["h1", "h2", "gram", "n"])
+
+    # Evidence belongs to the text: equal texts add to both sums alike.
+    keyed = rows.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(7), "text"))
+    counted = materialize(keyed.select("h1", "h2", "text").mapInArrow(count, "h1 long, h2 long, gram long, n long"), "toxicity-document-grams")
+    values = materialize(model.differences(counted.select("gram").distinct()), "toxicity-values")
+    found = counted.join(values, "gram").groupBy("h1", "h2").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("evidence"))
+    return keyed.join(found, ["h1", "h2"], "left").select(*others, F.coalesce("evidence", F.lit(0.0)).alias("evidence"))
 
 
 def fit_curve(evidence: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -240,7 +288,7 @@ def _curve_rows(labelled: DataFrame, most: int) -> tuple[DataFrame, dict[int, fl
     return materialize(chosen, "toxicity-curve"), {y: sizes[y] / n for y, n in quota.items()}
 
 
-def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> ClassModels:
+def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> ClassModels | JoinedModels:
     """The models of all rows of (doc_id, text, y) but those chosen to fit the curve: a bounded number of each class.
 
     The only document of a class does both.
@@ -250,31 +298,21 @@ def train(labelled: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Clas
     apart = chosen.where(F.col("y").isin([y for y in sizes if sizes[y] * weights_of[y] > 1])).select("doc_id")
     counts = materialize(count_grams(labelled.join(F.broadcast(apart), "doc_id", "left_anti")), "toxicity-counts")
     seen, weights = learn(counts)
-    bare = ClassModels(_tables(seen, np.nan), _tables(weights, 0.0), 1.0, 0.0)
+    bare = _model(seen, weights)
     if len(sizes) < 2:
         share = labelled.agg(F.avg("y")).first()[0]
         share = 0.5 if share is None else min(max(share, 1e-3), 1 - 1e-3)
-        return ClassModels(bare.seen, bare.weights, 0.0, float(np.log(share / (1 - share))))
-
-    shared = labelled.sparkSession.sparkContext.broadcast(bare)  # fixed size: see CELLS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(shared.value.evidence(batch.column("text")))], names=["doc_id", "y", "evidence"])
+        return replace(bare, slope=0.0, offset=float(np.log(share / (1 - share))))
 
     held = labelled.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "y")
-    rows = held.mapInArrow(run, "doc_id long, y int, evidence double").groupBy("doc_id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).orderBy("doc_id").toArrow()
+    rows = _with_evidence(held, bare).groupBy("doc_id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).orderBy("doc_id").toArrow()
     evidence, labels = rows.column("evidence").to_numpy(), rows.column("y").to_numpy().astype(float)
     slope, offset = fit_curve(evidence, labels, np.where(labels > 0, weights_of[1], weights_of[0]))
-    return ClassModels(bare.seen, bare.weights, slope, offset)
+    return replace(bare, slope=slope, offset=offset)
 
 
-def score(documents: DataFrame, model: ClassModels, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(documents: DataFrame, model: ClassModels | JoinedModels, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id and score, the chance that it is toxic."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # fixed size: see CELLS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(batch.column("text")))], names=["doc_id", "score"])
-
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    odds = F.least(F.greatest(F.lit(model.slope) * F.col("evidence") + F.lit(model.offset), F.lit(-60.0)), F.lit(60.0))
+    return _with_evidence(rows, model).select("doc_id", (1 / (1 + F.exp(-odds))).alias("score"))

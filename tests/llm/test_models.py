@@ -106,6 +106,52 @@ def test_toxicity_of_few_toxic_rows(docs, prose, spark, toxic):
         assert found[1] > found[2]
 
 
+def test_toxicity_takes_no_gram_for_another(docs, prose, spark, monkeypatch):
+    """Unseen n-grams of many scripts back off, as in a plain dictionary; so does the model that is joined in Spark."""
+    import pyarrow as pa
+
+    from pitlab.llm.common import utf8
+
+    drawn = random.Random(4)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x3B1, 0x3C9), *range(0x430, 0x44F), *range(0x5D0, 0x5EA))]
+    noise = lambda n: "".join(drawn.choice(letters) for _ in range(n))
+    rows = [(k, prose(k, 30) + " " + noise(300), k % 2) for k in range(60)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    held = {}
+    plain = toxicity.learn
+
+    def learn(counts):
+        seen, weights = plain(counts)
+        held.update({(name, r.order, r.gram): r.value for name, x in (("s", seen), ("w", weights)) for r in x.collect()})
+        return seen, weights
+
+    monkeypatch.setattr(toxicity, "learn", learn)
+    model = toxicity.train(labelled)
+    texts = [noise(20_000), prose(901, 40), None, "", noise(50)]
+
+    def difference(gram):
+        total = 0.0
+        for order in (4, 3, 2):
+            own = gram & (1 << 10 * order) - 1
+            if ("s", order, own) in held:
+                return total + held["s", order, own]
+            total += held.get(("w", order - 1, own >> 10), 0.0)
+        return total
+
+    packed, edges = toxicity.grams(*utf8(pa.array(texts)))
+    values = [np.mean([difference(g) for g in packed[a:b].tolist()]) if b > a else 0.0 for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    expected = [1 / (1 + np.exp(-(model.slope * v + model.offset))) for v in values]
+    table = docs(list(enumerate(texts)) + [(9, texts[1])])
+
+    def scores(m):
+        return [r.score for r in toxicity.score(table, m).orderBy("doc_id").collect()]
+
+    assert model.evidence(pa.array(texts)) == pytest.approx(values, abs=1e-6)
+    assert scores(model) == pytest.approx([*expected, expected[1]], abs=1e-4)
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 100)
+    assert scores(toxicity.train(labelled)) == pytest.approx(scores(model), abs=1e-4)
+
+
 def test_letter_grams_against_plain_code():
     import pyarrow as pa
 
