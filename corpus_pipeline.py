@@ -19,6 +19,8 @@ from pitlab.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 ACCEPTED_FROM = 0.7
+#: Words of a shingle and the least Jaccard similarity, in percent, of the stage; op3_jaccard_join has its own (4 and 85).
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by similarity, the one with the smallest id. Rows of a null id are no documents to compare and stay."""
-    found = jaccard.similar_documents(docs)
+    found = jaccard.similar_documents(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     # Only ids that occur in several rows need a choice among them; all other texts stay where they are.
     each = materialize(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept-documents")
     once, often = (checked(each.where(x).select("doc_id")) for x in ("count = 1", "count > 1"))

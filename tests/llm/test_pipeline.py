@@ -79,6 +79,19 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     check_pieces(stage(4, spark, redacted, folder).collect(), texts, Tokenizer.from_file(WORDS), 2048)
 
 
+def test_similar_from_four_fifths(spark, prose):  # noqa: F811
+    """Copies with 18 to 25 % new words appended go, copies with more stay."""
+    rows = [(k, prose(k, 200)) for k in range(3)]
+    added = {100: 38, 101: 44, 102: 48, 103: 60}
+    rows += [(i, prose(0, 200) + " " + prose(i, n)) for i, n in added.items()]
+    texts = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    ratio = {i: len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in added}
+    assert all(0.8 <= ratio[i] < 0.85 for i in (100, 101, 102)) and ratio[103] < 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {i for i, _ in held(corpus_pipeline.keep_one_of_each_group(spark, docs, ""))} == {0, 1, 2, 103}
+
+
 def test_run_applies_all_stages(spark, folder):
     found = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()}
     assert 3 in found and 203 not in found and 402 not in found and 105 not in found and 451 in found
