@@ -40,13 +40,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by similarity, the one with the smallest id. Rows of a null id are no documents to compare and stay."""
+    """Of documents joined by similarity, the one with the smallest id. Rows of a null id are no documents to compare and stay.
+
+    An id with several texts is one document: if it stays, each of its different texts stays once, with the smallest of
+    the other columns.
+    """
     found = jaccard.similar_documents(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     # Only ids that occur in several rows need a choice among them; all other texts stay where they are.
     each = materialize(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept-documents")
     once, often = (checked(each.where(x).select("doc_id")) for x in ("count = 1", "count > 1"))
     single = docs.where("doc_id IS NULL").unionByName(docs.join(once, "doc_id", "left_semi"))
-    return single.unionByName(docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    several = docs.join(often, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("any"), *others)).alias("row"))
+    return single.unionByName(several.select("doc_id", "text", *(F.col("row")[c].alias(c) for c in others))).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

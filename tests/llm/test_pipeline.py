@@ -92,6 +92,15 @@ def test_similar_from_four_fifths(spark, prose):  # noqa: F811
     assert {i for i, _ in held(corpus_pipeline.keep_one_of_each_group(spark, docs, ""))} == {0, 1, 2, 103}
 
 
+def test_all_texts_of_an_id_stay(spark, prose):  # noqa: F811
+    """Only equal rows of an id are one; of other columns the smallest values stay."""
+    first, second, third = (prose(k, 60) for k in (1, 2, 3))
+    rows = [(1, first, "b"), (1, first, "a"), (1, second, "c"), (2, third, "d"), (1, None, "e"), (5, second, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, first, "a"), (1, second, "c"), (1, None, "e"), (2, third, "d")], key=str)
+
+
 def test_run_applies_all_stages(spark, folder):
     found = {r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()}
     assert 3 in found and 203 not in found and 402 not in found and 105 not in found and 451 in found
