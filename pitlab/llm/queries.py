@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlab.llm import bytepairs, chat, decontaminate, jaccard, langid, neardup, packing, pii, quality, toxicity
+from pitlab.llm import bytepairs, chat, decontaminate, interaction, jaccard, langid, neardup, oracles, packing, pii, quality, sharding, toxicity, trie
 from pitlab.llm.common import checked
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_crc32 = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32")
+    sharded = sharding.shard(_read(spark, sf_dir, "documents"), carry=[F.col("doc_id"), text_crc32])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, lengths = trie.rebuilt(trie.numbered_turns(_read(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, lengths).drop("name", "parent")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -90,7 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_sharding": op11_sharding,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-#: The method of every operator but the chat digest is beyond SQL; tests hold those against brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' methods, or a CRC-32 of whole texts, are beyond SQL; tests hold those against brute force or held-out rows.
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": oracles.PREFIX_TRIE, "op13_filter_audit": oracles.FILTER_AUDIT}
