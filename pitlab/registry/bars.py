@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,19 @@ from pitlab.functions.prices import price_for_role
 from pitlab.operators.dedupe import dedupe_bars, merge_bars, upsert_bars
 from pitlab.plans import imports, quality
 from pitlab.registry import Query
+from pitlab.schemas import BAR_TEXT_COLUMNS
 from pitlab.session import shared_folder
-from pitlab.sources.bars import load_history, normalize_raw_rows, parse_bars, read_bars_csv, write_bars
+from pitlab.sources.bars import (
+    discover_symbols,
+    load_history,
+    normalize_raw_rows,
+    parse_bars,
+    read_bars_csv,
+    read_bars_lenient,
+    read_symbol_files,
+    write_bars,
+    write_symbol_files,
+)
 from pitlab.sources.tables import latest_bars, missing_stocks, with_stock
 from pitlab.sources.vendor import normalize_vendor_bars
 from pitlab.standins.frames import Standins, ticker
@@ -221,16 +233,36 @@ def _constraints(s: Standins) -> DataFrame:
     return found.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _folder(s: Standins, name: str) -> str:
+    return f"{shared_folder(s.spark)}/pitlab/{name}-{uuid.uuid4().hex}"
+
+
 def _csv_scan(s: Standins) -> DataFrame:
     """Bars written as CSV and read back by the strict scan."""
-    import uuid
-
-    path = f"{shared_folder(s.spark)}/pitlab/csv-{uuid.uuid4().hex}"
+    path = _folder(s, "csv")
     write_bars(s.bars, path, "csv")
     read = read_bars_csv(s.spark, path, start=START, end=END)[0]
     return doubles(read.drop("ts"))
 
 
+def _symbol_files(s: Standins) -> DataFrame:
+    """Bars written as one file per symbol, found by the names of the files and read back."""
+    path = _folder(s, "symbols")
+    write_symbol_files(s.bars, path)
+    read = parse_bars(read_symbol_files(s.spark, path)).join(discover_symbols(s.spark, path), "symbol", "left_semi")
+    return doubles(read.select("symbol", "session", *PRICES, "volume", "row_number"))
+
+
+def _lenient_scan(s: Standins) -> DataFrame:
+    """Raw lines in files, in the order of their source texts; every fifth line of an order has a price that is none."""
+    path = _folder(s, "cache")
+    fifth = F.split("source", "-")[1] == "5"
+    cells = s.raw_bars.withColumn("close", F.when(fifth, "n/a").otherwise(F.col("close")))
+    cells = cells.repartitionByRange("source").sortWithinPartitions("source").select(*BAR_TEXT_COLUMNS)
+    cells.write.option("header", "true").option("emptyValue", "").csv(path)
+    return doubles(read_bars_lenient(s.spark, path).drop("ts"))
+
+
 def _stocks(s: Standins) -> DataFrame:
     nation = s.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("exchange"))
     return s.table("supplier").join(nation, "s_nationkey").select(ticker("s_suppkey").alias("symbol"), "exchange")
@@ -425,6 +457,24 @@ QUERIES: dict[str, Query] = {
         ),
         "S01 S05 P06",
     ),
+    "symbol_files": Query(
+        _symbol_files,
+        T(
+            "bars",
+            """SELECT symbol, session, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, adjusted_close::DOUBLE AS adjusted_close, volume,
+                      1 + ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ts) AS row_number FROM bars""",
+        ),
+        "S02 S03 S05",
+    ),
+    "lenient_scan": Query(
+        _lenient_scan,
+        T(
+            "raw_bars",
+            """SELECT symbol, session, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, adjusted_close::DOUBLE AS adjusted_close, volume
+               FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, ts ORDER BY source) AS k FROM raw_bars WHERE n_issues = 0 AND split_part(source, '-', 2) <> '5') q WHERE k = 1""",
+        ),
+        "S04 W05",
+    ),
     "stock_dimension": Query(
         lambda s: with_stock(s.bars, _stocks(s)).groupBy("exchange").agg(
             F.count(F.lit(1)).alias("bars"), F.count_distinct("symbol").alias("symbols")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from pitlab.operators.intervals import overlap_counts, snapshots_to_intervals
 from pitlab.plans import universe as u
 from pitlab.registry import Query
+from pitlab.session import shared_folder
+from pitlab.sources.csvfiles import write_symbol_files as write_files
 from pitlab.sources.tables import members_on, memberships_of
-from pitlab.sources.universe import parse_snapshots
+from pitlab.sources.universe import parse_snapshots, read_memberships
 from pitlab.standins.frames import Standins, misfiled, ticker
 from pitlab.standins.sql import with_tables as T
 
@@ -67,6 +70,17 @@ def _parsed_snapshots(s: Standins) -> DataFrame:
     )
 
 
+def _snapshot_versions(s: Standins) -> DataFrame:
+    """Snapshot files, one for each hundred suppliers, with lists over several lines; read, checked and stamped by file."""
+    path = f"{shared_folder(s.spark)}/pitlab/snapshots-{uuid.uuid4().hex}"
+    block = F.expr("substring(symbol, 1, length(symbol) - 2)")
+    lines = s.snapshots.groupBy(block.alias("symbol"), F.date_format("change_date", "yyyy-MM-dd").alias("date")).agg(
+        F.concat(F.array_join(F.sort_array(F.collect_list("symbol")), ",\n"), F.lit(",")).alias("tickers")
+    )
+    write_files(lines.repartition("symbol").sortWithinPartitions("symbol", "date"), path)
+    return read_memberships(s.spark, path).drop("source")
+
+
 def _other_source(s: Standins) -> DataFrame:
     """A second opinion on membership: intervals that ended are listed 40 days longer."""
     return s.memberships.withColumn("end_date", F.date_add("end_date", 40))
@@ -112,6 +126,18 @@ QUERIES: dict[str, Query] = {
     "snapshot_files": Query(
         _parsed_snapshots, T("memberships", "SELECT symbol, start_date, end_date FROM memberships"), "S09 W09 P01"
     ),
+    "snapshot_versions": Query(
+        _snapshot_versions,
+        T(
+            "memberships snapshots",
+            """SELECT m.symbol, m.start_date, m.end_date, v.source_version FROM memberships m JOIN (
+                 SELECT block, sha256('"symbol","date","tickers"' || chr(10)
+                          || string_agg('"' || block || '","' || change_date || '","' || tickers || ',"' || chr(10), '' ORDER BY change_date)) AS source_version
+                 FROM (SELECT left(symbol, length(symbol) - 2) AS block, change_date, string_agg(symbol, ',' || chr(10) ORDER BY symbol) AS tickers
+                       FROM snapshots GROUP BY ALL) l GROUP BY block) v ON v.block = left(m.symbol, length(m.symbol) - 2)""",
+        ),
+        "S09 S10 W09",
+    ),
     "universe_as_of": Query(
         lambda s: u.universe_as_of(s.memberships, s.rebalances),
         T("universe", "SELECT as_of, symbol, start_date, end_date FROM universe"),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,17 +15,13 @@ from pitlab.functions.text import fixed_point, normalize_symbol
 from pitlab.operators.dedupe import dedupe_bars
 from pitlab.params import ParameterError, warmup_start
 from pitlab.schemas import BAR_TEXT_COLUMNS, BARS, OHLCV_COLUMNS, PRICE, SchemaError
+from pitlab.sources import csvfiles
 
 NUMBERS = ("open", "high", "low", "close")
 # Fixed value: the UTC time of day given to a bar that only names its date.
 CLOSE_TIME = "14:30:00"
 
 
-def file_symbol(name: Column) -> Column:
-    """``aapl_daily.csv`` and ``AAPL.csv`` both name AAPL."""
-    return F.upper(F.regexp_replace(F.regexp_replace(name, r"(?i)\.csv$", ""), r"(?i)_daily$", ""))
-
-
 def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """Typed bars from text columns, with ``issues`` naming every violated rule.
 
@@ -84,35 +79,15 @@ def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry:
 def read_csv_rows(spark: SparkSession, path: str | Sequence[str], what: str = "bar file") -> DataFrame:
     """Text cells of bar files, each file read by the names in its own first line.
 
-    Adds ``source`` (the file) and ``row_number`` (its line, the header being line 1). Files may name their columns in
-    any order and have others besides; one without the required columns is an error.
+    Adds ``source`` (the file), ``row_number`` (its line, the header being line 1) and ``file_symbol``. Files may name their
+    columns in any order and have others besides; one without the required columns is an error.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    # Lines of a split follow each other, so a line's number is its place in the split plus the lines of those before.
-    splits = lines.groupBy("source", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.min_by("value", "_id").alias("_head"))
-    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = F.first("_head").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    splits = splits.select("source", "_block", "_first", before.alias("_before"), F.regexp_replace(head, "^\ufeff", "").alias("_header"))
-    rows = lines.join(splits, ["source", "_block"]).withColumn("row_number", F.col("_before") + F.col("_id") - F.col("_first") + 1)
-    rows = rows.filter((F.col("row_number") > 1) & (F.trim("value") != ""))
-
-    cells = F.lit(None)
     # One value per way of writing the first line, not per file.
-    for (header,) in splits.select("_header").distinct().toLocalIterator():
-        names = [n.strip().lower() for n in next(csv.reader([header]))]
-        missing = sorted(set(BAR_TEXT_COLUMNS) - set(names))
+    for (header,) in csvfiles.heads(spark, path).select("header").distinct().toLocalIterator():
+        missing = sorted(set(BAR_TEXT_COLUMNS) - set(header))
         if missing:
             raise SchemaError(f"{what}: missing required columns {', '.join(missing)}")
-        parsed = F.from_csv("value", ", ".join(f"_c{k} STRING" for k in range(len(names))))
-        own = F.struct(*[parsed[f"_c{names.index(c)}"].alias(c) for c in BAR_TEXT_COLUMNS])
-        cells = F.when(F.col("_header") == header, own).otherwise(cells)
-    kind = ", ".join(f"{c}: STRING" for c in BAR_TEXT_COLUMNS)
-    return rows.select(cells.cast(f"STRUCT<{kind}>").alias("_c"), "source", "row_number").select("_c.*", "source", "row_number")
+    return csvfiles.rows(spark, path, BAR_TEXT_COLUMNS)
 
 
 def read_bars_csv(
@@ -163,34 +138,32 @@ def read_bars_lenient(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 
 
 def discover_symbols(spark: SparkSession, folder: str, skip: Sequence[str] = ("memberships",)) -> DataFrame:
-    """Symbols named by bar files. Only first lines are compared with the OHLCV header."""
-    lines = spark.read.option("pathGlobFilter", "*.[cC][sS][vV]").text(folder).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    heads = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    columns = F.transform(F.split(F.lower(F.regexp_replace("header", "^﻿", "")), ","), lambda c: F.trim(c))
+    """Symbols named by bar files, those whose first line has the OHLCV columns. Nothing else of the files is read."""
     wanted = F.array(*[F.lit(c) for c in OHLCV_COLUMNS])
-    symbol = file_symbol(F.col("file"))
     return (
-        heads.filter(F.size(F.array_except(wanted, columns)) == 0)
-        .select(symbol.alias("symbol"))
+        csvfiles.heads(spark, folder)
+        .filter(F.size(F.array_except(wanted, "header")) == 0)
+        .select(F.col("file_symbol").alias("symbol"))
         .filter(~F.col("symbol").isin([s.upper() for s in skip]))
         .distinct()
     )
 
 
-def read_symbol_files(spark: SparkSession, folder: str, symbol: str) -> DataFrame:
-    """Raw rows of the file of one symbol, found by name without regard to case; the first by name if there are two.
+def read_symbol_files(spark: SparkSession, folder: str, *symbols: str) -> DataFrame:
+    """Raw rows of the files of some symbols (all, if none is named), found by name without regard to case.
 
-    ``{SYMBOL}.csv`` and ``{symbol}_daily.csv`` are its names. No such file is an error.
+    If two files name a symbol, the first by name counts.
+    ``{SYMBOL}.csv`` and ``{symbol}_daily.csv`` are a symbol's names. Other files are not opened. A symbol without a file is
+    an error; rows of other symbols in a file are left out.
     """
-    wanted = symbol.strip().upper()
-    named = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
-    found = named.filter(file_symbol(F.col("file")) == wanted).agg(F.min_by("path", "file")).first()[0]
-    if found is None:
-        raise ParameterError(f"no bar file for symbol {wanted} in {folder}")
-    return read_csv_rows(spark, found).filter(normalize_symbol("symbol") == wanted)
+    wanted = sorted({s.strip().upper() for s in symbols})
+    asked = F.col("file_symbol").isin(wanted) if wanted else F.lit(True)
+    named = csvfiles.heads(spark, folder, one_per_symbol=True).filter(asked).select("file_symbol")
+    found = {r[0] for r in named.collect()} if wanted else set()
+    if len(found) < len(wanted):
+        raise ParameterError(f"no bar file for symbol {', '.join(sorted(set(wanted) - found))} in {folder}")
+    rows = csvfiles.rows(spark, folder, BAR_TEXT_COLUMNS, one_per_symbol=True).filter(asked)
+    return rows.filter(normalize_symbol("symbol") == F.col("file_symbol"))
 
 
 def read_bars(spark: SparkSession, path: str, provider: str = "parquet", **options: str) -> DataFrame:
@@ -250,6 +223,17 @@ def normalize_raw_rows(raw: DataFrame) -> DataFrame:
     return bars.withColumn("issues", found).drop("_bad_adjusted")
 
 
+def bar_cells(bars: DataFrame) -> DataFrame:
+    """Bars as the text columns of a bar file."""
+    return bars.select(
+        "symbol",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
+        *[F.col(c).cast("string").alias(c) for c in NUMBERS],
+        fixed_point(F.col("adjusted_close")).alias("adjusted_close"),
+        F.col("volume").cast("string").alias("volume"),
+    )
+
+
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Canonical sink: each file sorted by (symbol, ts).
 
@@ -257,13 +241,15 @@ def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
     """
     ordered = bars.repartitionByRange("symbol", "ts").sortWithinPartitions("symbol", "ts")
     if fmt == "csv":
-        ordered = ordered.select(
-            "symbol",
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"),
-            *[F.col(c).cast("string").alias(c) for c in NUMBERS],
-            fixed_point(F.col("adjusted_close")).alias("adjusted_close"),
-            "volume",
-        )
-        ordered.write.mode(mode).option("header", "true").option("emptyValue", "").csv(path)
+        bar_cells(ordered).write.mode(mode).option("header", "true").option("emptyValue", "").csv(path)
     else:
         ordered.write.mode(mode).format(fmt).save(path)
+
+
+def write_symbol_files(bars: DataFrame, folder: str) -> None:
+    """A file ``{SYMBOL}.csv`` per symbol, sorted by time, all of them or none.
+
+    A symbol has at most one bar per session, so a file holds some ten thousand rows and is one task's work.
+    """
+    ordered = bars.repartition("symbol").sortWithinPartitions("symbol", "ts")
+    csvfiles.write_symbol_files(bar_cells(ordered), folder)
