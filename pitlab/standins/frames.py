@@ -289,41 +289,64 @@ class Standins:
         each = F.explode(F.array_compact(F.array(live, recycled, ended, twin, renamed)))
         return self.table("supplier").select(each.alias("v")).select("v.*")
 
+    @cached_property
+    def fund_trades(self) -> DataFrame:
+        return self.written("fund_trades", self.build_fund_trades)
+
+    def build_fund_trades(self) -> DataFrame:
+        """Order lines as trades in all suppliers' names, of a fund per nation of the customer; a line without tax has no price."""
+        cents = (F.col("l_extendedprice").cast(CENTS) * 100).cast("long")
+        owner = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+        return self.table("lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            F.col("c_nationkey").cast("long").alias("portfolio_id"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents, F.col("l_quantity").cast("long")).alias("order_id"),
+            ticker("l_suppkey").alias("position_key"),
+            F.col("l_shipdate").cast("date").alias("session"),
+            F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+            F.col("l_linenumber").cast("long").alias("quantity"),
+            F.when(F.col("l_tax") > 0, F.col("l_extendedprice").cast(CENTS)).cast(PRICE).alias("market_price"),
+        )
+
+    @cached_property
+    def fund_orders(self) -> DataFrame:
+        """The priced trades, and for each position that is ever sold a first lot that covers all its sales."""
+        priced = self.fund_trades.filter("market_price IS NOT NULL")
+        sold = F.col("side") == "SELL"
+        lots = priced.groupBy("portfolio_id", "position_key").agg(
+            F.sum(F.when(sold, F.col("quantity"))).alias("quantity"), F.min(F.when(sold, F.col("market_price"))).alias("market_price"), F.min("session").alias("session")
+        )
+        opened = lots.filter("quantity > 0").withColumn("order_id", F.lit("-open")).withColumn("side", F.lit("BUY"))
+        return priced.unionByName(opened)
+
     @cached_property
     def actions(self) -> DataFrame:
-        """Corporate actions from the parts and the days they shipped.
+        """Corporate actions from the parts and the days they shipped: one per (supplier, day, part type).
 
-        One per (name, day, part type); the ten traded names see them all.
+        The splits of a name go 2, 1.5, 0.333333 and so on, so its shares stay of one size.
         """
         kind = (
-            F.when(F.col("p_type") == "ECONOMY", "SPLIT")
+            F.when(F.col("p_type").isin("ECONOMY", "LARGE"), "SPLIT")
             .when(F.col("p_type") == "SMALL", "CASH_DIVIDEND")
-            .when(F.col("p_type") == "LARGE", "REVERSE_SPLIT")
             .when(F.col("p_type") == "MEDIUM", "RENAME")
             .when(F.col("p_type") == "PROMO", "SHARE_CONVERSION")
             .otherwise("CASH_ACQUISITION")
         )
-        month = F.trunc(F.col("l_shipdate").cast("date"), "YEAR")
-        w = Window.partitionBy("position_key", "effective_date").orderBy("action_type")
-        return (
-            self.table("lineitem")
-            .join(self.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-            .select(
-                F.concat(F.lit("security:"), ticker(F.col("l_suppkey") % 10)).alias("position_key"),
-                month.alias("effective_date"),
-                kind.alias("action_type"),
-            )
-            .distinct()
-            .select(
-                "position_key",
-                "effective_date",
-                F.row_number().over(w).cast("long").alias("seq"),
-                "action_type",
-                F.when(F.col("action_type") == "SPLIT", F.lit("2")).when(F.col("action_type") == "REVERSE_SPLIT", F.lit("0.5")).cast(PRICE).alias("factor"),
-                F.when(F.col("action_type") == "CASH_DIVIDEND", F.lit("1.25")).cast(PRICE).alias("amount"),
-                F.when(F.col("action_type") == "RENAME", F.concat("position_key", F.lit("-new"))).alias("ticker"),
-                F.lit(None).cast(PRICE).alias("terminal_price"),
-            )
+        own = Window.partitionBy("position_key", "effective_date").orderBy("kind")
+        splits = Window.partitionBy("position_key", "kind").orderBy("effective_date")
+        lines = self.table("lineitem").join(self.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        days = lines.select(ticker("l_suppkey").alias("position_key"), F.col("l_shipdate").cast("date").alias("effective_date"), kind.alias("kind")).distinct()
+        turn = days.withColumn("seq", F.row_number().over(own).cast("long")).withColumn("n", F.row_number().over(splits) % 3)
+        factor = F.when(F.col("n") == 1, "2").when(F.col("n") == 2, "1.5").otherwise("0.333333")
+        split = F.col("kind") == "SPLIT"
+        return turn.select(
+            "position_key",
+            "effective_date",
+            "seq",
+            F.when(split & (F.col("n") == 0), "REVERSE_SPLIT").otherwise(F.col("kind")).alias("action_type"),
+            F.when(split, factor).cast(PRICE).alias("factor"),
+            F.when(F.col("kind") == "CASH_DIVIDEND", F.lit("1.25")).cast(PRICE).alias("amount"),
+            F.when(F.col("kind") == "RENAME", F.concat("position_key", F.lit("-new"))).alias("ticker"),
+            F.lit(None).cast(PRICE).alias("terminal_price"),
         )
 
 

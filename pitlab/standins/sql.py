@@ -65,6 +65,25 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                                      FROM (SELECT DISTINCT change_date FROM snapshots) q) p ON p.change_date = x.change_date) s) g
   GROUP BY symbol, island""",
     ),
+    "fund_trades": (
+        (),
+        """
+  SELECT CAST(c_nationkey AS BIGINT) AS portfolio_id,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT), CAST(l_quantity AS BIGINT)) AS order_id,
+         printf('S%06d', l_suppkey) AS position_key, CAST(l_shipdate AS DATE) AS session, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
+         CAST(l_linenumber AS BIGINT) AS quantity, CASE WHEN l_tax > 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS market_price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    ),
+    "fund_fills": (
+        ("fund_trades",),
+        """
+  SELECT *, quantity * px AS v, CAST(quantity * px * CAST(0.0005 AS DECIMAL(4,4)) AS DECIMAL(28,10)) AS fee
+  FROM (SELECT *, CAST(market_price * CASE WHEN side = 'BUY' THEN CAST(1.001 AS DECIMAL(4,3)) ELSE CAST(0.999 AS DECIMAL(4,3)) END AS DECIMAL(18,5)) AS px
+        FROM (SELECT * FROM fund_trades WHERE market_price IS NOT NULL
+              UNION ALL
+              SELECT portfolio_id, '-open', position_key, MIN(session), 'BUY', CAST(SUM(quantity) FILTER (WHERE side = 'SELL') AS BIGINT), MIN(market_price) FILTER (WHERE side = 'SELL')
+              FROM fund_trades WHERE market_price IS NOT NULL GROUP BY portfolio_id, position_key HAVING SUM(quantity) FILTER (WHERE side = 'SELL') > 0) t) p""",
+    ),
     "securities": (
         (),
         """

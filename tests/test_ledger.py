@@ -145,6 +145,100 @@ def test_marks_hold_inside_a_series_and_stop_after_it(spark, make_bars):
     assert equity == [100, 100, 100, 104, 80, 80]
 
 
+def fills_of(spark, rows, params):
+    priced = l.price_fills(orders(spark, rows), params)
+    return priced.withColumns({c: F.col(c).cast("decimal(28,10)") for c in ("fill_price", "commission", "slippage")})
+
+
+def covered_tape(n, seed):
+    """Trades with a price whose sales never go beyond the holding."""
+    drawn, held, rows = random.Random(seed), {}, []
+    for i in range(n):
+        pf, key = (1 if drawn.random() < 0.6 else drawn.randrange(2, 6)), drawn.choice("AABCZ")
+        have = held.get((pf, key), 0)
+        sell = have and drawn.random() < 0.5
+        q = drawn.choice([have, drawn.randint(1, have)]) if sell else drawn.randrange(1, 9)
+        held[pf, key] = have + (-q if sell else q)
+        rows.append((pf, key, i // 9, "SELL" if sell else "BUY", q, drawn.choice(["10", "11.5", "37.25", "0.75"])))
+    return rows
+
+
+@pytest.mark.parametrize("parts", ["1", "6"])
+def test_average_cost_of_fills_equals_the_replay(spark, parts):
+    params = LedgerParams(initial_cash=Decimal(10**9), commission_rate=Decimal("0.001"), slippage_bps=Decimal(10))
+    rows = covered_tape(260, 8)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["order_id"]: r for r in l.fill_outcomes(fills_of(spark, rows, params)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = l.replay_ledger(orders(spark, rows), params).collect()
+    assert {r["status"] for r in want} == {"FILLED"} and len(got) == len(want)
+    for r in want:
+        mine = got[r["order_id"]]
+        assert (mine["position_quantity"], mine["outcome"]) == (r["position_quantity"], r["outcome"])
+        assert abs(mine["average_price"] - r["average_price"]) < Decimal("0.00000001")
+    stats = l.trade_statistics(l.fill_outcomes(fills_of(spark, rows, params))).drop("total_commission", "total_slippage")
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, l.trade_statistics(l.replay_ledger(orders(spark, rows), params)).drop("total_commission", "total_slippage").collect()))
+
+
+def test_equity_by_changes_equals_positions_on_every_session(spark, make_bars):
+    params = LedgerParams(initial_cash=Decimal(10**6))
+    drawn = random.Random(2)
+    series = {k: [(d, drawn.randint(5, 90), 1, 1) for d in range(a, z) if drawn.random() < 0.4] for k, a, z in (("A", 0, 40), ("B", 3, 12), ("C", 20, 30), ("Q", 0, 40))}
+    series["Q"] = [(d, 1, 1, 1) for d in range(40)]
+    bars = make_bars(series)
+    cal = trading_calendar(bars)
+    rows = covered_tape(200, 5)
+    fills = fills_of(spark, rows, params)
+    book = l.replay_ledger(orders(spark, rows), params)
+    marked = l.mark_positions(l.position_history(book), bars, cal)
+    want = {(r["portfolio_id"], r["session"]): (r["cash"], r["equity"], r["unvalued_positions"]) for r in l.nav(marked, l.cash_history(book), cal).collect()}
+    changes = l.position_changes(fills, bars, cal)
+    accounts = spark.createDataFrame([(k, params.initial_cash) for k in range(1, 6)], "portfolio_id long, cash decimal(28,10)")
+    got = {(r["portfolio_id"], r["session"]): (r["cash"], r["equity"], r["unvalued_positions"]) for r in l.nav_of_fills(fills, changes, accounts, cal).collect()}
+    assert got == want and any(v[2] for v in want.values())
+    days = marked.groupBy("symbol").agg(F.count(F.lit(1)).alias("d"), F.count_if("valued").alias("v"), F.count_if("held_price").alias("h"))
+    assert sorted(map(tuple, l.position_days(changes, cal).collect())) == sorted(map(tuple, days.collect()))
+
+
+def test_actions_compose_to_what_each_one_does(spark):
+    drawn = random.Random(6)
+    kinds = ["SPLIT", "CASH_DIVIDEND", "RENAME", "REVERSE_SPLIT", "SHARE_CONVERSION", "CASH_ACQUISITION", "NO_ACTION", "DELISTING"]
+    rows = []
+    for key in "ABCDE":
+        for day in range(25):
+            kind = drawn.choices(kinds, [6, 6, 3, 6, 1, 2, 1, 0.4])[0]
+            rows.append((key, day, kind, drawn.choice(["2", "0.5", "1.5", "0.333333"]), drawn.choice(["0.25", "1.1"]) if kind != "CASH_ACQUISITION" or drawn.random() < 0.3 else None, drawn.choice([None, "", f"{key}{day}"]), "3.5"))
+    held = [(k, 7 + i, 30, 60, 100) for i, k in enumerate("ABCDE")]
+    want = {}
+    for lieu in (False, True):
+        for k, q, a, m, c in held:
+            q, a, m, c, name = Decimal(q), Decimal(a), Decimal(m), Decimal(c), k
+            for key, day, kind, f, d, t, px in rows:
+                if key != k:
+                    continue
+                if kind in ("SPLIT", "REVERSE_SPLIT"):
+                    q, a, m = q * Decimal(f), a / Decimal(f), m / Decimal(f)
+                    if lieu:
+                        c, q = c + (q - int(q)) * m, Decimal(int(q))
+                elif kind == "CASH_DIVIDEND":
+                    c += q * Decimal(d)
+                elif kind == "RENAME":
+                    name = t or name
+                elif kind == "DELISTING" or (kind == "CASH_ACQUISITION" and d is not None):
+                    m = Decimal(px if kind == "DELISTING" else d)
+                    c, q = c + q * m, Decimal(0)
+                want[lieu, k, day] = (name, q, a, m, c)
+        found = l.apply_actions(positions(spark, held), actions(spark, rows), cash_in_lieu=lieu).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            name, *amounts = want[lieu, r["position_key"], (r["effective_date"] - DAY).days]
+            assert r["symbol"] == name
+            for column, amount in zip(("quantity", "average_price", "market_price", "cash"), amounts):
+                assert abs(r[column] - amount) <= Decimal("0.0000001") * max(1, abs(amount)), (r, column, amount)
+
+
 def test_known_curve(spark):
     nav = spark.createDataFrame([(1, DAY + timedelta(days=i), Decimal(e), Decimal(0)) for i, e in enumerate([110, 105, 120])], "portfolio_id long, session date, equity decimal(18,2), cash decimal(18,2)")
     curve = perf.equity_curve(nav, 100)
