@@ -32,6 +32,16 @@ def in_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     return placed.withColumn("_part", F.shiftright("_pos", 33)).drop("_place")
 
 
+def blocked_sum(blocks: DataFrame, keys: Sequence[str], value: Column, sum_as: str) -> DataFrame:
+    """Adds ``sum_as``: the sum of ``value`` over a group's rows up to each row, with no task holding a whole group."""
+    group = [*keys, "_part"]
+    up_to = Window.partitionBy(*group).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocks.groupBy(*group).agg(F.sum(value).alias("_total"))
+    ahead = totals.select(*group, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_in"))
+    return blocks.join(ahead, group).withColumn(sum_as, F.sum(value).over(up_to) + F.col("_in")).drop("_in")
+
+
 def _composed(maps: DataFrame, group: Sequence[str], order: Sequence[Column | str], kind: T.DataType) -> DataFrame:
     """``_scale`` and ``_shift`` of each row composed with those of all earlier rows of its group."""
     longest = maps.groupBy(*group).count().agg(F.max("count")).first()[0] or 0

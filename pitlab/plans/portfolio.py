@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_DOWN
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlab.functions.prices import commission, fill_price, shares
-from pitlab.operators.fold import ordered_fold
 from pitlab.operators.ranking import number_rows
+from pitlab.operators.scan import blocked_sum, in_blocks
 from pitlab.params import LedgerParams
 from pitlab.session import materialize
 
@@ -111,9 +111,8 @@ def _cost(params: LedgerParams) -> Column:
 def affordable_orders(deltas: DataFrame, accounts: DataFrame, params: LedgerParams) -> DataFrame:
     """Orders that projected cash can pay for: all sales, then buys by key.
 
-    Buys are cut to the shares that cash affords and dropped below the minimum trade. A
-    portfolio whose buys all fit needs no sequence: its cash can never run short. That is
-    one sum per portfolio; only the others are folded in key order.
+    Buys are cut to the shares that cash affords and dropped below the minimum trade. A portfolio whose buys all fit needs no
+    sequence: its cash can never run short. For the others ``_within_budget`` searches the buys that do not fit.
     """
     value = shares(F.col("quantity")) * F.col("fill_price")
     sell, buy = F.col("side") == "SELL", F.col("side") == "BUY"
@@ -130,29 +129,41 @@ def affordable_orders(deltas: DataFrame, accounts: DataFrame, params: LedgerPara
     )
     tight = F.col("_out") > F.col("budget")
     with_budget = deltas.join(budget, "portfolio_id")
-    free = with_budget.filter(sell | ~tight).filter(sell | (value >= F.lit(params.min_trade_value))).select(*deltas.columns)
-    squeezed = with_budget.filter(buy & tight).select(*deltas.columns, "budget")
-    rate, least = params.commission_rate, params.min_trade_value
-
-    def begin(row: tuple) -> dict:
-        return {"cash": row.budget}
-
-    def advance(state: dict, row: tuple) -> tuple:
-        cash, price = state["cash"], row.fill_price
-        can = int((cash / (price * (1 + rate))).to_integral_value(rounding=ROUND_DOWN)) if cash > 0 else 0
-        shares_now = min(row.quantity, can)
-        worth = shares_now * price
-        if shares_now <= 0 or worth < least:
-            shares_now = 0
-        else:
-            state["cash"] = cash - worth - worth * rate
-        return tuple(shares_now if f == "quantity" else getattr(row, f) for f in fields)
-
-    fields = deltas.columns
-    bought = ordered_fold(
-        squeezed, ["portfolio_id"], ["position_key"], begin, advance, deltas.schema, label="affordable"
-    ).filter("quantity > 0")
-    return free.unionByName(bought)
+    least = F.lit(params.min_trade_value)
+    free = with_budget.filter(sell | ~tight).filter(sell | (value >= least)).select(*deltas.columns)
+    # A buy that is too small as a whole is too small in part.
+    squeezed = with_budget.filter(buy & tight & (value >= least)).select(*deltas.columns, "budget")
+    return free.unionByName(_within_budget(squeezed, params).select(*deltas.columns))
+
+
+def _within_budget(buys: DataFrame, params: LedgerParams) -> DataFrame:
+    """Buys by key as far as ``budget`` goes.
+
+    Costs are summed up over all portfolios at once. All buys before the first that exceeds its portfolio's cash are made,
+    that one is cut to what is left, and the next round goes on behind it. A cut leaves less than one share's cost, which
+    is less than half of the cash, and buys that not even their least part fits are left out before. So the rounds are as
+    many as the cuts of one portfolio: a few, whatever the number of buys.
+    """
+    unit = F.col("fill_price") * F.lit(1 + params.commission_rate)
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(params.min_trade_value) / F.col("fill_price")).cast("long"))
+    buys = buys.filter("fill_price > 0").withColumns({"_unit": unit, "_cost": _cost(params), "_least": shares(needed) * unit, "cash": F.col("budget")})
+    left = in_blocks(buys, ["portfolio_id"], ["position_key"], "squeezed")
+    made = []
+    while True:
+        live = left.filter(F.col("_least") <= F.col("cash"))
+        summed = blocked_sum(live, ["portfolio_id"], F.col("_cost"), "_spent")
+        broken = summed.filter(F.col("_spent") > F.col("cash")).groupBy("portfolio_id").agg(F.min("_pos").alias("_cut"))
+        done = materialize(summed.join(broken, "portfolio_id", "left"), "budget-round")
+        made.append(done.filter(F.col("_cut").isNull() | (F.col("_pos") < F.col("_cut"))).drop("_cut", "_spent"))
+        over = done.filter(F.col("_pos") == F.col("_cut")).withColumn("_rest", F.col("cash") - (F.col("_spent") - F.col("_cost")))
+        over = over.withColumn("quantity", F.expr("_rest div _unit"))
+        bought = (F.col("quantity") > 0) & (shares(F.col("quantity")) * F.col("fill_price") >= F.lit(params.min_trade_value))
+        made.append(over.filter(bought).drop("_cut", "_spent", "_rest"))
+        if over.isEmpty():
+            return reduce(DataFrame.unionByName, made)
+        paid = F.when(bought, shares(F.col("quantity")) * F.col("_unit")).otherwise(0)
+        cash = over.select("portfolio_id", (F.col("_rest") - paid).cast(T.DecimalType(38, 12)).alias("cash"))
+        left = done.filter(F.col("_pos") > F.col("_cut")).drop("cash", "_cut", "_spent").join(cash, "portfolio_id")
 
 
 def sequence_orders(orders: DataFrame, session: Column) -> DataFrame:

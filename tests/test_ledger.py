@@ -282,6 +282,36 @@ def test_buys_stop_where_cash_does(spark):
     assert [(r["position_key"], r["client_order_id"]) for r in named] == [("s", "2020-05-01-0001"), ("a", "2020-05-01-0002"), ("b", "2020-05-01-0003"), ("c", "2020-05-01-0004")]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_affordable_buys_equal_a_plain_loop(spark, seed):
+    drawn = random.Random(seed)
+    cols = "portfolio_id long, position_key string, symbol string, side string, quantity long, price decimal(18,6), fill_price decimal(24,10), target_shares long, held long"
+    params = LedgerParams(commission_rate=Decimal("0.01"), min_trade_value=Decimal(25))
+    rows = []
+    for pf in range(1, 8):
+        for k in range(300 if pf == 1 else drawn.randint(1, 25)):
+            px = Decimal(drawn.choice(["0.5", "3", "7.25", "40", "41.5", "300"]))
+            rows.append((pf, f"k{k:03d}", f"k{k}", drawn.choice(["BUY"] * 5 + ["SELL"]), drawn.randint(1, 60), px, px, 0, 0))
+    cash = {pf: Decimal(drawn.choice([0, 90, 1500, 4000, 60_000, 10**7])) for pf in range(1, 8)} | {1: Decimal(50_000)}
+    want = {}
+    for pf in cash:
+        mine = sorted((r for r in rows if r[0] == pf), key=lambda r: (r[3] != "SELL", r[1]))
+        money = cash[pf]
+        for _, key, _, side, q, px, *_ in mine:
+            if side == "SELL":
+                money += q * px * (1 - params.commission_rate)
+            else:
+                q = min(q, int(money / (px * (1 + params.commission_rate))) if money > 0 else 0)
+                if q <= 0 or q * px < params.min_trade_value:
+                    continue
+                money -= q * px * (1 + params.commission_rate)
+            want[pf, key, side] = q
+    accounts = spark.createDataFrame(list(cash.items()), "portfolio_id long, cash decimal(18,6)")
+    made = p.affordable_orders(spark.createDataFrame(rows, cols), accounts, params)
+    assert {(r["portfolio_id"], r["position_key"], r["side"]): r["quantity"] for r in made.collect()} == want
+    assert made._jdf.queryExecution().executedPlan().toString().count("budget-round") <= 2 * 10
+
+
 def test_numbers_equal_a_full_sort(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.8 else "x", f"s{i:04d}", rng.choice([0.1, 0.1, rng.uniform(-3, 3)])) for i in range(500)]
