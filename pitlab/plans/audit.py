@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitlab.operators.rows import side_by_side
 from pitlab.plans.universe import appearances, future_leakage, membership_extents, universe_as_of, validate_memberships
 
 PRICE_GAP_DAYS = 365
@@ -118,11 +119,4 @@ def audit_universe(memberships: DataFrame, windows: DataFrame, dates: DataFrame,
         F.count(F.lit(1)).alias("symbols"),
         *[F.count_if(c).alias(f"{c}_symbols") for c in ("fixture", "late_price_start", "after_prices", "leaked", "suspicious")],
     )
-    one = F.lit(1)
-    return (
-        checks.withColumn("_k", one)
-        .join(sizes.withColumn("_k", one), "_k")
-        .join(counted.withColumn("_k", one), "_k")
-        .drop("_k")
-    )
-
+    return side_by_side(checks, sizes, counted)

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlab.functions.dates import day, overlap_days, overlaps_window
+from pitlab.functions.dates import day, overlap_days, overlaps_window, valid_at
 from pitlab.functions.text import format_interval
 from pitlab.operators.calendars import month_starts
 from pitlab.operators.identity import LISTING, VENDOR, resolve_security, ticker_history, vendor_symbols
@@ -26,6 +26,19 @@ REASONS = {
     "H": "H_identity_validation_failed",
     "I": "I_insufficient_evidence",
 }
+#: What a reason means, for readers of the report.
+NOTES = {
+    "": "prices cover membership",
+    REASONS["A"]: "an ended listing without prices",
+    REASONS["B"]: "renamed, and no prices under the new name",
+    REASONS["C"]: "the name meant another security",
+    REASONS["D"]: "not in the catalog",
+    REASONS["E"]: "the vendor may write the name in another way",
+    REASONS["F"]: "an ended listing with prices",
+    REASONS["G"]: "prices are under another name",
+    REASONS["H"]: "the series is another security's",
+    REASONS["I"]: "too few prices to say more",
+}
 
 
 def pit_coverage(
@@ -148,12 +161,12 @@ def pit_coverage(
         F.col("_verdict.confidence").alias("confidence"),
         F.col("_met").isNotNull().alias("rebalance_encountered"),
         F.col("own").isNotNull().alias("local_listing"),
-        F.col("_verdict.note").alias("notes"),
+        F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])[F.col("_verdict.reason")].alias("notes"),
     )
 
 
 def _verdict() -> Column:
-    """(quality, market, reason, confidence, note): the first rule that applies.
+    """(quality, market, reason, confidence): the first rule that applies.
 
     A price-quality rule could also mark a series unusable; none exists, so only failed
     identity does.
@@ -167,17 +180,9 @@ def _verdict() -> Column:
     dotted = c("symbol").contains(".")
     local = c("own").isNotNull()
 
-    def out(quality: Column | str, market: Column | str, reason: Column | str, confidence: Column | str, note: Column | str) -> Column:
-        def as_col(v: Column | str) -> Column:
-            return v if isinstance(v, Column) else F.lit(v)
-
-        return F.struct(
-            as_col(quality).alias("quality"),
-            as_col(market).alias("market"),
-            as_col(reason).alias("reason"),
-            as_col(confidence).alias("confidence"),
-            as_col(note).alias("note"),
-        )
+    def out(quality: Column | str, market: Column | str, reason: Column | str, confidence: Column | str) -> Column:
+        parts = {"quality": quality, "market": market, "reason": reason, "confidence": confidence}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in parts.items()])
 
     def pick(cond: Column, yes: str, no: str) -> Column:
         return F.when(cond, yes).otherwise(no)
@@ -185,58 +190,41 @@ def _verdict() -> Column:
     sure_or = lambda no: pick(resolved, "high", no)
     covered_quality = pick(whole, "valid", "partial")
     na = "not_applicable"
+    missing = lambda reason, confidence: out(na, "missing", reason, confidence)
     return (
-        F.when(c("failed"), out("unusable", "unusable", REASONS["H"], sure_or("medium"), "identity_mismatch"))
-        .when(
-            c("_rec").isNotNull() & none,
-            out(pick(c("_own_touches"), "unusable", na), "missing", REASONS["C"], "high", "Listing ticker names several securities."),
-        )
-        .when(
-            other & c("series").isNotNull() & some,
-            out(
-                covered_quality,
-                pick(whole, "available_other_ticker", "partial"),
-                REASONS["G"],
-                "high",
-                F.concat(F.lit("Prices are stored as "), c("vendor_symbol")),
-            ),
-        )
-        .when(
-            other & c("series").isNull(),
-            out(
-                na, "missing", pick(dotted, REASONS["E"], REASONS["B"]), sure_or("medium"),
-                F.concat(F.lit("No prices for vendor symbol "), c("vendor_symbol")),
-            ),
-        )
-        .when(
-            c("_ren").isNotNull() & none,
-            out(na, "missing", REASONS["B"], sure_or("low"), "Listing ticker changed and its successor has no prices."),
-        )
-        .when(
-            delisted & some,
-            out(covered_quality, pick(whole, "available", "partial"), REASONS["F"], "high", "Listing ended; prices overlap membership."),
-        )
-        .when(
-            delisted & local & (c("own.first_date") >= c("expected_end")),
-            out(na, "missing", REASONS["C"], "high", "Prices start after the listing ended."),
-        )
-        .when(
-            delisted,
-            out(na, "missing", pick(resolved, REASONS["A"], REASONS["D"]), sure_or("low"), "Listing ended and has no prices."),
-        )
-        .when(
-            none & ~local & ~resolved & dotted,
-            out(na, "missing", REASONS["E"], "medium", "Share-class punctuation may differ at the vendor."),
-        )
-        .when(none & ~local & ~resolved, out(na, "missing", REASONS["D"], "low", "Unknown to the catalog and no prices."))
-        .when(none, out(na, "missing", pick(resolved, REASONS["I"], REASONS["D"]), "low", "No prices overlap membership."))
-        .when(
-            c("coverage_ratio") < 1,
-            out("partial", "partial", pick(resolved, REASONS["I"], REASONS["D"]), pick(resolved, "medium", "low"), "Prices overlap part of membership."),
-        )
-        .otherwise(
-            out("valid", "available", pick(resolved, "", REASONS["D"]), sure_or("low"), "Prices cover membership.")
-        )
+        F.when(c("failed"), out("unusable", "unusable", REASONS["H"], sure_or("medium")))
+        .when(c("_rec").isNotNull() & none, out(pick(c("_own_touches"), "unusable", na), "missing", REASONS["C"], "high"))
+        .when(other & c("series").isNotNull() & some, out(covered_quality, pick(whole, "available_other_ticker", "partial"), REASONS["G"], "high"))
+        .when(other & c("series").isNull(), missing(pick(dotted, REASONS["E"], REASONS["B"]), sure_or("medium")))
+        .when(c("_ren").isNotNull() & none, missing(REASONS["B"], sure_or("low")))
+        .when(delisted & some, out(covered_quality, pick(whole, "available", "partial"), REASONS["F"], "high"))
+        .when(delisted & local & (c("own.first_date") >= c("expected_end")), missing(REASONS["C"], "high"))
+        .when(delisted, missing(pick(resolved, REASONS["A"], REASONS["D"]), sure_or("low")))
+        .when(none & ~local & ~resolved, missing(pick(dotted, REASONS["E"], REASONS["D"]), pick(dotted, "medium", "low")))
+        .when(none, missing(pick(resolved, REASONS["I"], REASONS["D"]), "low"))
+        .when(c("coverage_ratio") < 1, out("partial", "partial", pick(resolved, REASONS["I"], REASONS["D"]), pick(resolved, "medium", "low")))
+        .otherwise(out("valid", "available", pick(resolved, "", REASONS["D"]), sure_or("low")))
+    )
+
+
+def prove_samples(samples: DataFrame, memberships: DataFrame, tickers: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each (ticker, as_of) with its index interval, its security and whether prices reach that day.
+
+    ``proof`` is PASS if all three are there, else the first that is missing: no_membership, no_identity or no_prices. A day
+    inside two intervals has the one that began first.
+    """
+    asked = samples.select("ticker", "as_of").distinct()
+    covers = (F.col("symbol") == F.col("ticker")) & valid_at(F.col("start_date"), F.col("end_date"), F.col("as_of"))
+    found = asked.join(memberships.select("symbol", "start_date", "end_date"), covers).groupBy("ticker", "as_of").agg(F.min_by(F.struct("start_date", "end_date"), "start_date").alias("_m"))
+    rows = resolve_security(asked.join(found, ["ticker", "as_of"], "left"), tickers, "ticker", "as_of")
+    priced = windows.select(F.col("symbol").alias("ticker"), "first_date", "last_date")
+    rows = rows.join(priced, "ticker", "left")
+    has_prices = F.coalesce((F.col("first_date") <= F.col("as_of")) & (F.col("as_of") <= F.col("last_date")), F.lit(False))
+    proof = (
+        F.when(F.col("_m").isNull(), "no_membership").when(F.col("seed_key").isNull(), "no_identity").when(~has_prices, "no_prices").otherwise("PASS")
+    )
+    return rows.select(
+        "ticker", "as_of", F.col("_m.start_date").alias("start_date"), F.col("_m.end_date").alias("end_date"), "status", "seed_key", has_prices.alias("has_prices"), proof.alias("proof")
     )
 
 

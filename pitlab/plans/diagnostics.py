@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlab.operators.rows import side_by_side
 from pitlab.params import MomentumParams
 from pitlab.plans.momentum import INSUFFICIENT, filter_counts
 from pitlab.plans.universe import universe_slice
@@ -55,8 +56,7 @@ def coverage_snapshot(
         F.max_by("momentum_eligible", "as_of").alias("momentum_eligible"),
         F.max_by("selected", "as_of").alias("selected"),
     )
-    one = F.lit(1)
-    return members.withColumn("_k", one).join(run.withColumn("_k", one), "_k").drop("_k")
+    return side_by_side(members, run)
 
 
 def missing_summary(missing: DataFrame, preview: int = 20) -> DataFrame:
@@ -72,13 +72,7 @@ def missing_summary(missing: DataFrame, preview: int = 20) -> DataFrame:
     first = names.orderBy("symbol").limit(preview).agg(
         F.array_join(F.array_sort(F.collect_list("symbol")), ", ").alias("sample")
     )
-    one = F.lit(1)
-    return (
-        total.withColumn("_k", one)
-        .join(per_date.withColumn("_k", one), "_k")
-        .join(first.withColumn("_k", one), "_k")
-        .drop("_k")
-    )
+    return side_by_side(total, per_date, first)
 
 
 def warnings(
@@ -122,16 +116,15 @@ def quality_verdict(
         return df.select("symbol").distinct()
 
     def count(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
+        return df.agg(F.count(F.lit(1)).alias(name))
 
     stuck, bad = distinct(unvalued), distinct(unusable)
-    row = (
-        count(stuck, "stuck_positions")
-        .join(count(distinct(fills).join(bad, "symbol", "left_semi"), "unusable_fills"), "_k")
-        .join(count(stuck.join(distinct(held_prices), "symbol", "left_semi"), "stale_marks"), "_k")
-        .join(count(distinct(missing), "missing_market_data"), "_k")
-        .join(count(bad, "unusable_symbols"), "_k")
-        .drop("_k")
+    row = side_by_side(
+        count(stuck, "stuck_positions"),
+        count(distinct(fills).join(bad, "symbol", "left_semi"), "unusable_fills"),
+        count(stuck.join(distinct(held_prices), "symbol", "left_semi"), "stale_marks"),
+        count(distinct(missing), "missing_market_data"),
+        count(bad, "unusable_symbols"),
     )
     flaws = F.col("stuck_positions") + F.col("unusable_fills") + F.col("stale_marks") + F.col("missing_market_data") + F.col("unusable_symbols")
     return row.withColumn("status", F.when(flaws > 0, "DATA_QUALITY_INCOMPLETE").otherwise("COMPLETE"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlab.functions.dates import day, overlaps_window
+from pitlab.operators.dedupe import upsert_new
 from pitlab.operators.intervals import expand_to_dates, latest_end, overlap_counts
 
 
@@ -167,6 +168,22 @@ def persistable(memberships: DataFrame) -> tuple[DataFrame, bool]:
     return memberships.dropDuplicates(["symbol", "start_date", "end_date"]), not blocking
 
 
+def upsert_memberships(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Intervals of ``incoming`` that are not stored; an open end equals an open end."""
+    return upsert_new(stored, incoming, ["symbol", "start_date"], ["end_date"])
+
+
+def persist_memberships(memberships: DataFrame, path: str, stored: DataFrame | None = None) -> bool:
+    """Appends the intervals that are not ``stored`` to the Parquet table at ``path``, if all of them may be stored.
+
+    Returns whether it wrote. An overlap or an impossible range blocks the whole write; copies are stored once.
+    """
+    rows, allowed = persistable(memberships)
+    if allowed:
+        (rows if stored is None else upsert_memberships(stored, rows)).write.mode("append").parquet(path)
+    return allowed
+
+
 def membership_extents(memberships: DataFrame) -> DataFrame:
     return memberships.groupBy("symbol").agg(
         F.min("start_date").alias("first_start"), latest_end("end_date").alias("latest_end")

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitlab.operators.rows import side_by_side
 from pitlab.functions.checks import issues, strict_bar_rules
 from pitlab.functions.dates import day, effective_end, midpoint, overlaps_window, valid_at
 from pitlab.functions.text import REMOVAL_SUFFIX, is_alias_identity, provisional_seed_key
@@ -383,9 +384,8 @@ def occupancy_gates(
 def series_gates(adjusted: DataFrame, raw: DataFrame) -> DataFrame:
     """A1 both series exist and adjusted bars are clean; A2 adjustment shows; Q1 strict bar rules hold."""
     bad = F.size(issues(strict_bar_rules())) > 0
-    clean = adjusted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad")).withColumn("_k", F.lit(1))
-    plain = raw.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn("_k", F.lit(1))
-    both = clean.join(plain, "_k")
+    clean = adjusted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+    both = side_by_side(clean, raw.agg(F.count(F.lit(1)).alias("raw_rows")))
     a1 = F.when((F.col("rows") == 0) | (F.col("raw_rows") == 0), FAIL).when(F.col("bad") > 0, FAIL).otherwise(PASS)
     q1 = F.when(F.col("bad") > 0, FAIL).otherwise(PASS)
     differ = adjustment_differs(adjusted, raw).agg(

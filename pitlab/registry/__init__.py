@@ -20,10 +20,10 @@ class Query:
 
 
 def all_queries() -> dict[str, Query]:
-    from pitlab.registry import audits, bars, execution, identities, signals, universes, vendors
+    from pitlab.registry import audits, bars, execution, files, identities, signals, universes, vendors
 
     merged: dict[str, Query] = {}
-    for module in (bars, universes, signals, identities, execution, audits, vendors):
+    for module in (bars, universes, signals, identities, execution, audits, vendors, files):
         clash = merged.keys() & module.QUERIES.keys()
         if clash:
             raise ValueError(f"query registered twice: {sorted(clash)}")

@@ -158,6 +158,11 @@ _COVERAGE = {
          WHEN coverage_days < expected_days THEN 'I_insufficient_evidence' ELSE '' END AS reason,
     CASE WHEN failed OR (recycled AND coverage_days <= 0 AND own_touches) THEN 'unusable' WHEN coverage_days <= 0 THEN 'not_applicable'
          WHEN coverage_days >= expected_days THEN 'valid' ELSE 'partial' END AS quality,
+    CASE WHEN failed THEN 'unusable' WHEN coverage_days <= 0 THEN 'missing' WHEN coverage_days < expected_days THEN 'partial' WHEN vendor_symbol <> symbol THEN 'available_other_ticker' ELSE 'available' END AS market,
+    CASE WHEN failed OR recycled AND coverage_days <= 0 OR vendor_symbol <> symbol AND p0 IS NOT NULL AND coverage_days > 0 THEN 'high'
+         WHEN vendor_symbol <> symbol AND p0 IS NULL THEN CASE WHEN resolved THEN 'high' ELSE 'medium' END WHEN renamed AND coverage_days <= 0 THEN CASE WHEN resolved THEN 'high' ELSE 'low' END
+         WHEN listing_status = 'DELISTED' THEN CASE WHEN resolved OR coverage_days > 0 OR own0 >= e1 THEN 'high' ELSE 'low' END WHEN coverage_days <= 0 THEN 'low'
+         WHEN coverage_days < expected_days THEN CASE WHEN resolved THEN 'medium' ELSE 'low' END WHEN resolved THEN 'high' ELSE 'low' END AS confidence,
     symbol IN (SELECT m.symbol FROM memberships m JOIN generate_series(DATE '1997-01-01', DATE '2001-06-30', INTERVAL '1' MONTH) g(d)
                ON m.start_date <= CAST(g.d AS DATE) AND (m.end_date IS NULL OR CAST(g.d AS DATE) < m.end_date)) AS met
   FROM measured""",
@@ -309,12 +314,13 @@ QUERIES: dict[str, Query] = {
         lambda s: _coverage(s).select(
             "seed_key", "historical_ticker", "pit_start", "pit_end", "pit_intervals", "identity_status", "vendor_symbol", "price_start", "price_end",
             "coverage_days", "expected_days", "coverage_ratio", "quality_status", "reason", "rebalance_encountered", "local_listing",
+            "market_data_status", "confidence",
         ),
         T(
             "memberships bars tickers securities",
             """SELECT seed_key, symbol AS historical_ticker, pit_start, pit_end, pit_intervals, CASE WHEN resolved THEN 'RESOLVED' ELSE 'UNRESOLVED' END AS identity_status,
                       vendor_symbol, p0 AS price_start, p1 AS price_end, coverage_days, expected_days, ratio AS coverage_ratio, quality AS quality_status, reason,
-                      met AS rebalance_encountered, own0 IS NOT NULL AS local_listing FROM coverage""",
+                      met AS rebalance_encountered, own0 IS NOT NULL AS local_listing, market AS market_data_status, confidence FROM coverage""",
             _COVERAGE,
         ),
         "J19 J20 A15 A16 A17 S19",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pitlab.functions.dates import valid_at
 from pitlab.operators.dedupe import latest_per_key
+from pitlab.sources.sinks import write_by_date
 
 # Order states in which an order may still trade, in the store and at the broker.
 OPEN_STATUSES = ("CREATED", "VALIDATED", "SUBMITTED", "ACKNOWLEDGED", "PARTIALLY_FILLED")
@@ -39,8 +40,9 @@ def latest_signals(signals: DataFrame) -> DataFrame:
     return signals.filter(F.col("as_of") == signals.agg(F.max("as_of")).scalar()).orderBy("rank")
 
 
-def write_signals(signals: DataFrame, path: str, mode: str = "overwrite") -> None:
-    signals.write.mode(mode).partitionBy("as_of").parquet(path)
+def write_signals(signals: DataFrame, path: str) -> None:
+    """A folder per date; a date that is written again replaces its signals."""
+    write_by_date(signals, path, "as_of")
 
 
 def order_state(log: DataFrame) -> DataFrame:
