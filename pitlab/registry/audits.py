@@ -14,6 +14,7 @@ from pitlab.plans import momentum
 from pitlab.registry import Query
 from pitlab.registry.signals import PARAMS, signal_ctes
 from pitlab.registry.universes import claims
+from pitlab.session import materialize
 from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
@@ -30,8 +31,8 @@ def _unusable(s: Standins) -> DataFrame:
 
 
 def _parts(s: Standins) -> tuple[DataFrame, DataFrame, DataFrame]:
-    universe = universe_as_of(s.memberships, s.rebalances)
-    judged = momentum.evaluate(_priced(s), s.calendar, s.rebalances, PARAMS, universe, _unusable(s))
+    universe = materialize(universe_as_of(s.memberships, s.rebalances), "universe")
+    judged = materialize(momentum.evaluate(_priced(s), s.calendar, s.rebalances, PARAMS, universe, _unusable(s)), "judged")
     table = d.rebalance_diagnostics(s.rebalances, universe, _priced(s), judged, PARAMS, _unusable(s))
     return universe, judged, table
 
@@ -133,8 +134,25 @@ _AUDIT = {
 }
 
 
+def _audited(s: Standins) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(memberships, price windows, flags), the first two written once: every flag reads them."""
+    members = materialize(_members(s).select("symbol", "start_date", "end_date", "source"), "members")
+    windows = materialize(_windows(s), "windows")
+    return members, windows, a.symbol_flags(members, windows, s.rebalances)
+
+
 def _flags(s: Standins) -> DataFrame:
-    return a.symbol_flags(_members(s).select("symbol", "start_date", "end_date", "source"), _windows(s), s.rebalances)
+    return _audited(s)[2]
+
+
+def _classes(s: Standins) -> DataFrame:
+    members, windows, flags = _audited(s)
+    return a.classify_symbols(flags, members, windows, s.rebalances).drop("note", "label")
+
+
+def _audit(s: Standins) -> DataFrame:
+    members, windows, flags = _audited(s)
+    return a.audit_universe(members, windows, s.rebalances, materialize(flags, "flags"))
 
 
 QUERIES: dict[str, Query] = {
@@ -211,7 +229,7 @@ QUERIES: dict[str, Query] = {
         "Q01 Q02 Q03 Q04 U04",
     ),
     "symbol_classes": Query(
-        lambda s: a.classify_symbols(_flags(s), _members(s), _windows(s), s.rebalances).drop("note", "label"),
+        _classes,
         T(
             "memberships bars rebalances",
             """SELECT g.symbol, v.first_appearance, v.last_appearance, COALESCE(v.appearances, 0) AS appearances, g.source, g.f AS price_first, g.l AS price_last,
@@ -222,7 +240,7 @@ QUERIES: dict[str, Query] = {
         "Q05 W11",
     ),
     "universe_audit": Query(
-        lambda s: a.audit_universe(_members(s), _windows(s), s.rebalances, _flags(s)),
+        _audit,
         T(
             "memberships bars rebalances",
             """SELECT (SELECT CAST(SUM(copies) AS BIGINT) FROM checked) AS intervals, (SELECT CAST(SUM(copies - 1) AS BIGINT) FROM checked) AS duplicates,

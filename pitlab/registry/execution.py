@@ -270,7 +270,7 @@ _NAV = {
 
 
 def _returns(s: Standins) -> DataFrame:
-    rows = p.period_returns(_targets(s), s.rebalances, s.bars, cost_bps=15.0)
+    rows = p.period_returns(materialize(_targets(s), "targets"), s.rebalances, s.bars, cost_bps=15.0)
     return rows.select("as_of", "buy_at", "sell_at", *[r(c, 8) for c in ("gross", "turnover", "net", "growth")])
 
 
@@ -490,7 +490,7 @@ QUERIES: dict[str, Query] = {
         "S17",
     ),
     "latest_signals": Query(
-        lambda s: tables.latest_signals(signals(s)),
+        lambda s: tables.latest_signals(materialize(signals(s), "signals")),
         T("bars universe", "SELECT as_of, symbol, momentum, rank FROM signals WHERE as_of = (SELECT MAX(as_of) FROM signals)", signal_ctes(PARAMS)),
         "S15",
     ),

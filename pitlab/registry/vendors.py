@@ -12,6 +12,7 @@ from pitlab.plans import vendor_checks as v
 from pitlab.plans.universe import cross_check, universe_as_of
 from pitlab.registry import Query
 from pitlab.registry.identities import resolve_cte
+from pitlab.session import materialize
 from pitlab.standins.frames import Standins, misfiled
 from pitlab.standins.sql import with_tables as T
 
@@ -110,7 +111,11 @@ def _cover(s: Standins) -> DataFrame:
 
 
 def _asked(s: Standins) -> DataFrame:
-    return universe_as_of(s.memberships, s.rebalances).filter(
+    return _in_window(universe_as_of(s.memberships, s.rebalances))
+
+
+def _in_window(universe: DataFrame) -> DataFrame:
+    return universe.filter(
         (F.col("as_of") >= F.lit(WINDOW.start)) & (F.col("as_of") <= F.lit(WINDOW.end))
     ).select(F.col("symbol").alias("ticker"), "as_of")
 
@@ -152,20 +157,20 @@ _SAMPLES = {
 }
 
 
-def _assets(s: Standins) -> DataFrame:
+def _assets(verdicts: DataFrame) -> DataFrame:
     """Asset ids that any lookup of a listing ticker gave."""
-    return _verdicts(s).groupBy("ticker").agg(
+    return verdicts.groupBy("ticker").agg(
         F.array_compact(F.array_distinct(F.array(F.max("asset_id"), F.max("current_asset_id"), F.max("delisted_asset_id")))).alias("asset_ids")
     )
 
 
-def _renames(s: Standins) -> DataFrame:
-    return v.compare_renames(_successors(s).filter("predecessor <> successor"), _assets(s))
+def _renames(s: Standins, verdicts: DataFrame | None = None) -> DataFrame:
+    return v.compare_renames(_successors(s).filter("predecessor <> successor"), _assets(_verdicts(s) if verdicts is None else verdicts))
 
 
-def _recycled(s: Standins) -> DataFrame:
+def _recycled(s: Standins, verdicts: DataFrame | None = None) -> DataFrame:
     """Old and new security of one ticker."""
-    rows = _verdicts(s).select(F.concat_ws("@", "ticker", "seed_key").alias("row_id"), "ticker", "seed_key", "asset_id", "valid_to")
+    rows = (_verdicts(s) if verdicts is None else verdicts).select(F.concat_ws("@", "ticker", "seed_key").alias("row_id"), "ticker", "seed_key", "asset_id", "valid_to")
     old = rows.filter("valid_to is not null").select("ticker", F.col("row_id").alias("first"), F.col("seed_key").alias("_a"))
     new = rows.filter("valid_to is null").select("ticker", F.col("row_id").alias("second"), F.col("seed_key").alias("_b"))
     pairs = old.join(new, "ticker").filter("_a <> _b").select("first", "second")
@@ -189,19 +194,43 @@ _RENAMES = {
 
 
 def _gates(s: Standins) -> DataFrame:
-    verdicts = _verdicts(s)
+    """All gates, each from one evaluation of the verdicts, the mappings and the series."""
+    verdicts, mapped = materialize(_verdicts(s), "verdicts"), materialize(mappings(s), "mappings")
+    universe = materialize(universe_as_of(s.memberships, s.rebalances), "universe")
     other = universe_as_of(s.memberships.withColumn("end_date", F.date_add("end_date", 40)), s.rebalances)
     parts = [
         v.sample_gates(verdicts),
-        v.pair_gate("F3", _renames(s)),
-        v.pair_gate("F4", _recycled(s)),
-        v.occupancy_gates(mappings(s), _staged(s), _asked(s), START, END, WINDOW),
+        v.pair_gate("F3", _renames(s, verdicts)),
+        v.pair_gate("F4", _recycled(s, verdicts)),
+        v.occupancy_gates(mapped, materialize(_staged(s), "staged"), _in_window(universe), START, END, WINDOW),
         v.series_gates(s.bars, s.bars),
-        v.membership_gate(cross_check(universe_as_of(s.memberships, s.rebalances), other)),
+        v.membership_gate(cross_check(universe, other)),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _gates_that_fail(s: Standins) -> DataFrame:
+    """Each gate on inputs that it must not let pass."""
+    verdicts, mapped = materialize(_verdicts(s), "verdicts"), materialize(mappings(s), "mappings")
+    live = (F.col("identity_source") == "current_ticker") & F.col("ticker").endswith("8")
+    none = universe_as_of(s.memberships.filter("false"), s.rebalances)
+    flat = s.bars.withColumn("adjusted_close", F.col("close"))
+    bad = flat.withColumn("low", F.when(F.col("symbol").endswith("4"), F.lit(0).cast("decimal(18,6)")).otherwise(F.col("low")))
+    cases = {
+        "foreign": v.occupancy_gates(mapped.withColumn("contaminated", live), _staged(s), _asked(s), START, END, WINDOW).filter("gate = 'U1'"),
+        "untried": v.occupancy_gates(mapped, _staged(s), _asked(s), START, END, WINDOW, expected_tickers=1_000_000_000).filter("gate = 'U1'"),
+        "unadjusted": v.series_gates(flat, flat),
+        "bad bars": v.series_gates(bad, flat),
+        "no raw": v.series_gates(flat, flat.filter("false")),
+        "no series": v.series_gates(flat.filter("false"), flat),
+        "no second source": v.membership_gate(cross_check(none, none)),
+        "no samples": v.sample_gates(verdicts.filter("false")),
+        "unproven": v.sample_gates(verdicts.filter("identity_status <> 'FAIL' AND coverage_status = 'NOT_TESTABLE'")),
+        "no pairs": v.pair_gate("F4", _recycled(s, verdicts).filter("false")),
+    }
+    return reduce(lambda a, b: a.unionByName(b), (gates.select(F.lit(defect).alias("defect"), "*") for defect, gates in cases.items()))
+
+
 _GATES = {
     **_MAP,
     **{k: t for k, t in _RENAMES.items()},
@@ -306,15 +335,35 @@ QUERIES: dict[str, Query] = {
                UNION ALL SELECT 'F2', CASE WHEN BOOL_OR(coverage_status = 'FAIL') THEN 'FAIL' WHEN NOT BOOL_OR(coverage_status = 'PASS') THEN 'NOT_TESTABLE' ELSE 'PASS' END, COUNT(*) FILTER (WHERE coverage_status = 'FAIL') FROM scored
                UNION ALL SELECT 'F3', CASE WHEN COUNT(*) = 0 THEN 'NOT_TESTABLE' WHEN BOOL_OR(status = 'FAIL') THEN 'FAIL' WHEN BOOL_AND(status = 'PASS') THEN 'PASS' ELSE 'PARTIAL' END, COUNT(*) FILTER (WHERE status = 'FAIL') FROM renames
                UNION ALL SELECT 'F4', CASE WHEN BOOL_AND(status = 'NOT_TESTABLE') THEN 'NOT_TESTABLE' WHEN BOOL_OR(status = 'FAIL') THEN 'FAIL' WHEN BOOL_AND(status = 'PASS') THEN 'PASS' ELSE 'PARTIAL' END, COUNT(*) FILTER (WHERE status = 'FAIL') FROM recycled
-               UNION ALL SELECT 'U1', 'PASS', 0
+               UNION ALL SELECT 'U1', CASE WHEN COUNT(*) = 0 THEN 'NOT_TESTABLE' WHEN COUNT(*) FILTER (WHERE identity_source = 'current_ticker' AND NOT may) > 0 THEN 'FAIL' ELSE 'PASS' END, COUNT(*) FILTER (WHERE identity_source = 'current_ticker' AND NOT may) FROM mapped
                UNION ALL SELECT 'U2', CASE WHEN COUNT(*) FILTER (WHERE has_series AND (gap OR NOT covers)) > 0 THEN 'FAIL' ELSE 'PASS' END, COUNT(*) FILTER (WHERE has_series AND (gap OR NOT covers)) FROM cover
                UNION ALL SELECT 'J1', CASE WHEN COUNT(*) FILTER (WHERE n = 0) > 0 THEN 'FAIL' ELSE 'PASS' END, COUNT(*) FILTER (WHERE n = 0) FROM asked
                UNION ALL SELECT 'A1', CASE WHEN COUNT(*) FILTER (WHERE adjusted_close IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END, COUNT(*) FILTER (WHERE adjusted_close IS NULL) FROM bars
-               UNION ALL SELECT 'A2', 'PASS', COUNT(DISTINCT symbol) FROM bars WHERE adjusted_close <> close
+               UNION ALL SELECT 'A2', CASE WHEN COUNT(*) = 0 THEN 'NOT_TESTABLE' WHEN COUNT(*) FILTER (WHERE d) > 0 THEN 'PASS' ELSE 'PARTIAL' END, COUNT(*) FILTER (WHERE d) FROM (SELECT symbol, BOOL_OR(COALESCE(adjusted_close, close) <> close) AS d FROM bars GROUP BY symbol) z
                UNION ALL SELECT 'Q1', CASE WHEN COUNT(*) FILTER (WHERE adjusted_close IS NULL) > 0 THEN 'FAIL' ELSE 'PASS' END, COUNT(*) FILTER (WHERE adjusted_close IS NULL) FROM bars
-               UNION ALL SELECT 'M1', 'PASS', COUNT(*) FROM universe a FULL OUTER JOIN other b ON a.as_of = b.as_of AND a.symbol = b.symbol WHERE a.symbol IS NULL OR b.symbol IS NULL""",
+               UNION ALL SELECT 'M1', CASE WHEN COUNT(*) = 0 THEN 'NOT_TESTABLE' ELSE 'PASS' END, COUNT(*) FILTER (WHERE a.symbol IS NULL OR b.symbol IS NULL) FROM universe a FULL OUTER JOIN other b ON a.as_of = b.as_of AND a.symbol = b.symbol""",
             _GATES,
         ),
         "A23",
     ),
+    "failing_gates": Query(
+        _gates_that_fail,
+        T(
+            "memberships tickers securities vendor bars",
+            """SELECT 'foreign' AS defect, 'U1' AS gate, CASE WHEN COUNT(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, COUNT(*) AS n FROM mapped WHERE identity_source = 'current_ticker' AND ticker LIKE '%8'
+               UNION ALL SELECT 'untried', 'U1', 'FAIL', COUNT(*) FILTER (WHERE identity_source = 'current_ticker' AND NOT may) FROM mapped
+               UNION ALL SELECT 'unadjusted', g.gate, CASE g.gate WHEN 'A2' THEN 'PARTIAL' ELSE 'PASS' END, 0 FROM (VALUES ('A1'), ('A2'), ('Q1')) g(gate)
+               UNION ALL SELECT 'bad bars', g.gate, CASE WHEN g.gate = 'A2' THEN 'PARTIAL' WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END, CASE g.gate WHEN 'A2' THEN 0 ELSE n END
+               FROM (VALUES ('A1'), ('A2'), ('Q1')) g(gate), (SELECT COUNT(*) AS n FROM bars WHERE symbol LIKE '%4') b
+               UNION ALL SELECT 'no raw', g.gate, CASE g.gate WHEN 'A1' THEN 'FAIL' WHEN 'A2' THEN 'NOT_TESTABLE' ELSE 'PASS' END, 0 FROM (VALUES ('A1'), ('A2'), ('Q1')) g(gate)
+               UNION ALL SELECT 'no series', g.gate, CASE g.gate WHEN 'A1' THEN 'FAIL' WHEN 'A2' THEN 'NOT_TESTABLE' ELSE 'PASS' END, 0 FROM (VALUES ('A1'), ('A2'), ('Q1')) g(gate)
+               UNION ALL SELECT 'no second source', 'M1', 'NOT_TESTABLE', 0
+               UNION ALL SELECT 'no samples', g.gate, 'NOT_TESTABLE', 0 FROM (VALUES ('F1'), ('F2')) g(gate)
+               UNION ALL SELECT 'unproven', 'F1', CASE WHEN COUNT(*) = 0 THEN 'NOT_TESTABLE' ELSE 'PASS' END, 0 FROM scored WHERE identity_status <> 'FAIL' AND coverage_status = 'NOT_TESTABLE'
+               UNION ALL SELECT 'unproven', 'F2', 'NOT_TESTABLE', 0
+               UNION ALL SELECT 'no pairs', 'F4', 'NOT_TESTABLE', 0""",
+            {**_MAP, **_SAMPLES},
+        ),
+        "A23",
+    ),
 }
