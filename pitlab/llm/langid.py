@@ -7,14 +7,19 @@ language whose prototype has the greatest cosine with it.
 Letters are lower-cased code points of category L; a run of anything else is one border symbol. Code points from
 ``LATIN_LETTERS`` on share ``OTHER_LETTERS`` vectors by hash, so the letter table has a fixed size.
 
+Prototypes are a written table. They go to tasks in blocks of ``BLOCK_LANGUAGES`` in code order, so any number of languages
+can be learned; each block after the first is one more pass over the texts, which carries the best language so far.
+
 Null text or text without a letter: language ``und``, score 0. Rows with a null language or no letter teach nothing. With
-nothing to learn from, every text is ``und``. Equal cosines go to the first language in code order. Repeated rows are
+nothing to learn from, every text is ``und``. Cosines that are equal to twelve places go to the first language in code
+order. Repeated rows are
 scored one by one; they count as often as they occur in training. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +29,12 @@ from pyspark.sql import functions as F
 
 from pitlab.llm.bytepairs import LETTER, classes, code_points
 from pitlab.llm.common import chunks, mix, utf8
+from pitlab.session import materialize
 
 DIMENSIONS = 1024
 LATIN_LETTERS, OTHER_LETTERS = 768, 256
-#: A language column is a list of codes; more distinct values than this are refused rather than sent to the driver.
-MAX_LANGUAGES = 4096
+#: Languages that a pass compares with: 32 MB of prototypes.
+BLOCK_LANGUAGES = 4096
 UNDETERMINED = "und"
 _SEED, _KNOWN, _SLICE, _TOGETHER = 4242, 1 << 14, 4096, 1 << 20
 _BITS = 10
@@ -128,7 +134,29 @@ def text_vectors(column: pa.Array, dimensions: int = DIMENSIONS) -> Iterator[np.
         yield bound.bundle(*_counted(ordered)) if len(ordered) else None
 
 
-def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
+@dataclass(frozen=True)
+class Prototypes:
+    """A table of (lang, vector array<long>). Iterating gives the languages in code order."""
+
+    table: DataFrame
+
+    def __iter__(self) -> Iterator[str]:
+        return (r.lang for r in self.table.select("lang").orderBy("lang").toLocalIterator())
+
+    def blocks(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        """(names, prototypes) of at most ``BLOCK_LANGUAGES`` languages at a time."""
+        rest = self.table
+        while True:
+            page = rest.orderBy("lang").limit(BLOCK_LANGUAGES).toArrow()
+            names = page.column("lang").to_pylist()
+            if names:
+                yield names, np.concatenate([c.flatten().to_numpy() for c in page.column("vector").chunks]).reshape(len(names), -1).astype(np.float64)
+            if len(names) < BLOCK_LANGUAGES:
+                return
+            rest = self.table.where(F.col("lang") > names[-1])
+
+
+def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Prototypes:
     """Prototype of each language from rows of (text, lang). Sums are whole numbers, so their order does not matter."""
 
     def add(sums: dict[str, np.ndarray], lang: str, parts: list[np.ndarray]) -> None:
@@ -155,31 +183,43 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
 
     parts = labelled.where("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), "lang").mapInArrow(run, "lang string, place int, value long")
     summed = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
-    rows = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    return {r.lang: np.array([x.value for x in r.v], np.float64) for r in sorted(rows, key=lambda r: r.lang)}
+    vector = F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])
+    return Prototypes(materialize(summed.groupBy("lang").agg(vector.alias("vector")), "prototypes"))
 
 
-def identify(documents: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, lang_pred and score, the cosine with the prototype (negative: 0)."""
-    names = sorted(prototypes)
-    profile = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1.0) for n in names])
-    dimensions = profile.shape[1] if names else DIMENSIONS
+def _compared(rows: DataFrame, names: list[str], prototypes: np.ndarray, last: bool) -> DataFrame:
+    """Rows with the best language so far; the last pass drops the text."""
+    profile = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)
+    dimensions = profile.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, scores = [], []
-            for vector in text_vectors(batch.column("text"), dimensions):
+            found, scores = batch.column("lang_pred").to_pylist(), batch.column("score").to_numpy().copy()
+            for k, vector in enumerate(text_vectors(batch.column("text"), dimensions) if names else ()):
                 size = 0.0 if vector is None else float(np.linalg.norm(vector))
-                if not names or not size:
-                    found.append(UNDETERMINED)
-                    scores.append(0.0)
+                if not size:
                     continue
-                cosines = profile @ vector / size
+                cosines = np.round(profile @ vector / size, 12)
                 best = int(np.argmax(cosines))
-                found.append(names[best])
-                scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                # Blocks come in code order, so among equal cosines the first language stays.
+                if found[k] == UNDETERMINED or cosines[best] > scores[k]:
+                    found[k], scores[k] = names[best], cosines[best]
+            texts = {} if last else {"text": batch.column("text")}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **texts, "lang_pred": pa.array(found, pa.string()), "score": pa.array(scores)})
+
+    return rows.mapInArrow(run, "doc_id long, " + ("" if last else "text string, ") + "lang_pred string, score double")
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def identify(documents: DataFrame, prototypes: Prototypes | Mapping[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, lang_pred and score, the cosine with the prototype (negative: 0)."""
+    rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+    if isinstance(prototypes, Prototypes):
+        blocks = prototypes.blocks()
+    else:
+        names = sorted(prototypes)
+        blocks = iter([(names, np.array([prototypes[n] for n in names], np.float64))] if names else [])
+    block, after = next(blocks, ([], np.zeros((0, DIMENSIONS)))), next(blocks, None)
+    while after is not None:
+        rows = materialize(_compared(rows, *block, last=False), "languages")
+        block, after = after, next(blocks, None)
+    return _compared(rows, *block, last=True).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))

@@ -89,7 +89,7 @@ class Table:
         place = _cell(keys, bits)
         order = np.argsort(place, kind="stable")
         starts = np.searchsorted(place[order], np.arange((1 << bits) + 1)).astype(np.int32)
-        return cls(keys[order], values[order].astype(np.float32), starts, bits)
+        return cls(keys[order], values[order].astype(np.float64), starts, bits)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The value of each n-gram, NaN if it is not in the table."""
@@ -215,7 +215,7 @@ def learn(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _tables(rows: DataFrame, orders: range) -> dict[int, Table]:
     """The model's rows as tables. At most ``MODEL_ROWS`` rows reach the driver."""
-    got = rows.select("order", "gram", F.col("value").cast("float").alias("value")).toArrow()
+    got = rows.select("order", "gram", "value").toArrow()
     order, gram, value = (got.column(c).to_numpy() for c in ("order", "gram", "value"))
     return {k: Table.of(gram[order == k], value[order == k]) for k in orders}
 
