@@ -10,6 +10,73 @@ _CRC32 = """xor(4294967295::BIGINT, list_reduce(
     lambda sum, byte: list_reduce(list_concat([xor(sum, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
         lambda bits, zero: CASE WHEN bits & 1 = 1 THEN xor(bits >> 1, 3988292384::BIGINT) ELSE bits >> 1 END)))"""
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Shingle sets meet on their shingles; a component is what links reach.
+JACCARD_JOIN = f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[s : s + 3], ' ') AS shingle
+    FROM split, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS r(s) WHERE len(words) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) c USING (doc_id)
+"""
+
+#: Every window of every item, of 13 words or fewer, is looked up among the documents' runs of as many words.
+DECONTAMINATION = f"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, least(len(words), 13) AS width, array_to_string(words[s : s + least(len(words), 13) - 1], ' ') AS run
+    FROM items, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS r(s) WHERE len(words) > 0
+),
+runs AS (
+    SELECT doc_id, s, width, array_to_string(words[s : s + width - 1], ' ') AS run
+    FROM split, (SELECT DISTINCT width FROM windows) w, unnest(range(1, len(words) - width + 2)) AS r(s)
+),
+found AS (SELECT r.doc_id, r.s, r.width, w.item_id FROM runs r JOIN windows w ON w.width = r.width AND w.run = r.run),
+hit_words AS (SELECT DISTINCT doc_id, unnest(range(s - 1, s - 1 + width)) AS place FROM found),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM hit_words GROUP BY doc_id),
+stretches AS (
+    SELECT doc_id, min(place) AS a, max(place) + 1 AS z
+    FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM hit_words) i GROUP BY doc_id, island
+),
+spans AS (SELECT doc_id, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM stretches GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) q GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.names, '')) AS items_sha256,
+    coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.words) AS contaminated, coalesce(r.spans, '') AS removal_spans
+FROM split d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN spans r USING (doc_id)
+"""
+
+#: All pairs of vectors that can be compared.
+NEAR_DUPLICATES = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON l.a = r.b)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM embeddings v LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM both_ways GROUP BY a) n USING (vec_id)
+JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a) c USING (vec_id)
+"""
+
 #: A prefix is the list of its turns; lists are compared as they are.
 PREFIX_TRIE = f"""
 WITH turns AS (

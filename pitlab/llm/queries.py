@@ -111,4 +111,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The other operators' methods, or a CRC-32 of whole texts, are beyond SQL; tests hold those against brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": oracles.PREFIX_TRIE, "op13_filter_audit": oracles.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": oracles.JACCARD_JOIN,
+    "op9_decontamination": oracles.DECONTAMINATION,
+    "op10_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
+}
