@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import sys
 from pathlib import Path
 
@@ -35,6 +36,10 @@ def folder(spark, tmp_path_factory, prose):  # noqa: F811
     return place
 
 
+def prose_of(seed):
+    return " ".join(random.Random(seed).choice(["orchard", "river", "stone", "winter", "candle", "meadow", "harbour", "silver"]) + str(random.Random(seed * 99 + k).randint(0, 99)) for k in range(60))
+
+
 def stage(k, spark, docs, folder):  # noqa: F811
     made = corpus_pipeline.STAGES[k][1](spark, docs, folder)
     if k < 4:
@@ -113,3 +118,21 @@ def test_empty_documents(spark, folder):
         docs = stage(k, spark, docs, folder)
         assert docs.columns == COLUMNS
     assert stage(4, spark, docs, folder).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, folder):
+    """Maps, and names that the stages use themselves, come through; an id with several texts keeps each once."""
+    texts = [(1, prose_of(1)), (2, prose_of(1) + " end"), (3, prose_of(3)), (3, prose_of(3)), (3, prose_of(4)), (4, None), (None, prose_of(5)), (5, "")]
+    rows = [(i, t, "en", {"k": n}, ["x"], 1.5, "r", 2, 3, {"a": (1, 2)}, 7) for n, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, any map<string,int>, items array<string>, row double, starts string, place int, n_words int, ends map<string,struct<x:int,y:int>>, `a.b` int"
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    for k in range(4):
+        made = stage(k, spark, docs, folder)
+        assert [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+        found = made.collect()
+        assert all(r["any"] is not None and r["ends"]["a"]["y"] == 2 and r["a.b"] == 7 for r in found)
+        if k == 1:
+            assert len(found) == 6 and {(r["doc_id"], r["text"]) for r in found} == {(1, prose_of(1)), (3, prose_of(3)), (3, prose_of(4)), (4, None), (5, ""), (None, prose_of(5))}
+    assert stage(4, spark, docs, folder).where("doc_id = 3").count() >= 3
+    empty = docs.limit(0)
+    assert all(stage(k, spark, empty, folder).count() == 0 for k in range(5))
