@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitlab.llm import decontaminate, jaccard, packing, pii, quality, queries
@@ -28,7 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.7 or more. Texts are scored in place, without a join."""
+    """Documents that the quality classifier scores 0.7 or more. Texts are scored in place, without a join.
+
+    A null text is scored as an empty one. Rows that repeat are scored alike. Without labels, or with labels of one class only,
+    all texts have one score.
+    """
     labels = quality.majority(_table(spark, sf_dir, "labels"), "quality")
     model = quality.learn(docs, labels)
 
@@ -39,28 +43,41 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(score(F.col("text").cast("string")) >= ACCEPTED_FROM)
 
 
+def _column(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by similarity, the one with the smallest id. Rows of a null id are no documents to compare and stay.
 
-    An id with several texts is one document: if it stays, each of its different texts stays once, with the smallest of
-    the other columns.
+    An id with several texts is one document: if it stays, each of its different texts stays once, as the row whose other
+    columns, whatever their names and types, come first as JSON.
     """
     found = jaccard.similar_documents(docs, size=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
     # Only ids that occur in several rows need a choice among them; all other texts stay where they are.
     each = materialize(found.where("doc_id = component_id").groupBy("doc_id").count(), "kept-documents")
     once, often = (checked(each.where(x).select("doc_id")) for x in ("count = 1", "count > 1"))
     single = docs.where("doc_id IS NULL").unionByName(docs.join(once, "doc_id", "left_semi"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    several = docs.join(often, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("any"), *others)).alias("row"))
-    return single.unionByName(several.select("doc_id", "text", *(F.col("row")[c].alias(c) for c in others))).select(docs.columns)
+    place = "place"
+    while place in [c.lower() for c in docs.columns]:
+        place += "_"
+    others = [_column(c) for c in docs.columns if c not in ("doc_id", "text")]
+    written = F.to_json(F.struct(*others)) if others else F.lit("")
+    # Only the first of a window is kept, which Spark does in the map task as well.
+    first = Window.partitionBy("doc_id", "text").orderBy(written)
+    several = docs.join(often, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).where(_column(place) == 1)
+    return single.select(*map(_column, docs.columns)).unionByName(several.select(*map(_column, docs.columns)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which hit words are less than a twentieth."""
+    """Documents of which hit words are less than a twentieth.
+
+    A null or empty text has no words and stays; rows that repeat are judged one by one. An empty benchmark drops nothing.
+    """
     others = [c for c in docs.columns if c != "text"]
-    carried = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
+    carried = docs.select(F.struct(*map(_column, others)).alias("row"), "doc_id", "text")
     found = decontaminate.find_spans(carried, _table(spark, sf_dir, "benchmark"), carry=["row", "text"])
-    return decontaminate.contamination(found, carry=["row", "text"]).where("NOT contaminated").select("row.*", "text").select(docs.columns)
+    return decontaminate.contamination(found, carry=["row", "text"]).where("NOT contaminated").select("row.*", "text").select(*map(_column, docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +87,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens. A null text is an empty one: its piece is the closing id alone."""
     return packing.pack(docs, queries.WORD_VOCABULARY)
 
 
