@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pitlab.plans.quality import RANGE_TOLERANCE_DAYS, incomplete_range
+from pitlab.session import materialize
 
 
 def import_plan(windows: DataFrame, requests: DataFrame) -> DataFrame:
@@ -47,6 +48,36 @@ def import_bars(
     stored bars already cover its range is left alone. Counts are taken in one pass over
     the new rows, and the stored table is only read as a key set and per-symbol extents.
     """
+    state, tagged = _tagged(parsed, existing, requests)
+    return _fresh(tagged), _summary(state, tagged, strict, from_cache)
+
+
+def store_import(
+    parsed: DataFrame, existing: DataFrame, requests: DataFrame, path: str, strict: bool = True, from_cache: bool = False
+) -> tuple[DataFrame, dict]:
+    """Appends the new bars to the Parquet table at ``path``. Returns (one summary row per requested symbol, what was written).
+
+    The incoming rows are read once, for both: they are folded to their stamps and written, and the bars and the summary
+    come from that. What was written (bars, first_session, last_session) is observed in the pass that writes it.
+    """
+    state, tagged = _tagged(parsed, existing, requests)
+    state, tagged = materialize(state, "import-state"), materialize(tagged, "import-stamps")
+    seen = Observation("import")
+    written = _fresh(tagged).observe(seen, F.count(F.lit(1)).alias("bars"), F.min("session").alias("first_session"), F.max("session").alias("last_session"))
+    written.write.mode("append").parquet(path)
+    return _summary(state, tagged, strict, from_cache), seen.get
+
+
+def _is_new() -> Column:
+    return (F.col("_copies") > 0) & F.col("_old").isNull()
+
+
+def _fresh(tagged: DataFrame) -> DataFrame:
+    return tagged.filter(_is_new()).select("symbol", "ts", "_row.*")
+
+
+def _tagged(parsed: DataFrame, existing: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state of each requested symbol, incoming stamps with their counts and whether they are stored)."""
     spans = requests.select("symbol", "start", "end")
     inside = F.col("session").between(F.col("start"), F.col("end"))
     # Only the requested symbols and ranges of the stored table take part in anything below.
@@ -68,8 +99,11 @@ def import_bars(
         F.count_if(~valid).alias("_invalid"),
     )
     tagged = stamps.join(held.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
-    good = F.col("_copies") > 0
-    fresh = good & F.col("_old").isNull()
+    return state, tagged
+
+
+def _summary(state: DataFrame, tagged: DataFrame, strict: bool, from_cache: bool) -> DataFrame:
+    good, fresh = F.col("_copies") > 0, _is_new()
     moved = tagged.groupBy("symbol").agg(
         F.sum(F.col("_copies") + F.col("_invalid")).alias("rows_read"),
         F.sum("_invalid").alias("invalid_rows"),
@@ -110,7 +144,7 @@ def import_bars(
         .when(F.col("unique_bars") == 0, "FAILED")
         .otherwise("CACHED" if from_cache else "DOWNLOADED")
     )
-    summary = joined.select(
+    return joined.select(
         "symbol",
         "rows_read",
         "rows_inserted",
@@ -122,7 +156,6 @@ def import_bars(
         status.alias("status"),
         origin.alias("origin"),
     )
-    return tagged.filter(fresh).select("symbol", "ts", "_row.*"), summary
 
 
 def import_report(summary: DataFrame) -> DataFrame:

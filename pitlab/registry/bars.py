@@ -14,7 +14,7 @@ from pitlab.operators.dedupe import dedupe_bars, merge_bars, upsert_bars
 from pitlab.plans import imports, quality
 from pitlab.registry import Query
 from pitlab.schemas import BAR_TEXT_COLUMNS
-from pitlab.session import shared_folder
+from pitlab.session import materialize, shared_folder
 from pitlab.sources.bars import (
     discover_symbols,
     load_history,
@@ -87,8 +87,8 @@ _FIRST = {
 
 
 def _feeds(s: Standins) -> tuple[DataFrame, DataFrame]:
-    """(stored, incoming): the returned feed is stored, the others arrive unchecked."""
-    tagged = parse_bars(s.raw_bars, fatal=False, carry=["feed"])
+    """(stored, incoming): the returned feed is stored, the others arrive unchecked. The texts are parsed once, for both."""
+    tagged = materialize(parse_bars(s.raw_bars, fatal=False, carry=["feed"]), "parsed")
     good = tagged.filter((F.col("feed") == "R") & (F.size("issues") == 0)).drop("feed", "issues")
     return dedupe_bars(good, ["source", "row_number"]), tagged.filter(F.col("feed") != "R").drop("feed")
 
@@ -135,6 +135,15 @@ def _import(s: Standins, strict: bool) -> DataFrame:
     return imports.import_bars(incoming, stored, _requests(s), strict=strict)[1]
 
 
+def _stored_import(s: Standins) -> DataFrame:
+    """New bars as they are stored, with the count that was observed while they were written."""
+    stored, incoming = _feeds(s)
+    path = _folder(s, "imported")
+    _, seen = imports.store_import(incoming, stored, _requests(s), path)
+    back = s.spark.read.parquet(path)
+    return doubles(back.select("symbol", "session", "close", "volume", "source", F.lit(seen["bars"]).alias("bars_written")))
+
+
 def _import_ctes(strict: bool) -> dict[str, str]:
     cut = """date_diff('day', start, "end") >= 365 AND (first_date IS NULL OR first_date > start + 10 OR last_date < "end" - 10)"""
     few = """bars_stored < CASE WHEN date_diff('day', start, "end") < 365 THEN 0 ELSE GREATEST(252, date_diff('day', start, "end") // 2) END"""
@@ -395,6 +404,17 @@ QUERIES: dict[str, Query] = {
     "import_summary": Query(
         lambda s: _import(s, strict=True), T("raw_bars", "SELECT * FROM summary", _import_ctes(True)), "S27 S08"
     ),
+    "stored_import": Query(
+        _stored_import,
+        T(
+            "raw_bars",
+            """SELECT symbol, session, close, volume, source, COUNT(*) OVER () AS bars_written
+               FROM (SELECT a.symbol, a.session, a.close::DOUBLE AS close, a.volume, a.source, t.old, ROW_NUMBER() OVER (PARTITION BY a.symbol, a.ts ORDER BY a.source, a.row_number) AS k
+                     FROM arrived a JOIN stamps t ON t.symbol = a.symbol AND t.ts = a.ts WHERE a.n_issues = 0) q WHERE k = 1 AND NOT old""",
+            _import_ctes(True),
+        ),
+        "S27 S08 A09",
+    ),
     "import_report": Query(
         lambda s: imports.import_report(_import(s, strict=False)),
         T(

@@ -11,6 +11,9 @@ from pitlab.operators.dedupe import keep_first
 from pitlab.schemas import BAR_TEXT_COLUMNS, BARS
 from pitlab.sources.bars import parse_bars
 
+#: How long a delivered row is remembered.
+HORIZON = "7 days"
+
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in BAR_TEXT_COLUMNS])
 
 
@@ -31,6 +34,17 @@ def valid_bars(raw: DataFrame) -> DataFrame:
     return parse_bars(raw, fatal=False).filter(F.size("issues") == 0).drop("issues")
 
 
+def without_repeats(bars: DataFrame, horizon: str = HORIZON) -> DataFrame:
+    """Rows that were not delivered before within ``horizon``.
+
+    A row is remembered from its arrival, and forgotten after the horizon by a watermark over arrival times. So a file that is
+    delivered again costs no look at the table, and a bar of any age that arrives now is not late. Rows that differ in any value
+    are all kept: the append decides among them.
+    """
+    arrived = bars.withColumn("_arrived", F.current_timestamp()).withColumn("_print", F.xxhash64(*BARS.fieldNames()))
+    return arrived.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["symbol", "ts", "_print"]).drop("_arrived", "_print")
+
+
 def append_new(batch: DataFrame, table: str) -> None:
     """Append the bars of a batch whose key is not in the table yet.
 
@@ -65,10 +79,10 @@ def _exists(spark: SparkSession, table: str) -> bool:
         raise
 
 
-def ingest(raw: DataFrame, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+def ingest(raw: DataFrame, table: str, checkpoint: str, once: bool = False, horizon: str = HORIZON) -> StreamingQuery:
     """Start the import. ``once`` drains what is there and stops."""
     writer = (
-        valid_bars(raw)
+        without_repeats(valid_bars(raw), horizon)
         .writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, _: append_new(batch, table))

@@ -13,7 +13,7 @@ from pitlab.plans import imports, quality
 from pitlab.schemas import BARS
 from pitlab.sources import bars as b
 from pitlab.sources.vendor import normalize_vendor_bars
-from pitlab.streaming.bars import ingest, read_raw_stream
+from pitlab.streaming.bars import ingest, read_raw_stream, valid_bars, without_repeats
 
 HEAD = "symbol,timestamp,open,high,low,close,adjusted_close,volume\n"
 
@@ -211,6 +211,38 @@ def test_stream_keeps_a_late_backfill(spark, tmp_path):
     assert spark.read.parquet(table).count() == 11
 
 
+def test_stream_forgets_repeats_without_a_look_at_the_table(spark, tmp_path):
+    """A file delivered again reaches the append as no row; a bar of ten years ago and another value of a known stamp do reach it."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    batches = []
+
+    def run():
+        rows = without_repeats(valid_bars(read_raw_stream(spark, str(folder))))
+        query = rows.writeStream.option("checkpointLocation", str(tmp_path / "ckpt")).foreachBatch(lambda batch, _: batches.append(sorted(float(r["close"]) for r in batch.collect())))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+
+    write(folder / "a.csv", GOOD, GOOD, "IBM,2020-01-03T14:30:00Z,10,12,9,11,10,5")
+    run()
+    write(folder / "b.csv", GOOD, "IBM,2020-01-03T14:30:00Z,10,12,9,11,10,5")
+    run()
+    write(folder / "c.csv", "IBM,2010-01-04T14:30:00Z,10,12,9,10,10,5", GOOD.replace(",11,", ",11.5,"))
+    run()
+    assert [b for b in batches if b] == [[11.0, 11.0], [10.0, 11.5]]
+
+
+def test_import_counts_what_it_writes(spark, tmp_path, make_bars):
+    req = spark.createDataFrame([(s, date(2020, 1, 1), date(2020, 1, 20)) for s in ("HAVE", "NEW", "NONE")], "symbol string, start date, end date")
+    old = make_bars({"HAVE": [(0, 1, 1, 1), (15, 1, 1, 1)]})
+    rows = raw_rows(spark, ("HAVE", "2020-01-05T14:30:00Z", "1"), ("NEW", "2020-01-05T14:30:00Z", "1"), ("NEW", "2020-01-05T14:30:00Z", "2"), ("NEW", "2020-01-09T14:30:00Z", "1"), ("NEW", "2020-01-06T14:30:00Z", "-1"))
+    path = str(tmp_path / "bars")
+    summary, seen = imports.store_import(rows, old, req, path)
+    lazily = imports.import_bars(rows, old, req)
+    assert seen == {"bars": 2, "first_session": date(2020, 1, 5), "last_session": date(2020, 1, 9)}
+    assert sorted(map(tuple, summary.collect())) == sorted(map(tuple, lazily[1].collect()))
+    assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, lazily[0].collect()))
+
+
 def test_csv_columns_are_read_by_name_per_file(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
