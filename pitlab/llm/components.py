@@ -13,6 +13,8 @@ from pitlab.session import materialize
 
 #: Links that one task contracts at a time.
 _BLOCK = 1 << 20
+#: Tasks over which the neighbours of one node are spread.
+SALTS = 64
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +62,32 @@ def _contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
+def _with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds ``m``, the least ``value`` of each row's ``key``, with a hub's rows spread over ``SALTS`` tasks.
+
+    The least of each salt is taken first, which leaves a hub at most ``SALTS`` rows; they tell it to the rows of their salt.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("part"))
+    least = parts.groupBy(key).agg(F.min("part").alias("m"))
+    return salted.join(parts.select(key, "salt").join(least, key), [key, "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b), the smallest id it reaches. Rows with a null or a = b are ignored.
 
-    Every round writes its links to the shared folder, so no lineage grows and a lost executor costs one round. Hubs are
-    met by aggregations with map-side minima and by joins that adaptive execution splits.
+    Every round writes its links to the shared folder, so no lineage grows and a lost executor costs one round. Links are
+    contracted by blocks of rows before the first, and the neighbours of a hub are spread by ``_with_least``.
     """
     edges = materialize(_contracted(links.where("a != b").select("a", "b")).where("a != b"), "links")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = _with_least(both, "a", "b").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a != b").distinct()
         large = materialize(large, "large-star")
         # In (a, b) above, b < a: a small star hooks a's smaller neighbours and a itself to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = _with_least(large, "a", "b")
+        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small, "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:

@@ -423,8 +423,11 @@ def similar_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     placed = listed.join(grouped.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     placed = materialize(placed.select("rep", "n", "rare", "c", "held"), "placed-signatures")
     each = placed.select("rep", "c", F.inline("held"))
-    same = Window.partitionBy("sig")
-    apart = each.withColumn("low", F.min("c").over(same)).withColumn("high", F.max("c").over(same)).where("low < high").select("top", "rep").distinct()
+    # A frequent signature's rows are spread by salt: its extremes are taken by salt, then of the salts, and told to each salt.
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    ends = salted.groupBy("sig", "salt").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    split = ends.groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("sig")
+    apart = salted.join(ends.select("sig", "salt").join(split, "sig"), ["sig", "salt"], "left_semi").select("top", "rep").distinct()
     groups = materialize(apart.join(placed.select("rep", "n", "rare", "c", F.col("held.sig").alias("sigs")), "rep"), "open-groups")
     hopeful = materialize(groups.drop("sigs").join(_hopeful(groups, percent), ["top", "rep"]), "hopeful")
     sets = materialize(_token_sets(docs, hopeful.select(F.col("rep").alias("doc_id")), size), "token-sets")
