@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,26 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20250101)).integers(0, 1 << 64, 256, dtype=_U64)
 
 
+def give_back() -> None:
+    """Hands memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at its end ``give_back``: a worker lives on through later stages, beside a JVM that needs the memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def checked(keys: DataFrame) -> DataFrame:
     """``keys``, a table of an id and at most a flag, written once; for broadcast if its count is within the bound.
 

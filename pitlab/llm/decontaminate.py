@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlab.llm.common import CHUNK_BYTES, chunks, ragged, utf8, word_hashes, word_table
+from pitlab.llm.common import CHUNK_BYTES, chunks, ragged, tidy, utf8, word_hashes, word_table
 
 WINDOW_WORDS = 13
 SAMPLE_STEP = 8
@@ -261,7 +261,7 @@ def _pass(found: DataFrame, phrases: Phrases) -> DataFrame:
                 held = [part.column(c) for c in names[:-4]]
                 yield pa.RecordBatch.from_arrays([*held, pa.array(counts), *columns], names=names)
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(tidy(run), found.schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

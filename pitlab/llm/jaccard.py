@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitlab.llm.common import checked, chunks, mix, ragged, utf8, word_hashes, word_table
+from pitlab.llm.common import checked, chunks, mix, ragged, tidy, utf8, word_hashes, word_table
 from pitlab.llm.components import components, forest
 from pitlab.session import materialize
 
@@ -85,7 +85,7 @@ def _prints(documents: DataFrame, size: int) -> DataFrame:
             made = np.array(rows, np.uint64).reshape(-1, 3).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[:, k]) for k in range(3))], names=["doc_id", "n", "h1", "h2"])
 
-    return documents.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return documents.mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long")
 
 
 def _token_counts(documents: DataFrame, size: int, slices: int) -> DataFrame:
@@ -144,8 +144,8 @@ def _token_counts(documents: DataFrame, size: int, slices: int) -> DataFrame:
             kept = total >= FREQUENT_FROM
             yield pa.RecordBatch.from_arrays([pa.array((np.uint64(k) << np.uint64(_KEPT) | tokens[heads][kept]).astype(np.int64)), pa.array(total[kept])], names=["token", "df"])
 
-    blocks = documents.mapInArrow(pack, "slice long, once binary, more binary, times binary")
-    return blocks.repartition(slices, "slice").mapInArrow(count, "token long, df long")
+    blocks = documents.mapInArrow(tidy(pack), "slice long, once binary, more binary, times binary")
+    return blocks.repartition(slices, "slice").mapInArrow(tidy(count), "token long, df long")
 
 
 def missable(n: int, percent: int) -> int:
@@ -217,7 +217,7 @@ def _signatures(documents: DataFrame, frequent: pa.Table, slices: int, size: int
             rare = [int((x & np.uint64(1) == 0).sum()) for _, x in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array(rare, pa.int64()), data], names=["doc_id", "n", "rare", "signatures"])
 
-    return documents.mapInArrow(run, "doc_id long, n long, rare long, signatures array<long>")
+    return documents.mapInArrow(tidy(run), "doc_id long, n long, rare long, signatures array<long>")
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -239,7 +239,7 @@ def _token_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "tokens"])
 
     wanted = documents.selectExpr("doc_id", "text", place).join(F.broadcast(ids.selectExpr(place).distinct()), "place", "left_semi").select("doc_id", "text")
-    return wanted.mapInArrow(sets, "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
+    return wanted.mapInArrow(tidy(sets), "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
 
 
 def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
     with_b = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_b.join(made.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return with_b.join(made.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -317,7 +317,7 @@ def _each_block(rows: DataFrame, columns: list[str], compare: Callable[..., pa.R
         if held:
             yield compare(now[0], pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(tidy(run), schema)
 
 
 def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlab.llm.bytepairs import classes, code_points, pieces
-from pitlab.llm.common import chunks, ragged, span_hashes, utf8
+from pitlab.llm.common import chunks, ragged, span_hashes, tidy, utf8
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS = 1 << 19
@@ -262,4 +262,4 @@ def pack(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text
         _loaded.cache_clear()  # a worker may go on with other stages: the known words go with the task
         yield rows(packer)
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), PIECES)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitlab.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
 
@@ -239,7 +241,7 @@ def find_spans(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = [batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SPANS.split(", ")])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SPANS)
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), SPANS)
 
 
 def redact_documents(documents: DataFrame, text: str = "text") -> DataFrame:

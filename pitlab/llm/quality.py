@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlab.llm.bytepairs import SPACE, classes, code_points
-from pitlab.llm.common import CHUNK_BYTES, chunks, mix, span_hashes, utf8
+from pitlab.llm.common import CHUNK_BYTES, chunks, mix, span_hashes, tidy, utf8
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -144,7 +144,7 @@ def learn(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     # A bounded table: at most sample_docs rows of 12 bytes.
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.mapInArrow(run, "doc_id long, y int, ids binary, counts binary")
+    rows = rows.mapInArrow(tidy(run), "doc_id long, y int, ids binary, counts binary")
     once = rows.groupBy("doc_id").agg(F.max(F.struct("y", "ids", "counts")).alias("r")).select("doc_id", "r.*")
     samples = [(r.doc_id, np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.int32), r.y) for r in once.toLocalIterator()]
     return train([x[1:] for x in sorted(samples, key=lambda x: x[0])])
@@ -157,7 +157,7 @@ def score(documents: DataFrame, model: LinearModel, key: str = "doc_id", text: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_column(batch.column("text"), model))], names=["doc_id", "score"])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_column(column: pa.Array, model: LinearModel) -> np.ndarray:
