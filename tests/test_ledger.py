@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import date, timedelta
 from decimal import Decimal
@@ -312,16 +313,37 @@ def test_affordable_buys_equal_a_plain_loop(spark, seed):
     assert made._jdf.queryExecution().executedPlan().toString().count("budget-round") <= 2 * 10
 
 
-def test_numbers_equal_a_full_sort(spark):
+@pytest.mark.parametrize(("one_in", "steps"), [(4096, 10), (8, 6), (1, 3), (3, 0)])
+def test_numbers_equal_a_full_sort(spark, one_in, steps):
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < 0.8 else "x", f"s{i:04d}", rng.choice([0.1, 0.1, rng.uniform(-3, 3)])) for i in range(500)]
+    keys = ["hot"] * 8 + ["x", None]
+    rows = [(rng.choice(keys), f"s{i:04d}", rng.choice([0.1, 0.1, None, float("nan"), -0.0, rng.uniform(-3, 3)])) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, symbol string, v double")
-    got = {(r["k"], r["symbol"]): r["rank"] for r in full_rank(df, ["k"], "v", "symbol").collect()}
-    for key in ("hot", "x"):
-        order = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], r[1]))
+    got = {(r["k"], r["symbol"]): r["rank"] for r in full_rank(df, ["k"], "v", "symbol", drawn_one_in=one_in, steps=steps).collect()}
+    for key in {r[0] for r in rows}:
+        order = sorted((r for r in rows if r[0] == key), key=lambda r: ((2, 0) if r[2] is None else (0, 0) if math.isnan(r[2]) else (1, -r[2]), r[1]))
         assert [got[(key, r[1])] for r in order] == list(range(1, len(order) + 1))
-    n = number_rows(df, ["k"], [F.col("symbol")], "n").filter("k = 'hot'").orderBy("symbol").collect()
-    assert [r["n"] for r in n] == list(range(1, len(n) + 1))
+    numbered = number_rows(df, ["k"], [F.col("symbol")], "n", one_in, steps)
+    n = numbered.filter("k = 'hot'").orderBy("symbol").collect()
+    assert [r["n"] for r in n] == list(range(1, len(n) + 1)) and numbered.columns == ["k", "symbol", "v", "n"]
+    assert full_rank(df.filter("false"), ["k"], "v", "symbol").count() == 0
+
+
+def test_whole_numbers_rank_downward(spark):
+    low, high = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([(v, str(v)) for v in (low, -1, 0, 1, high)] + [(None, "z")], "v long, t string").withColumn("d", F.col("v").cast("decimal(20,0)"))
+    for value in ("v", "d"):
+        assert [r["v"] for r in full_rank(df, [], value, "t", drawn_one_in=1, steps=2).orderBy("rank").collect()] == [high, 1, 0, -1, low, None]
+
+
+def test_a_hot_group_is_numbered_by_many_tasks_in_one_lazy_plan(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") >= 0, "hot").alias("k"), (F.col("id") % 7 * 1.0).alias("v"), F.col("id").cast("string").alias("t"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    ranked = full_rank(df, ["k"], "v", "t", drawn_one_in=64)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == jobs
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_g" in text and "_bucket" in text and "rangepartitioning" not in text
+    assert ranked.agg(F.sum("rank"), F.max("rank"), F.countDistinct("rank")).first()[:] == (20_000 * 20_001 // 2, 20_000, 20_000)
 
 
 def test_parameters():
