@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,18 +27,18 @@ def top_n(df: DataFrame, keys: Sequence[str], value: str, tie: str, n: int, rank
     return df.withColumn(rank_as, F.row_number().over(w).cast("long")).filter(F.col(rank_as) <= n)
 
 
-def _cuts(rows: DataFrame, keys: Sequence[str], drawn_one_in: int, steps: int) -> DataFrame:
-    """(keys, _cuts): drawn places of each group, ascending. Groups without a drawn row are missing."""
-    rank = Window.partitionBy(*keys).orderBy("_h")
-    drawn = rows.select(*keys, "_at", F.xxhash64("_at", F.lit("cut")).alias("_h")).filter(F.pmod("_h", F.lit(drawn_one_in)) == 0)
+def _cuts(rows: DataFrame, drawn_one_in: int, steps: int) -> DataFrame:
+    """(_g, _cuts): drawn places of each group, ascending. Groups without a drawn row are missing."""
+    rank = Window.partitionBy("_g").orderBy("_h")
+    drawn = rows.select("_g", F.col("_row.at").alias("_at"), F.xxhash64("_row.at", F.lit("cut")).alias("_h")).filter(F.pmod("_h", F.lit(drawn_one_in)) == 0)
     few = drawn.withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") < 2**steps)
-    return few.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    return few.groupBy("_g").agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
 
 
 def _bucket(steps: int) -> Column:
-    """How many of ``_cuts`` lie before ``_at``, by binary search. A place beyond the last cut reads as NULL."""
+    """How many of ``_cuts`` lie before the row, by binary search. A place beyond the last cut reads as NULL."""
     halves = F.array(*[F.lit(2**k) for k in range(steps - 1, -1, -1)])
-    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(F.col("_cuts"), at + half - 1) < F.col("_at"), at + half).otherwise(at))
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.get(F.col("_cuts"), at + half - 1) < F.col("_row.at"), at + half).otherwise(at))
 
 
 def number_rows(
@@ -48,23 +49,29 @@ def number_rows(
     One lazy plan. Rows drawn by hash give each group its cuts; between two cuts lies a bucket of some
     ``drawn_one_in`` rows, or of N / 2 ** steps in a larger group. A row's number is its place in its bucket plus the counts
     of the buckets before. The cuts say where the work is split and never what a number is. ``order`` must be total up to
-    rows that are interchangeable, and ``df`` the same each time it is evaluated: it is read for the cuts, the counts
-    and the rows, where Spark reuses the exchanges below.
+    rows that are interchangeable, and ``df`` the same each time it is evaluated: the cuts read it once more. Counts and
+    rows share one shuffle.
 
     Keys may be NULL (one group). An empty table gives an empty table.
     """
     # A struct of the keys is never NULL itself, and NULL fields are equal, so NULL keys join.
     group = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("all"))
-    rows = df.withColumns({"_g": group, "_at": F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])})
-    rows = rows.withColumn("_copy", F.pmod(F.xxhash64("_at"), F.lit(CUT_COPIES)).cast("int"))
-    cuts = _cuts(rows, ["_g"], drawn_one_in, steps).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(CUT_COPIES - 1))))
+    # What sorts travels with its row in one column: then the counts need the same columns as the rows, and Spark sees one shuffle.
+    maps = [f.name for f in df.schema if re.search("map<|variant", f.dataType.simpleString())]
+    kept = [c for c in df.columns if c not in maps]
+    row = F.struct(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("at"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("all")).alias("kept"))
+    rows = df.select(group.alias("_g"), row.alias("_row"), *maps)
+    cuts = _cuts(rows, drawn_one_in, steps).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(CUT_COPIES - 1))))
+    rows = rows.withColumn("_copy", F.pmod(F.xxhash64("_row.at"), F.lit(CUT_COPIES)).cast("int"))
     placed = rows.join(cuts, ["_g", "_copy"], "left").withColumn("_bucket", F.coalesce(_bucket(steps), F.lit(0))).drop("_cuts", "_copy")
+    within = Window.partitionBy("_g", "_bucket").orderBy("_row")
+    numbered = placed.withColumn("_n", F.row_number().over(within))
+    counts = numbered.groupBy("_g", "_bucket").agg(F.max("_n").cast("long").alias("_size"))
     earlier = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_g", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_g", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_g", "_bucket").orderBy("_at")
-    numbered = placed.withColumn("_n", F.row_number().over(within)).join(before, ["_g", "_bucket"])
-    return numbered.select(*df.columns, (F.col("_before") + F.col("_n")).cast("long").alias(number_as))
+    before = counts.select("_g", "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    back = {c: F.col(f"_row.kept.c{i}").alias(c) for i, c in enumerate(kept)}
+    found = numbered.join(before, ["_g", "_bucket"])
+    return found.select(*[back.get(c, F.col(c)) for c in df.columns], (F.col("_before") + F.col("_n")).cast("long").alias(number_as))
 
 
 def descending(value: str, kind: T.DataType) -> list[Column]:
