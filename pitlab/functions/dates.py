@@ -60,3 +60,8 @@ def midpoint(start: Column, end: Column, horizon: Column | date) -> Column:
     """Middle day of an interval; an open one ends at the horizon."""
     span = F.datediff(F.coalesce(end, day(horizon)), start)
     return F.date_add(start, F.floor(F.greatest(span, F.lit(0)) / 2).cast("int"))
+
+
+def month_of(day: str) -> Column:
+    """Months since year 0: the number by which stored tables are bucketed."""
+    return (F.year(day) * 12 + F.month(day)).cast("int")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlab.functions.dates import month_of
+
 
 def asof_join(
     left: DataFrame,
@@ -45,6 +47,34 @@ def asof_join(
     return joined.select(*left.columns, *[F.col(f"_found.{c}").alias(f"{prefix}{c}") for c in carried])
 
 
+def asof_stored(
+    left: DataFrame, stored: DataFrame, key: str, left_day: str, right_day: str, tie_order: list[Column | str] | None = None, prefix: str = "", month: str = "month"
+) -> DataFrame:
+    """``asof_join`` with a table that ``write_bucketed`` stored by (key, month): its rows are not shuffled.
+
+    A question is answered from its own month, else by the last row of an earlier month. The first is an equi-join on the bucket
+    columns, to which Spark brings the questions; it pairs a question with at most a month of its key. The second needs one row
+    per key and month, aggregated inside the buckets. A hot key lies in as many buckets as it has months.
+
+    Rows of ``stored`` with a NULL key or day answer nothing.
+    """
+    carried = [c for c in stored.columns if c not in (key, month)]
+    order = [F.col(o) if isinstance(o, str) else o for o in (tie_order or [c for c in carried if c != right_day])]
+    latest = F.struct(F.col(right_day), *[o.alias(f"_o{i}") for i, o in enumerate(order)])
+    match = F.max_by(F.struct(*carried), latest).alias("_match")
+    asked = left.select(key, F.col(left_day).alias("_day")).distinct().withColumn(month, month_of("_day"))
+    inside = asked.join(stored, [key, month]).filter(F.col(right_day) <= F.col("_day")).groupBy(key, month, "_day").agg(match)
+    closing = stored.filter(F.col(right_day).isNotNull()).groupBy(key, month).agg(match)
+    months = closing.unionByName(asked.select(key, month).distinct(), allowMissingColumns=True)
+    # At most a row per month of the calendar and key: what the months before leave.
+    before = Window.partitionBy(key).orderBy(month).rangeBetween(Window.unboundedPreceding, -1)
+    carried_in = months.withColumn("_before", F.last("_match", ignorenulls=True).over(before)).groupBy(key, month).agg(F.first("_before", ignorenulls=True).alias("_before"))
+    found = asked.join(inside.withColumnRenamed("_match", "_inside"), [key, month, "_day"], "left").join(carried_in, [key, month], "left")
+    answered = found.select(key, F.col("_day").alias(left_day), F.coalesce("_inside", "_before").alias("_found"))
+    joined = left.join(answered, [key, left_day], "left")
+    return joined.select(*left.columns, *[F.col(f"_found.{c}").alias(f"{prefix}{c}") for c in carried])
+
+
 def count_before(calendar: DataFrame, dates: DataFrame, date_col: str = "as_of") -> DataFrame:
     """For each session, how many of ``dates`` lie strictly before it. Both are calendars."""
     marks = calendar.select(F.col("session").alias("d"), F.lit(0).alias("hit")).unionByName(

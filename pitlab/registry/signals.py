@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlab.operators.asof import asof_join
+from pitlab.operators.asof import asof_join, asof_stored
 from pitlab.operators.calendars import month_starts, rebalance_dates, session_timestamps
 from pitlab.params import MomentumParams
 from pitlab.plans import momentum
 from pitlab.plans.universe import universe_as_of, universe_slice
 from pitlab.registry import Query
+from pitlab.session import shared_folder
+from pitlab.sources.bars import write_bucketed
 from pitlab.standins.frames import Standins
 from pitlab.standins.sql import with_tables
 
@@ -77,6 +80,16 @@ def _asof(s: Standins) -> DataFrame:
     )
 
 
+def _asof_stored(s: Standins) -> DataFrame:
+    """As ``_asof``, from a stored table that is bucketed by symbol and month."""
+    left = s.orders.select("order_id", F.col("position_key").alias("symbol"), F.col("session").alias("on_day"))
+    name = f"bars_{uuid.uuid4().hex}"
+    buckets = int(s.spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = write_bucketed(s.bars.select("symbol", "session", "close", "volume"), name, f"{shared_folder(s.spark)}/pitlab/{name}", buckets)
+    joined = asof_stored(left, stored, "symbol", "on_day", "session", prefix="bar_")
+    return joined.select("order_id", "symbol", "on_day", "bar_session", F.col("bar_close").cast("double").alias("bar_close"), "bar_volume")
+
+
 def _month_starts(s: Standins) -> DataFrame:
     days = month_starts(s.spark, date(1995, 1, 15), date(2001, 11, 4))
     return universe_as_of(s.memberships, days).groupBy("as_of").agg(F.count(F.lit(1)).alias("members"))
@@ -169,6 +182,15 @@ QUERIES: dict[str, Query] = {
         ),
         "J29 P07",
     ),
+    "stored_asof": Query(
+        _asof_stored,
+        T(
+            "bars trades",
+            """SELECT t.order_id, t.position_key AS symbol, t.session AS on_day, b.session AS bar_session, CAST(b.close AS DOUBLE) AS bar_close, b.volume AS bar_volume
+               FROM trades t ASOF LEFT JOIN bars b ON t.position_key = b.symbol AND t.session >= b.session""",
+        ),
+        "J29 S05",
+    ),
     "universe_slice": Query(
         _slice,
         T(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitlab.functions.checks import bar_rules, format_issue, issues, strict_bar_rules
-from pitlab.functions.dates import has_offset
+from pitlab.functions.dates import has_offset, month_of
 from pitlab.functions.text import fixed_point, normalize_symbol
 from pitlab.operators.dedupe import dedupe_bars
 from pitlab.params import ParameterError, warmup_start
@@ -246,6 +246,17 @@ def write_bars(bars: DataFrame, path: str, fmt: str = "parquet", mode: str = "ov
         ordered.write.mode(mode).format(fmt).save(path)
 
 
+def write_bucketed(bars: DataFrame, table: str, path: str, buckets: int, key: str = "symbol", day: str = "session") -> DataFrame:
+    """A table bucketed by (key, month) and sorted by day inside a bucket, for joins and aggregations without a shuffle of bars.
+
+    Bucketing by the month too spreads a hot symbol over many buckets. Returns the table. ``buckets`` should be
+    chosen so that a bucket is a task's work, some hundred MB.
+    """
+    placed = bars.withColumn("month", month_of(day)).repartition(buckets, key, "month")
+    placed.write.mode("overwrite").bucketBy(buckets, key, "month").sortBy(key, "month", day).option("path", path).saveAsTable(table)
+    return bars.sparkSession.table(table)
+
+
 def write_symbol_files(bars: DataFrame, folder: str) -> None:
     """A file ``{SYMBOL}.csv`` per symbol, sorted by time, all of them or none.
 
