@@ -23,7 +23,9 @@ from pitlab.sources.bars import (
     read_bars_csv,
     read_bars_lenient,
     read_symbol_files,
+    stored_extents,
     write_bars,
+    write_by_symbol,
     write_symbol_files,
 )
 from pitlab.sources.tables import latest_bars, missing_stocks, with_stock
@@ -277,6 +279,12 @@ def _stocks(s: Standins) -> DataFrame:
     return s.table("supplier").join(nation, "s_nationkey").select(ticker("s_suppkey").alias("symbol"), "exchange")
 
 
+def _by_symbol(s: Standins) -> str:
+    path = _folder(s, "bars-by-symbol")
+    write_by_symbol(s.bars, path)
+    return path
+
+
 QUERIES: dict[str, Query] = {
     "daily_bars": Query(
         lambda s: doubles(s.bars.drop("ts")),
@@ -345,6 +353,11 @@ QUERIES: dict[str, Query] = {
         T("price_windows", "SELECT symbol, first_date, last_date, first_close::DOUBLE AS first_close, last_close::DOUBLE AS last_close, bars FROM price_windows"),
         "S25 D13 A01",
     ),
+    "stored_extents": Query(
+        lambda s: stored_extents(s.spark, _by_symbol(s)),
+        T("price_windows", "SELECT symbol, first_date, last_date, bars FROM price_windows"),
+        "S25 A01",
+    ),
     "bar_gaps": Query(
         lambda s: doubles(quality.bar_gaps(s.bars, 14)),
         T(
@@ -401,6 +414,20 @@ QUERIES: dict[str, Query] = {
         ),
         "S26 S27",
     ),
+    "stored_import_plan": Query(
+        lambda s: imports.import_plan(stored_extents(s.spark, _by_symbol(s)), _requests(s)),
+        T(
+            "price_windows",
+            """SELECT q.symbol, q.start, q."end", action, CASE WHEN action <> 'cached' THEN start END AS fetch_start,
+                      CASE WHEN action = 'full' THEN "end" WHEN action = 'prefix' THEN LEAST("end", first_date - 1) END AS fetch_end,
+                      COALESCE(first_date <= start + 10 AND last_date >= "end" - 10, FALSE) AS covers_range
+               FROM (SELECT r.*, w.first_date, w.last_date, CASE WHEN w.first_date IS NULL THEN 'full' WHEN w.first_date <= r.start + 10 THEN 'cached'
+                            WHEN LEAST(r."end", w.first_date - 1) < r.start THEN 'cached' ELSE 'prefix' END AS action
+                     FROM requests r LEFT JOIN price_windows w USING (symbol)) q""",
+            _REQUESTS,
+        ),
+        "S26 S25",
+    ),
     "import_summary": Query(
         lambda s: _import(s, strict=True), T("raw_bars", "SELECT * FROM summary", _import_ctes(True)), "S27 S08"
     ),

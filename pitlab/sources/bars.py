@@ -257,6 +257,31 @@ def write_bucketed(bars: DataFrame, table: str, path: str, buckets: int, key: st
     return bars.sparkSession.table(table)
 
 
+def write_by_symbol(bars: DataFrame, path: str) -> None:
+    """A folder per symbol, its files sorted by session: the layout that ``stored_extents`` reads.
+
+    A symbol has at most one bar per session, so one task writes a symbol.
+    """
+    ordered = bars.repartition("symbol").sortWithinPartitions("symbol", "session")
+    ordered.write.mode("overwrite").partitionBy("symbol").parquet(path)
+
+
+def stored_extents(spark: SparkSession, path: str) -> DataFrame:
+    """(symbol, first_date, last_date, bars) of bars that ``write_by_symbol`` wrote, from the footers of their files.
+
+    Spark answers MIN, MAX and COUNT by partition from Parquet statistics only in its newer file reader, and that is chosen by
+    settings of a session. They are set in a session of its own, so the caller's stay as they are. No data page is read.
+    Symbols are texts whatever they look like; a NULL symbol is one group.
+    """
+    reader = spark.newSession()
+    older = reader.conf.get("spark.sql.sources.useV1SourceList").split(",")
+    reader.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in older if x.strip().lower() != "parquet"))
+    reader.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    reader.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")  # a symbol such as 007 is a text
+    stored = reader.read.parquet(path)
+    return stored.groupBy("symbol").agg(F.min("session").alias("first_date"), F.max("session").alias("last_date"), F.count(F.lit(1)).alias("bars"))
+
+
 def write_symbol_files(bars: DataFrame, folder: str) -> None:
     """A file ``{SYMBOL}.csv`` per symbol, sorted by time, all of them or none.
 

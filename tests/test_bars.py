@@ -4,6 +4,7 @@ import shutil
 from datetime import date
 
 import pytest
+from conftest import ramp
 from pyspark.sql import functions as F
 
 from pitlab.functions.checks import issues, table_rules
@@ -272,3 +273,18 @@ def test_symbol_file_is_the_first_match(spark, tmp_path):
     assert b.read_symbol_files(spark, str(tmp_path), "ibm").count() == 1
     with pytest.raises(Exception, match="no bar file"):
         b.read_symbol_files(spark, str(tmp_path), "NONE")
+
+
+def test_extents_come_from_footers(spark, make_bars, tmp_path):
+    bars = make_bars({"A": ramp(40), "B/1": ramp(3, first=7), "007": ramp(1)})
+    bars = bars.unionByName(bars.filter("symbol = 'A'").withColumn("symbol", F.lit(None).cast("string")))
+    b.write_by_symbol(bars, str(tmp_path / "store"))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    found = b.stored_extents(spark, str(tmp_path / "store"))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(session), MAX(session), COUNT(*)]" in text and "PushedGroupBy: [symbol]" in text
+    want = quality.price_windows(bars).select("symbol", "first_date", "last_date", "bars")
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 4
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    # Frames of both sessions can be joined.
+    assert bars.join(found, "symbol").count() == 44
