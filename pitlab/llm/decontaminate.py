@@ -9,8 +9,9 @@ to the next kept position, and overlapping occurrences are merged into removal s
 Words are maximal runs of ASCII letters and digits and of all non-ASCII characters, with A-Z lower-cased. A
 phrase is each window of 13 consecutive words of an item; an item of fewer words, but not none, is one phrase.
 
-The benchmark travels to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass per block, so what is sent has
-a bound at any size of the benchmark.
+The benchmark travels to the tasks in blocks of at most ``BLOCK_BYTES`` of text and one item more, one pass per block. Blocks are
+cut in Spark by a running sum over the items and written; the driver takes one at a time, and the result of each pass but the
+last is written, so that neither the driver nor a task ever holds more than one block's phrases.
 
 Null or empty document: no words, no hit, not contaminated. Items with a null id or without words are never found; an id
 that occurs twice is one item with the phrases of both texts. Repeated documents give repeated rows. Other columns are ignored.
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlab.llm.common import CHUNK_BYTES, chunks, ragged, tidy, utf8, word_hashes, word_table
+from pitlab.operators.scan import blocked_sum, in_blocks
+from pitlab.session import materialize
 
 WINDOW_WORDS = 13
 SAMPLE_STEP = 8
@@ -132,31 +135,50 @@ class FmIndex:
         return result
 
 
+@dataclass(frozen=True)
+class Group:
+    """Distinct phrases of one length, and the items of each: those of phrase k are ``items[edges[k] : edges[k + 1]]``."""
+
+    phrases: np.ndarray
+    edges: np.ndarray
+    items: np.ndarray
+
+
 @dataclass(frozen=True)
 class Phrases:
-    """The distinct phrases of a block of items, as symbols of the block's vocabulary."""
+    """The phrases of a block of items, as symbols of the block's vocabulary."""
 
     vocabulary: np.ndarray  # sorted word hashes; symbol k + 2 stands for entry k
-    groups: list[tuple[np.ndarray, list[list[str]]]]  # per length: phrases, and the item ids of each
+    names: list[str]  # item ids, sorted; items are numbers of it
+    groups: list[Group]
 
     @property
     def shortest(self) -> int:
-        return min((g.shape[1] for g, _ in self.groups), default=0)
+        return min((g.phrases.shape[1] for g in self.groups), default=0)
+
+
+def _group(symbols: np.ndarray, starts: np.ndarray, owners: np.ndarray, size: int, n_items: int) -> Group:
+    """The windows of ``size`` symbols at ``starts``, each once."""
+    windows = np.ascontiguousarray(symbols[starts[:, None] + np.arange(size)])
+    _, first, which = np.unique(windows.view(np.dtype((np.void, windows.itemsize * size))).ravel(), return_index=True, return_inverse=True)
+    pairs = np.unique(which * n_items + owners)
+    return Group(windows[first], np.searchsorted(pairs // n_items, np.arange(len(first) + 1)), pairs % n_items)
 
 
 def phrases_of(items: list[tuple[str, str]], window: int = WINDOW_WORDS) -> Phrases:
     """The phrases of (item id, text) pairs."""
+    names = sorted({item for item, _ in items})
+    number = {name: k for k, name in enumerate(names)}
     hashes, first = word_hashes(*utf8(pa.array([t for _, t in items], pa.string())), WORDS)
     vocabulary = np.unique(hashes)
-    symbols = np.searchsorted(vocabulary, hashes) + 2
-    by_length: dict[int, dict[bytes, set[str]]] = {}
-    for k, (item, _) in enumerate(items):
-        words = symbols[first[k] : first[k + 1]]
-        size = min(window, len(words))
-        for at in range(len(words) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(words[at : at + size].tobytes(), set()).add(item)
-    groups = [(np.frombuffer(b"".join(found), np.int64).reshape(-1, size), [sorted(x) for x in found.values()]) for size, found in sorted(by_length.items())]
-    return Phrases(vocabulary, groups)
+    symbols = (np.searchsorted(vocabulary, hashes) + 2).astype(np.int32)
+    owners, sizes = np.array([number[item] for item, _ in items], np.int64), np.minimum(np.diff(first), window)
+    groups = []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = sizes == size
+        counts = np.diff(first)[own] - size + 1
+        groups.append(_group(symbols, ragged(first[:-1][own], counts), np.repeat(owners[own], counts), size, len(names)))
+    return Phrases(vocabulary, names, groups)
 
 
 def _runs(inside: np.ndarray, row_of: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,17 +207,18 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tupl
         return counts, none, none, []
     places = np.insert(ragged(start, length), np.cumsum(length)[:-1], -1)  # a separator between runs
     index = FmIndex(np.where(places < 0, _SEPARATOR, at[places] + 2), len(phrases.vocabulary) + 2)
-    begins, ends, found = [], [], set()
-    for group, items in phrases.groups:
-        low, high = index.search(group)
-        which = np.repeat(np.arange(len(group)), high - low)
+    begins, ends, found = [], [], [np.zeros((2, 0), np.int64)]
+    for group in phrases.groups:
+        low, high = index.search(group.phrases)
+        which = np.repeat(np.arange(len(low)), high - low)
         if not len(which):
             continue
         place = places[index.locate(ragged(low, high - low))]
         begins.append(place)
-        ends.append(place + group.shape[1])
-        pairs = np.unique(np.stack([row_of[place], which]), axis=1)
-        found.update((int(r), item) for r, w in pairs.T for item in items[w])
+        ends.append(place + group.phrases.shape[1])
+        row, phrase = np.unique(np.stack([row_of[place], which]), axis=1)
+        counts_of = np.diff(group.edges)[phrase]
+        found.append(np.stack([np.repeat(row, counts_of), group.items[ragged(group.edges[phrase], counts_of)]]))
     if not begins:
         return counts, none, none, []
     change = np.zeros(len(hashes) + 1, np.int64)
@@ -207,19 +230,21 @@ def search_shard(raw: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> tupl
     before[row_edges[row_edges < len(covered)]] = False
     after = np.concatenate((covered[1:], [False]))
     after[row_edges[row_edges > 0] - 1] = False
-    return counts, np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1, sorted(found)
+    return counts, np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after) + 1, [(r, phrases.names[i]) for r, i in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist()]
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> list[list[tuple[str, str]]]:
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """Blocks of (item id, text), and whether it is the last."""
     rows = benchmark.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
-    for k, t in rows.orderBy("k", "t").toLocalIterator():
-        if size and size + len(t) > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((k, t))
-        size += len(t)
-    return blocks
+    if (rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= BLOCK_BYTES:
+        yield [tuple(r) for r in rows.collect()], True
+        return
+    # Items by their last byte in the order of all: a block is BLOCK_BYTES of that order.
+    summed = blocked_sum(in_blocks(rows, [], ["k", "t"], "benchmark"), [], F.octet_length("t").cast("long"), "end")
+    stored = materialize(summed.select("k", "t", F.expr(f"greatest(end - 1, 0) div {BLOCK_BYTES}").alias("block")), "benchmark-blocks")
+    numbers = [n for (n,) in stored.select("block").distinct().orderBy("block").collect()]
+    for n in numbers:
+        yield [tuple(r) for r in stored.where(F.col("block") == n).select("k", "t").collect()], n == numbers[-1]
 
 
 def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -232,14 +257,16 @@ def find_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     carry = [c for c in carry if c != "text"]
     found = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry)
     found = found.selectExpr(*carry, "doc_id", "text", "0L AS n_words", "CAST(array() AS array<bigint>) AS starts", "CAST(array() AS array<bigint>) AS ends", "CAST(array() AS array<string>) AS items")
-    for block in _blocks(benchmark, item_key, item_text):
+    for block, last in _blocks(benchmark, item_key, item_text):
         found = _pass(found, phrases_of(block))
+        if not last:
+            found = materialize(found, "benchmark-pass")
     return found if texts else found.drop("text")
 
 
 def _pass(found: DataFrame, phrases: Phrases) -> DataFrame:
     """Adds what one block of the benchmark finds."""
-    shared = found.sparkSession.sparkContext.broadcast(phrases)  # of at most BLOCK_BYTES of text
+    shared = found.sparkSession.sparkContext.broadcast(phrases)  # of one block of the benchmark
     names = found.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,6 +198,32 @@ def test_contamination_equals_brute_force(spark, docs, prose, monkeypatch, block
     assert found.where("n_words = 0 AND (n_hit > 0 OR contaminated)").count() == 0
 
 
+def test_benchmark_blocks_are_bounded_and_hold_each_item_once(spark, prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    items = [(f"i{k}", prose(k, 5 + k)) for k in range(30)] + [("i3", prose(3, 8)), ("i3", prose(3, 8)), ("z", "é" * 900), ("e", "")]
+    benchmark = spark.createDataFrame([*items, (None, "x"), ("n", None)], "item_id string, text string")
+    blocks = [*decontaminate._blocks(benchmark, "item_id", "text")]
+    assert sorted(r for block, _ in blocks for r in block) == sorted(items)
+    assert [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True] and len(blocks) > 5
+    for block, _ in blocks:
+        sizes = [len(t.encode()) for _, t in block]
+        assert sum(sizes) - max(sizes) <= 500
+
+
+def test_phrases_equal_plain_windows(prose):
+    items = [("b", prose(1, 20)), ("a", prose(1, 20)), ("b", prose(1, 20)), ("c", "one two"), ("d", "One, two!"), ("e", ""), ("f", (prose(2, 3) + " ") * 20), ("é", "two")]
+    want = {}
+    for name, text in items:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+        size = min(13, len(words))
+        for k in range(len(words) - size + 1 if size else 0):
+            want.setdefault(tuple(words[k : k + size]), set()).add(name)
+    made = decontaminate.phrases_of(items)
+    assert sorted(g.phrases.shape[1] for g in made.groups) == sorted({len(w) for w in want})
+    got = sorted((g.phrases.shape[1], [made.names[i] for i in g.items[a:z]]) for g in made.groups for a, z in zip(g.edges[:-1], g.edges[1:], strict=True))
+    assert got == sorted((len(w), sorted(found)) for w, found in want.items())
+
+
 def test_contamination_of_empty_tables(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[:4] for r in decontaminate.contamination(decontaminate.find_spans(docs([(1, "a b")]), empty)).collect()] == [(1, 2, 0, 0)]
