@@ -376,3 +376,46 @@ def test_exports(spark, tmp_path):
     sinks.write_backtest_export(fills, book, equity, str(tmp_path))
     assert len(spark.read.csv(str(tmp_path / "orders"), header=True).columns) == 10
     assert len(spark.read.csv(str(tmp_path / "equity"), header=True).columns) == 5
+
+
+def replayed(spark, make_bars):
+    drawn = random.Random(12)
+    series = {k: [(d, drawn.randint(5, 90), 1, 1) for d in range(a, z) if drawn.random() < 0.4] for k, a, z in (("A", 0, 40), ("B", 3, 12), ("C", 20, 30), ("Q", 0, 40))}
+    series["Q"] = [(d, 1, 1, 1) for d in range(40)]
+    bars = make_bars(series)
+    rows = covered_tape(200, 5) + [(6, "A", 3, "SELL", 1, "9"), (7, "A", 39, "BUY", 2, "9"), (7, "C", 2, "BUY", 1, None)]
+    return l.replay_ledger(orders(spark, rows), LedgerParams(initial_cash=Decimal(900))), bars, trading_calendar(bars)
+
+
+@pytest.mark.parametrize("factor", [1, 10**11])
+def test_equity_of_positions_equals_positions_on_every_session(spark, make_bars, factor):
+    book, bars, cal = replayed(spark, make_bars)
+    held = l.position_history(book).withColumn("quantity", F.col("quantity") * factor)
+    assert book.filter("status = 'REJECTED'").count() > 2
+    cash = l.cash_history(book)
+    want = {(r["portfolio_id"], r["session"]): (r["cash"], r["equity"]) for r in l.nav(l.mark_positions(held, bars, cal), cash, cal).collect()}
+    made = l.equity_of_positions(held, cash, bars, cal)
+    got = {(r["portfolio_id"], r["session"]): (r["cash"], r["equity"]) for r in made.collect()}
+    assert got == want
+    # The marks meet the spans after their only shuffle, and what comes of them is not shuffled.
+    text = l.equity_of_positions(held, cash, bars, cal)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(portfolio_id") == 1 and "BroadcastHashJoin" in text
+
+
+def test_marked_days_equal_positions_on_every_session(spark, make_bars):
+    book, bars, cal = replayed(spark, make_bars)
+    bars = bars.withColumn("close", F.when(F.col("volume") > 0, F.col("close")))
+    marked = l.mark_positions(l.position_history(book), bars, cal)
+    days = marked.groupBy("symbol").agg(F.count(F.lit(1)).alias("d"), F.count_if("valued").alias("v"), F.count_if("held_price").alias("h"))
+    made = l.marked_days(l.position_history(book), bars, cal)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, days.collect())) and made.columns == ["symbol", "position_days", "valued", "held"]
+
+
+def test_measures_replay_every_customers_orders(spark):
+    from pitlab.registry import all_queries
+    from pitlab.standins.frames import Standins
+
+    small = Standins(spark, "/root/testdata/sf0.001")
+    portfolios = small.orders.select("portfolio_id").distinct().count()
+    for name in ("trade_statistics", "performance_metrics"):
+        assert all_queries()[name].build(small).count() == portfolios, name
