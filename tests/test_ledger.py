@@ -419,3 +419,26 @@ def test_measures_replay_every_customers_orders(spark):
     portfolios = small.orders.select("portfolio_id").distinct().count()
     for name in ("trade_statistics", "performance_metrics"):
         assert all_queries()[name].build(small).count() == portfolios, name
+
+
+def test_an_order_without_a_quantity_is_refused(spark):
+    rows = orders(spark, [(1, "A", 0, "BUY", 2, "10"), (1, "A", 1, "BUY", 5, "10"), (1, "A", 2, "SELL", 5, "10")])
+    rows = rows.withColumn("quantity", F.when(F.col("quantity") < 5, F.col("quantity")))
+    got = l.replay_ledger(rows, LedgerParams(initial_cash=Decimal(100))).orderBy("session").collect()
+    assert [(r["status"], r["reject_reason"]) for r in got] == [("FILLED", None), ("REJECTED", "no quantity"), ("REJECTED", "no quantity")]
+    assert [r["position_quantity"] for r in got] == [2, 2, 2]
+
+
+def test_last_actions_equal_an_aggregation_of_each(spark):
+    rows = [("A", 0, "SPLIT", "2", None, None, None), ("A", 1, "CASH_DIVIDEND", None, "1.5", None, None), ("A", 1, "SHARE_CONVERSION", None, None, None, None), ("A", 2, "RENAME", None, None, "B", None), ("Z", 0, "SPLIT", "3", None, None, None)]
+    held = positions(spark, [("A", 7, 30, 60, 100), ("C", 1, 1, 1, 1)])
+    acts = actions(spark, rows)
+    last = F.struct("effective_date", "action_type")
+    want = l.apply_actions(held, acts).groupBy("portfolio_id", "position_key").agg(
+        F.count_if(F.col("application") == "APPLIED").alias("applied"), F.count_if(F.col("application") == "UNRESOLVED").alias("unresolved"),
+        F.max_by(F.struct("symbol", "quantity", "average_price", "market_price", "cash"), last).alias("e"),
+    ).select("portfolio_id", "position_key", "applied", "unresolved", "e.*")
+    made = l.after_all_actions(held, acts, last)
+    assert made.columns == want.columns and made.collect() == want.collect() and made.first()["applied"] == 3
+    # Before the join there is one row per key.
+    assert "Join" in made._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]
