@@ -22,6 +22,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ WINDOW, END_ID = 2048, 1
 SHARD_TOKENS = 1 << 19
 K1, B = 1.2, 0.75
 KNOWN_WORDS = 1 << 19
+#: New words that the library encodes as one text.
+WORDS_AT_ONCE = 1 << 8
 
 
 @lru_cache(maxsize=1)
@@ -65,6 +68,12 @@ class WordTokens:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        mark = getattr(self.library.model, "end_of_word_suffix", None)
+        self.closes: np.ndarray | None = None
+        if mark:
+            vocabulary = self.library.get_vocab()
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[k for token, k in vocabulary.items() if token.endswith(mark)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -100,18 +109,37 @@ class WordTokens:
         if len(self.keys) + len(distinct) > max(KNOWN_WORDS, 2 * len(distinct)):
             self.forget()
         at = np.searchsorted(self.keys, distinct)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
+        is_new = self.keys[np.minimum(at, len(self.keys) - 1)] != distinct if len(self.keys) else np.ones(len(distinct), bool)
+        new = np.flatnonzero(is_new)
         if len(new):
-            words = [small[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-            made = [e.ids for e in encode(words, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in made], np.int64)
+            made, sizes = self._ids_of(small, starts[new], ends[new])
             begins = len(self.ids) + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))))
+            self.ids = np.concatenate((self.ids, made))
             self.keys, self.starts, self.sizes = (np.insert(a, at[new], b) for a, b in ((self.keys, distinct[new]), (self.starts, begins), (self.sizes, sizes)))
-            at = np.searchsorted(self.keys, distinct)
+            at += np.cumsum(is_new) - is_new
         return at
 
+    def _ids_of(self, small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces, one piece after the other; their number per piece).
+
+        Pieces hold no white space, so the library parts a row of them, with spaces between, as they are. Where a piece ends
+        is told by its last id, which alone carries the vocabulary's end mark; without one, pieces are encoded one by one.
+        """
+        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        closing = np.cumsum(ends - starts + 1) - 1
+        spaced = small[np.minimum(ragged(starts, ends - starts + 1), len(small) - 1)]
+        spaced[closing] = 0x20
+        if self.closes is not None:
+            line = spaced.tobytes().decode("utf-32-le")
+            cuts = [0, *(closing[WORDS_AT_ONCE - 1 : -1 : WORDS_AT_ONCE] + 1).tolist(), len(line)]
+            made = [np.array(e.ids, np.uint32) for e in encode([line[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], add_special_tokens=False)]
+            flat = np.concatenate(made)
+            last = np.flatnonzero(self.closes[flat])
+            if len(last) == len(starts) and last[-1] == len(flat) - 1:
+                return flat, np.diff(last, prepend=-1)
+        each = [e.ids for e in encode([small[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.array([len(x) for x in each], np.int64)
+
 
 class Bm25Index:
     """Postings by token over the documents of a shard; a token in half of them or more has no weight."""
@@ -214,8 +242,8 @@ class Packer:
                 rest = left
                 continue
             scores = index.scores(seed.ids)
-            order = np.argsort(-scores, kind="stable")
-            order = order[unused[order]]
+            free = np.flatnonzero(unused)
+            order = free[np.argsort(-scores[free], kind="stable")]
             # Whole neighbours while they fit, best first; then the best one left is cut.
             while len(order) and self.used:
                 fitting = np.flatnonzero(sizes[order] <= self.window - self.used)

@@ -40,6 +40,28 @@ def test_word_ids_equal_the_library(libraries, texts):
     assert [x.tolist() for x in found] == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_are_encoded_in_rows(libraries, monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 4)
+    tokens, asked = packing.WordTokens(WORDS), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.append(len(texts))
+            return libraries[1].encode_batch_fast(texts, **options)
+
+        encode_batch = encode_batch_fast
+
+    tokens.library = Counting()
+    texts = ["it's the 'ställe' of l'été, athendingat's 12 !!", "", "lesoutioneaupa it's 12 ...' über"]
+    for closes in (tokens.closes, None):
+        tokens.closes = closes
+        tokens.forget()
+        found = tokens.encode(*utf8(pa.array(texts)))
+        assert [x.tolist() for x in found] == [libraries[1].encode(t, add_special_tokens=False).ids for t in texts]
+    rows, words = asked
+    assert rows == -(-words // 4)
+
+
 def test_count_of_odd_rows(docs, libraries):
     long = "antidisestablishment" * 5000
     texts = [(1, None), (2, ""), (3, long), (3, long), (None, "a b"), (5, "<|endoftext|>x" * 3)]
