@@ -86,6 +86,48 @@ def test_scans_are_pruned_and_filtered(small, tmp_path):
     assert "l_tax" not in scan and "l_returnflag" not in scan
 
 
+def lines_of(spark, folder, rows):
+    made = spark.createDataFrame(
+        rows,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz",
+    )
+    made.withColumn("l_shipdate", made["l_shipdate"].cast("timestamp")).write.parquet(f"{folder}/lineitem.parquet")
+    return Standins(spark, str(folder))
+
+
+def test_lines_are_sorted_once_for_bars_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+    from decimal import Decimal
+
+    from pitlab.standins import frames
+
+    day = datetime(1997, 3, 4)
+    # Lines of one key, a repeated line, a NULL key, a NULL price, and a group of the NULL supplier.
+    rows = [
+        (5, 2, 7, 1, 3.0, 30.0, 0.0, 0.0, "N", day), (4, 9, 7, 2, 26.0, 20.0, 0.1, 0.0, "N", day), (9, 1, 7, 1, 1.0, 10.0, 0.0, 0.0, "N", day), (9, 1, 7, 1, 1.0, 10.0, 0.0, 0.0, "N", day),
+        (None, 1, 8, 1, 2.0, 15.0, 0.0, 0.0, "N", day), (1, 1, 8, 1, 2.0, None, 0.0, 0.0, "N", day), (3, 3, None, 1, 2.0, 5.0, 0.0, 0.0, "N", None),
+    ]
+    tables = lines_of(spark, tmp_path, rows)
+    bars = {r["symbol"]: (r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in tables.build_bars().collect()}
+    price = lambda x: None if x is None else Decimal(x)
+    assert bars["S000007"] == (price(20), price(30), price(10), price(10), 31)
+    assert bars["S000008"] == (price(15), price(15), price(15), None, 4)
+    assert len(bars) == 3
+    monkeypatch.setattr(frames, "LINES_PER_TASK", 1)
+    text = plan(tables.build_bars())
+    # No folding, and so no sort, below the shuffle; a partition for each bound of lines.
+    assert "Aggregate" not in text.split("Exchange hashpartitioning")[1] and text.count("Exchange hashpartitioning") == 1
+    assert re.search(r"hashpartitioning\([^)]*, 7\)", text)
+
+
+def test_snapshots_are_derived_once(spark, tmp_path):
+    from datetime import datetime
+
+    tables = lines_of(spark, tmp_path, [(1, 1, 7, 1, 200.0, 30.0, 0.0, 0.0, "N", datetime(1997, month, 4)) for month in (1, 2)])
+    assert [(r["symbol"], str(r["start_date"]), r["end_date"]) for r in tables.memberships.collect()] == [("S000007", "1997-02-01", None)]
+    assert "lineitem" not in plan(tables.snapshots)
+
+
 def test_source_rules():
     banned = re.compile(r"crossJoin|localCheckpoint|toPandas|\.rdd\b|pandas_udf|@F\.udf")
     for path in (ROOT / "pitlab").rglob("*.py"):
