@@ -156,3 +156,26 @@ def test_audit_flags(spark, make_bars):
 def test_parse_snapshots_needs_columns(spark):
     with pytest.raises(ValueError, match="missing required columns"):
         parse_snapshots(spark.createDataFrame([("x",)], "date string"))
+
+
+def test_universe_as_of_takes_the_earliest_interval_without_a_shuffle_of_members(spark):
+    random.seed(5)
+    day = lambda k: None if k is None else date(2020, 1, 1) + timedelta(days=k)
+    rows = [("A", 0, 40), ("A", 0, None), ("A", 10, 20), ("B", 5, 5), ("B", 9, 3), ("B", 7, 30), ("B", 7, 30), ("B", 2, 12), ("C", None, 8), ("C", 3, 50), (None, 1, 9), (None, 4, 60), ("D", None, None)]
+    rows += [(random.choice("EFG"), random.choice([None, *range(90)]), random.choice([None, *range(90)])) for _ in range(60)]
+    members = spark.createDataFrame([(s, day(a), day(b)) for s, a, b in rows], "symbol string, start_date date, end_date date")
+    days = [0, 1, 5, 8, 9, 15, 31, 32, 45, 59, 60, 88, 120]
+    dates = spark.createDataFrame([(day(k),) for k in [*days, 5]], "as_of date")
+    want = set()
+    for k in days:
+        for symbol in {r[0] for r in rows}:
+            inside = [(a, b) for s, a, b in rows if s == symbol and (a is None or a <= k) and (b is None or k < b) and not (a is not None and b is not None and a >= b)]
+            if inside:
+                a, b = min(inside, key=lambda i: (i[0] is not None, i[0] or 0, i[1] is not None, i[1] or 0))
+                want.add((day(k), symbol, day(a), day(b)))
+    made = u.universe_as_of(members, dates)
+    found = list(map(tuple, made.collect()))
+    assert len(found) == len(want) and set(found) == want
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "as_of" not in "".join(line for line in text.splitlines() if "hashpartitioning" in line and "symbol" in line)
+    assert "SortAggregate" not in text
