@@ -36,6 +36,8 @@ FORMAT = "quoted_csv"
 RANGE_BYTES = 32 << 20
 _BATCH_ROWS = 1 << 14
 _BLOCK = 1 << 20
+#: Bytes that are parsed at once where nothing is quoted.
+_PLAIN_BYTES = 4 << 20
 
 
 def file_symbol(name: str) -> str:
@@ -150,32 +152,67 @@ def _to_record(lines: _Lines, quoted: bool) -> None:
             return
 
 
-def read_range(r: Range) -> Iterator[tuple[list[str], int, list[str]]]:
-    """(header, line, cells) of each record that starts in the range. Blank lines are none."""
-    fs, place = opened(r.path)
-    with fs.open_input_file(place) as file:
-        header_lines = _Lines(file, 0, 1)
-        header = _header(header_lines)
-        if r.start == 0:
-            lines = header_lines
-        else:
-            # From the byte before: a record may start with the range. That byte is a line's last or changes nothing but
-            # a quote, whose count belongs to the range before.
-            file.seek(r.start - 1)
-            before = file.read(1)
-            lines = _Lines(file, r.start - 1, r.line - (before == b"\n"))
-            _to_record(lines, r.quoted ^ (before == b'"'))
-        lines.quotes = 0
-        reader = csv.reader(lines)
-        while lines.place < r.stop:
-            line = lines.line
-            cells = next(reader, None)
-            if cells is None:
-                break
-            if len(cells) > 1 or (cells and cells[0].strip()):
-                yield header, line, cells
-        if lines.quotes % 2:
-            raise ValueError(f"{r.path}: a quote that opens after line {line} is not closed")
+def _at_first_record(file: pa.NativeFile, r: Range) -> tuple[list[str], _Lines]:
+    """The file's header, and its lines from the first record that starts in the range."""
+    header_lines = _Lines(file, 0, 1)
+    header = _header(header_lines)
+    if r.start == 0:
+        return header, header_lines
+    # From the byte before: a record may start with the range. That byte is a line's last or changes nothing but
+    # a quote, whose count belongs to the range before.
+    file.seek(r.start - 1)
+    before = file.read(1)
+    lines = _Lines(file, r.start - 1, r.line - (before == b"\n"))
+    _to_record(lines, r.quoted ^ (before == b'"'))
+    return header, lines
+
+
+def _records(lines: _Lines, r: Range) -> Iterator[tuple[int, list[str]]]:
+    """(line, cells) of each record from here to the end of the range. Blank lines are none."""
+    lines.quotes = 0
+    reader = csv.reader(lines)
+    while lines.place < r.stop:
+        line = lines.line
+        cells = next(reader, None)
+        if cells is None:
+            break
+        if len(cells) > 1 or (cells and cells[0].strip()):
+            yield line, cells
+    if lines.quotes % 2:
+        raise ValueError(f"{r.path}: a quote that opens after line {line} is not closed")
+
+
+def _plain_block(lines: _Lines, stop: int, width: int, places: list[int]) -> tuple[int, pa.Table] | None:
+    """(line of the first record, cells) of the next lines, parsed by Arrow; the place moves behind them.
+
+    None, and nothing moves, if they hold a quote or another thing that only ``csv`` reads as wanted: returns, zeros,
+    blank lines, cells that are missing or too many, cells beyond its limit, wrong letters.
+    """
+    lines.file.seek(lines.place)
+    parts = [lines.file.read(min(_PLAIN_BYTES, stop - lines.place))]
+    while parts[-1] and not parts[-1].endswith(b"\n"):
+        more = lines.file.read(1 << 16)
+        parts.append(more[: more.find(b"\n") + 1] or more)
+    data = b"".join(parts)
+    if width < 2 or data.startswith(b"\xef\xbb\xbf") or any(c in data for c in (b'"', b"\r", b"\0")) or max(map(len, data.split(b"\n"))) > csv.field_size_limit():
+        return None
+    names = [str(k) for k in range(width)]
+    try:
+        data.decode()  # also the cells that nobody asks for
+        table = pacsv.read_csv(
+            pa.BufferReader(data),
+            pacsv.ReadOptions(use_threads=False, block_size=len(data) + 1, column_names=names),
+            pacsv.ParseOptions(quote_char=False),
+            pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, null_values=[""], strings_can_be_null=True, include_columns=[names[k] for k in places]),
+        )
+    except (pa.ArrowInvalid, UnicodeDecodeError):
+        return None
+    breaks = data.count(b"\n") + (not data.endswith(b"\n"))
+    if table.num_rows != breaks:
+        return None
+    first = lines.line
+    lines.place, lines.line, lines.rest = lines.place + len(data), first + breaks, b""
+    return first, table
 
 
 class CsvReader(DataSourceReader):
@@ -259,26 +296,40 @@ class CsvReader(DataSourceReader):
 
     def read_rows(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
         for r in partition.ranges:
-            rows, numbers, places = [], [], None
-
-            def batch() -> pa.RecordBatch:
-                cells = [pa.array([(row[k] or None) if k < len(row) else None for row in rows], pa.string()) for k in places]
-                own = [pa.repeat(pa.scalar(r.path), len(rows)), pa.array(numbers, pa.int64()), pa.repeat(pa.scalar(r.symbol), len(rows))]
-                return pa.RecordBatch.from_arrays(cells + own, names=[*self.columns, "source", "row_number", "file_symbol"])
-
-            for header, line, cells in read_range(r):
-                if places is None:
-                    missing = sorted(set(self.columns) - set(header))
-                    if missing:
-                        raise ValueError(f"{r.path}: missing required columns {', '.join(missing)}")
-                    places = [header.index(c) for c in self.columns]
-                rows.append(cells)
-                numbers.append(line)
-                if len(rows) == _BATCH_ROWS:
-                    yield batch()
-                    rows, numbers = [], []
-            if rows:
-                yield batch()
+            fs, place = opened(r.path)
+            with fs.open_input_file(place) as file:
+                yield from self.read_cells(r, *_at_first_record(file, r))
+
+    def read_cells(self, r: Range, header: list[str], lines: _Lines) -> Iterator[pa.RecordBatch]:
+        """Lines without quotes are parsed in blocks; from the first block that is not plain, record by record."""
+        missing = sorted(set(self.columns) - set(header))
+        places = [header.index(c) for c in self.columns] if not missing else None
+
+        def batch(cells: list[pa.Array], numbers: pa.Array) -> pa.RecordBatch:
+            own = [pa.repeat(pa.scalar(r.path), len(numbers)), numbers, pa.repeat(pa.scalar(r.symbol), len(numbers))]
+            return pa.RecordBatch.from_arrays(cells + own, names=[*self.columns, "source", "row_number", "file_symbol"])
+
+        def listed_batch() -> pa.RecordBatch:
+            return batch([pa.array([(row[k] or None) if k < len(row) else None for row in rows], pa.string()) for k in places], pa.array(numbers, pa.int64()))
+
+        while places and lines.place < r.stop and (block := _plain_block(lines, r.stop, len(header), places)):
+            first, table = block
+            for part in table.combine_chunks().to_batches(max_chunksize=_BATCH_ROWS):
+                yield batch(part.columns, pa.array(range(first, first + part.num_rows), pa.int64()))
+                first += part.num_rows
+        lines.file.seek(lines.place)
+        lines.rest = b""
+        rows, numbers = [], []
+        for line, cells in _records(lines, r):
+            if missing:
+                raise ValueError(f"{r.path}: missing required columns {', '.join(missing)}")
+            rows.append(cells)
+            numbers.append(line)
+            if len(rows) == _BATCH_ROWS:
+                yield listed_batch()
+                rows, numbers = [], []
+        if rows:
+            yield listed_batch()
 
 
 @dataclass

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import json
 import random
 from datetime import date
 
@@ -114,3 +115,43 @@ def test_large_snapshot_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text("date,tickers\n" + '01/02/2020,"A,B\n' * 30 + '01/03/2020,"A')
     with pytest.raises(Exception, match="not closed"):
         u.read_snapshots(spark, str(tmp_path), range_bytes=100).collect()
+
+
+def test_plain_lines_are_parsed_in_blocks(tmp_path, monkeypatch):
+    lines = [f"{k},{'' if k % 7 == 0 else 'é' * (k % 5)}, x{k} ,{k}" for k in range(2000)]
+    odd = {700: "", 1200: '"two', 1201: 'lines",b,c,d', 1500: "short,row", 1700: "1,2,3,4,5"}
+    text = ["B, note ,A,c", *(odd.get(k, line) for k, line in enumerate(lines))]
+
+    def cells(name, content, width):
+        (tmp_path / name).write_text("\n".join(content) + "\n" * (width % 2), encoding="utf-8")
+        size = (tmp_path / name).stat().st_size
+        reader = csvfiles.CsvReader({"paths": json.dumps([str(tmp_path / name)]), "columns": json.dumps(["a", "b", "c"]), "range_bytes": str(width)})
+        breaks = (tmp_path / name).read_bytes()
+        reader.marks = {str(tmp_path / name): [[bool(breaks[:at].count(b'"') % 2), 1 + breaks[:at].count(b"\n")] for at in range(0, size, width)]}
+        return [tuple(row.values()) for part in reader.partitions() for made in reader.read(part) for row in made.to_pylist()]
+
+    fast = {(name, width): cells(name, content, width) for name, content in (("plain.csv", text[:600]), ("odd.csv", text)) for width in (999, 1 << 20)}
+    with monkeypatch.context() as only:
+        only.setattr(csvfiles, "_plain_block", lambda *_: None)
+        for (name, width), got in fast.items():
+            assert got == cells(name, text[:600] if name == "plain.csv" else text, width) and len(got) > 500, (name, width)
+    # Lines without quotes do not go through Python's reader.
+    monkeypatch.setattr(csvfiles, "_records", lambda *_: iter(()))
+    assert cells("plain.csv", text[:600], 1 << 20) == fast["plain.csv", 1 << 20]
+
+
+@pytest.mark.parametrize("content", ["a,b\n1,2\n\r\n3,4\r\n", "a,b\n1," + "x" * 200_000 + "\n", "a,b\n1,\xff\n", "a\n1\n \n2\n", "a,b\n", "a,b", "", "a,b\n1,2"])
+def test_plain_blocks_leave_other_lines_to_the_reader(tmp_path, monkeypatch, content):
+    path = tmp_path / "x.csv"
+    path.write_bytes(content.encode("latin-1"))
+    reader = csvfiles.CsvReader({"paths": json.dumps([str(path)]), "columns": json.dumps(["a"])})
+
+    def outcome():
+        try:
+            return [row for part in reader.partitions() for made in reader.read(part) for row in made.to_pylist()]
+        except Exception as problem:  # noqa: BLE001
+            return type(problem), str(problem)
+
+    fast = outcome()
+    monkeypatch.setattr(csvfiles, "_plain_block", lambda *_: None)
+    assert fast == outcome()
