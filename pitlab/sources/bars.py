@@ -20,6 +20,8 @@ from pitlab.sources import csvfiles
 NUMBERS = ("open", "high", "low", "close")
 # Fixed value: the UTC time of day given to a bar that only names its date.
 CLOSE_TIME = "14:30:00"
+#: Tasks that list the folders of a store, and the bytes that opening a file for its footer counts for.
+LISTING_TASKS, FOOTER_COST = 256, 1 << 18
 
 
 def parse_bars(raw: DataFrame, strict: bool = False, fatal: bool = True, carry: Sequence[str] = ()) -> DataFrame:
@@ -278,6 +280,9 @@ def stored_extents(spark: SparkSession, path: str) -> DataFrame:
     reader.conf.set("spark.sql.sources.useV1SourceList", ",".join(x for x in older if x.strip().lower() != "parquet"))
     reader.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     reader.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")  # a symbol such as 007 is a text
+    # Many small files: a task lists and reads some hundred of them, where Spark would take one and thirty.
+    reader.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(LISTING_TASKS))
+    reader.conf.set("spark.sql.files.openCostInBytes", str(FOOTER_COST))
     stored = reader.read.parquet(path)
     return stored.groupBy("symbol").agg(F.min("session").alias("first_date"), F.max("session").alias("last_date"), F.count(F.lit(1)).alias("bars"))
 

@@ -288,3 +288,13 @@ def test_extents_come_from_footers(spark, make_bars, tmp_path):
     assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
     # Frames of both sessions can be joined.
     assert bars.join(found, "symbol").count() == 44
+
+
+def test_extents_of_many_symbols_take_few_tasks(spark, tmp_path):
+    day = F.date_add(F.lit(date(2020, 1, 1)), (F.col("id") % 3).cast("int"))
+    bars = spark.range(900).select(F.format_string("S%03d", F.floor(F.col("id") / 3)).alias("symbol"), day.alias("session"))
+    b.write_by_symbol(bars, str(tmp_path / "store"))
+    found = b.stored_extents(spark, str(tmp_path / "store"))
+    # 300 files would be ten tasks if each counted as four megabytes.
+    assert found.rdd.getNumPartitions() <= 4 and found.count() == 300
+    assert set(map(tuple, found.drop("symbol").distinct().collect())) == {(date(2020, 1, 1), date(2020, 1, 3), 3)}
