@@ -90,14 +90,18 @@ def _tagged(parsed: DataFrame, existing: DataFrame, requests: DataFrame) -> tupl
     )
     todo = state.filter(~F.col("covered")).select("symbol", "start", "end")
     rows = parsed.join(todo, "symbol").filter(inside)
-    # One pass over the new rows: each task folds its rows of a stamp before the shuffle.
+    # One pass over the new rows: each task folds its rows of a stamp before the shuffle. The order's columns are part of
+    # the row, so the least row is the first one, and they are shuffled once and not beside it.
     valid = F.size("issues") == 0
+    order = ("source", "row_number")
     payload = [c for c in parsed.columns if c not in ("symbol", "ts", "issues")]
+    first = F.struct(*order, *(c for c in payload if c not in order))
     stamps = rows.groupBy("symbol", "ts").agg(
-        F.min_by(F.struct(*payload), F.when(valid, F.struct("source", "row_number"))).alias("_row"),
+        F.min(F.when(valid, first)).alias("_row"),
         F.count_if(valid).alias("_copies"),
         F.count_if(~valid).alias("_invalid"),
     )
+    stamps = stamps.withColumn("_row", F.struct(*(F.col(f"_row.{c}") for c in payload)))
     tagged = stamps.join(held.select("symbol", "ts", F.lit(True).alias("_old")), ["symbol", "ts"], "left")
     return state, tagged
 

@@ -88,11 +88,22 @@ _FIRST = {
 }
 
 
-def _feeds(s: Standins) -> tuple[DataFrame, DataFrame]:
-    """(stored, incoming): the returned feed is stored, the others arrive unchecked. The texts are parsed once, for both."""
+def _feeds(s: Standins, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, incoming): the returned feed is stored, the others arrive unchecked. The texts are parsed once, for both.
+
+    Of the stored bars only ``columns`` are given, if any are named; then no others are shuffled.
+    """
     tagged = materialize(parse_bars(s.raw_bars, fatal=False, carry=["feed"]), "parsed")
     good = tagged.filter((F.col("feed") == "R") & (F.size("issues") == 0)).drop("feed", "issues")
-    return dedupe_bars(good, ["source", "row_number"]), tagged.filter(F.col("feed") != "R").drop("feed")
+    order = ["source", "row_number"]
+    stored = dedupe_bars(good.select(*columns, *order) if columns else good, order)
+    return (stored.select(*columns) if columns else stored), tagged.filter(F.col("feed") != "R").drop("feed")
+
+
+def _stock(s: Standins) -> tuple[DataFrame, DataFrame]:
+    """``_feeds`` for imports, which read the stored bars more than once, but only their keys and sessions: these are written."""
+    stored, incoming = _feeds(s, "symbol", "ts", "session")
+    return materialize(stored, "stored-keys"), incoming
 
 
 def _checked(rows: DataFrame) -> DataFrame:
@@ -133,13 +144,13 @@ _REQUESTS = {
 
 
 def _import(s: Standins, strict: bool) -> DataFrame:
-    stored, incoming = _feeds(s)
+    stored, incoming = _stock(s)
     return imports.import_bars(incoming, stored, _requests(s), strict=strict)[1]
 
 
 def _stored_import(s: Standins) -> DataFrame:
     """New bars as they are stored, with the count that was observed while they were written."""
-    stored, incoming = _feeds(s)
+    stored, incoming = _stock(s)
     path = _folder(s, "imported")
     _, seen = imports.store_import(incoming, stored, _requests(s), path)
     back = s.spark.read.parquet(path)
