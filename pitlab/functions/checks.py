@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def issues(rules: list[tuple[Column, str]]) -> Column:
     return F.filter(found, lambda m: m.isNotNull())
 
 
+def breaks(rules: list[tuple[Column, str]]) -> Column:
+    """Whether any condition is true: what ``issues`` would find, without its texts."""
+    return F.coalesce(reduce(lambda a, b: a | b, (cond for cond, _ in rules)), F.lit(False))
+
+
 def bar_rules(naive: Column | None = None) -> list[tuple[Column, str]]:
     c = F.col
     rules = [(F.coalesce(F.trim(c("symbol")), F.lit("")) == "", "symbol must not be empty")]

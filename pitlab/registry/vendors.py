@@ -214,11 +214,12 @@ def _gates_that_fail(s: Standins) -> DataFrame:
     verdicts, mapped = materialize(_verdicts(s), "verdicts"), materialize(mappings(s), "mappings")
     live = (F.col("identity_source") == "current_ticker") & F.col("ticker").endswith("8")
     none = universe_as_of(s.memberships.filter("false"), s.rebalances)
+    staged, asked = materialize(_staged(s), "staged"), materialize(_asked(s), "asked")
     flat = s.bars.withColumn("adjusted_close", F.col("close"))
     bad = flat.withColumn("low", F.when(F.col("symbol").endswith("4"), F.lit(0).cast("decimal(18,6)")).otherwise(F.col("low")))
     cases = {
-        "foreign": v.occupancy_gates(mapped.withColumn("contaminated", live), _staged(s), _asked(s), START, END, WINDOW).filter("gate = 'U1'"),
-        "untried": v.occupancy_gates(mapped, _staged(s), _asked(s), START, END, WINDOW, expected_tickers=1_000_000_000).filter("gate = 'U1'"),
+        "foreign": v.occupancy_gates(mapped.withColumn("contaminated", live), staged, asked, START, END, WINDOW).filter("gate = 'U1'"),
+        "untried": v.occupancy_gates(mapped, staged, asked, START, END, WINDOW, expected_tickers=1_000_000_000).filter("gate = 'U1'"),
         "unadjusted": v.series_gates(flat, flat),
         "bad bars": v.series_gates(bad, flat),
         "no raw": v.series_gates(flat, flat.filter("false")),
