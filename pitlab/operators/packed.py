@@ -1,0 +1,214 @@
+"""Series of portfolios over sessions, made and measured block by block inside a task.
+
+A portfolio's sessions follow one another on the calendar, from its first one on. As rows they would be sorted and windowed
+by every step; here a step is some numpy calls on a block of portfolios, and only what is asked for leaves the task. Spark
+partitions and sorts what goes in.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from datetime import date
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+#: Values of a block, at least one portfolio's.
+BLOCK_VALUES = 2**16
+_MILLION, _PARTS, _WHOLE = 10**6, 10**4, 10**10
+#: Sums below this are kept as whole numbers of 64 bits.
+_SAFE = 2**62
+
+MEASURES = "portfolio_id long, sessions long, first_session date, last_session date, final_equity double, _sd double, _mean double, _n long, max_drawdown double, _capital double"
+ROWS = "portfolio_id long, session date, equity double, returns double, drawdown double"
+_ARROW = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.DateType(): pa.date32()}
+
+
+@dataclass(frozen=True)
+class Block:
+    """Portfolios of one batch: the calendar position each begins at, where its values lie, and the values."""
+
+    keys: list[int | None]
+    first: list[int]
+    places: list[tuple[int, int]]
+    equity: np.ndarray
+    returns: np.ndarray | None = None
+    drawdown: np.ndarray | None = None
+    capital: float | None = None
+
+
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[Block]]
+
+
+@dataclass(frozen=True)
+class Series:
+    """A lazy table of blocks: the rows they are read from, the steps over them, and the calendar's sessions by position."""
+
+    rows: DataFrame
+    read: Read
+    sessions: dict[int, date]
+    steps: tuple[Callable[[Block], Block], ...] = ()
+
+    def then(self, step: Callable[[Block], Block]) -> Series:
+        return replace(self, steps=(*self.steps, step))
+
+    def give(self, columns: Callable[[Block], list], schema: str) -> DataFrame:
+        """Rows of each block, as columns of values."""
+        kinds = T.StructType.fromDDL(schema)
+        arrow = pa.schema([(f.name, _ARROW[f.dataType]) for f in kinds])
+        read, steps = self.read, self.steps
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in read(batches):
+                values = columns(reduce(lambda b, step: step(b), steps, block))
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type, from_pandas=False) for v, f in zip(values, arrow)], schema=arrow)
+
+        return self.rows.mapInArrow(run, kinds)
+
+
+def _block(done: list[tuple[int | None, int, np.ndarray]]) -> Block:
+    keys, first, values = zip(*done)
+    ends = np.cumsum([len(v) for v in values]).tolist()
+    return Block(list(keys), list(first), list(zip([0, *ends[:-1]], ends)), np.concatenate(values))
+
+
+def mark_table(marks: DataFrame, beyond: int) -> tuple[pa.Array, np.ndarray]:
+    """Names of symbols, and (symbol, calendar position) -> mark from each bar's position until the next, 0 where there is none.
+
+    ``marks``: symbol, _i, _until, _mark in millionths. The table goes to every task, so the caller bounds it.
+    """
+    found = marks.select("symbol", "_i", "_until", "_mark").orderBy("symbol", "_i").toArrow()
+    coded = found["symbol"].combine_chunks().dictionary_encode()
+    table = np.zeros((len(coded.dictionary), beyond), dtype=np.int64)
+    for s, a, b, m in zip(coded.indices.to_pylist(), *(found[c].to_pylist() for c in ("_i", "_until", "_mark"))):
+        table[s, a:b] = m
+    return coded.dictionary, table
+
+
+class _Account:
+    """One portfolio's worth on every session while its spans stream by."""
+
+    def __init__(self, key: int | None, beyond: int):
+        self.key, self.worth, self.bound, self.cash = key, np.zeros(beyond, dtype=np.int64), 0, []
+
+    def hold(self, marks: np.ndarray, quantity: int, begin: int, end: int, dearest: int) -> None:
+        self.bound += abs(quantity) * dearest
+        marks = marks[begin:end]
+        if self.bound >= _SAFE:
+            self.worth, marks = self.worth.astype(object), marks.astype(object)
+        self.worth[begin:end] += marks * quantity
+
+    def equity(self) -> tuple[int, np.ndarray]:
+        """From the first cash on. Cash is whole units and 10^-10ths, so a sum is rounded to a double once."""
+        first, lengths = self.cash[0][0], np.diff([c[0] for c in self.cash], append=len(self.worth))
+        whole, rest = (np.repeat(np.array(c, dtype=np.int64), lengths) for c in ([c[1] for c in self.cash], [c[2] for c in self.cash]))
+        worth = self.worth[first:]
+        if worth.dtype == object:
+            return first, np.array([n / _WHOLE for n in whole.astype(object) * _WHOLE + rest + worth * _PARTS], dtype=np.float64)
+        units = worth // _MILLION
+        return first, (whole + units) + (rest + (worth - units * _MILLION) * _PARTS) / _WHOLE
+
+
+def equity_of_spans(spans: DataFrame, marks: DataFrame, sessions: dict[int, date]) -> Series:
+    """Equity of spans that come sorted by portfolio, begin and cash.
+
+    ``spans``: portfolio_id, symbol, quantity, _whole, _rest, _from, _to; a span without a symbol is cash, and the greatest of a
+    day counts. Only one portfolio's values are held at a time, and a block's.
+    """
+    beyond = max(sessions) + 1
+    names, table = mark_table(marks, beyond)
+    dearest = int(np.abs(table).max()) if table.size else 0
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        done: list[tuple] = []
+        size, account = 0, None
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            number = lambda c: column(c).fill_null(0).to_numpy().tolist()
+            keys, is_cash = column("portfolio_id").to_pylist(), column("_whole").is_valid().to_pylist()
+            which = pc.index_in(column("symbol"), value_set=names).fill_null(-1).to_numpy().tolist()
+            for key, cash, symbol, quantity, whole, rest, begin, end in zip(keys, is_cash, which, *map(number, ("quantity", "_whole", "_rest", "_from", "_to"))):
+                if account is None or key != account.key:
+                    # Positions without any cash have no equity.
+                    if account and account.cash:
+                        done.append((account.key, *account.equity()))
+                        size += len(done[-1][2])
+                    if size >= BLOCK_VALUES:
+                        yield _block(done)
+                        done, size = [], 0
+                    account = _Account(key, beyond)
+                if cash:
+                    account.cash.append((begin, whole, rest))
+                elif symbol >= 0:
+                    account.hold(table[symbol], quantity, begin, end, dearest)
+        if account and account.cash:
+            done.append((account.key, *account.equity()))
+        if done:
+            yield _block(done)
+
+    return Series(spans, read, sessions)
+
+
+def equity_of_lists(lists: DataFrame, sessions: dict[int, date]) -> Series:
+    """Equity of rows with arrays: portfolio_id, first (a calendar position), equity."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+        for batch in batches:
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("portfolio_id", "first"))
+            equity = batch.column(batch.schema.get_field_index("equity"))
+            for key, first, values in zip(*columns, equity):
+                yield _block([(key, first, values.values.to_numpy())])
+
+    return Series(lists, read, sessions)
+
+
+def curve_of(series: Series, capital: float) -> Series:
+    """Returns and drawdown beside equity, as ``equity_curve`` gives them for rows."""
+
+    def step(b: Block) -> Block:
+        returns, peak = np.zeros_like(b.equity), np.empty_like(b.equity)
+        sound = b.equity[:-1] != 0
+        np.divide(b.equity[1:], b.equity[:-1], out=returns[1:], where=sound)
+        np.subtract(returns[1:], 1, out=returns[1:], where=sound)
+        for a, z in b.places:
+            returns[a] = 0
+            np.maximum.accumulate(b.equity[a:z], out=peak[a:z])
+        np.maximum(peak, capital, out=peak)
+        drawdown = np.divide(b.equity, peak, out=np.ones_like(peak), where=peak > 0) - 1
+        return replace(b, returns=returns, drawdown=drawdown, capital=capital)
+
+    return series.then(step)
+
+
+def measures_of(curve: Series) -> DataFrame:
+    """The aggregates that ``performance_metrics`` takes of rows, a row per portfolio."""
+    sessions = curve.sessions
+
+    def columns(b: Block) -> list:
+        later = [b.returns[a + 1 : z] for a, z in b.places]
+        count = [len(x) for x in later]
+        return [
+            b.keys, [n + 1 for n in count], [sessions[f] for f in b.first], [sessions[f + n] for f, n in zip(b.first, count)], [b.equity[z - 1] for _, z in b.places],
+            [x.std(ddof=1) if n > 1 else None for x, n in zip(later, count)], [x.mean() if n else None for x, n in zip(later, count)], count,
+            [b.drawdown[a:z].min() for a, z in b.places], [b.capital] * len(count),
+        ]
+
+    return curve.give(columns, MEASURES)
+
+
+def rows_of(curve: Series) -> DataFrame:
+    """Curves as rows: portfolio_id, session, equity, returns, drawdown."""
+    origin = min(curve.sessions)
+    days = np.array([curve.sessions[i] for i in sorted(curve.sessions)], dtype="datetime64[D]")
+
+    def columns(b: Block) -> list:
+        lengths = [z - a for a, z in b.places]
+        keys = pa.array(b.keys, pa.int64()).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+        return [keys, np.concatenate([days[f - origin : f - origin + n] for f, n in zip(b.first, lengths)]), b.equity, b.returns, b.drawdown]
+
+    return curve.give(columns, ROWS)

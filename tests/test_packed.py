@@ -1,0 +1,73 @@
+"""Equity and its measures as packed series, against rows."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from pitlab.operators.calendars import trading_calendar
+from pitlab.operators.packed import rows_of
+from pitlab.params import LedgerParams
+from pitlab.plans import ledger as l
+from pitlab.plans import performance as perf
+
+DAY = date(2020, 1, 1)
+ORDER = "portfolio_id long, order_id string, position_key string, session date, side string, quantity long, market_price decimal(18,6)"
+
+
+def drawn_book(spark):
+    drawn = random.Random(4)
+    days = sorted(drawn.sample(range(90), 60))
+    bars = [(k, d, drawn.randint(500, 9000)) for k, a, z in (("A", 0, 90), ("B", 10, 40), ("C", 50, 70)) for d in days if a <= d < z and drawn.random() < 0.5]
+    calendar = trading_calendar(spark.createDataFrame([(DAY + timedelta(days=d),) for d in days], "session date"))
+    rows = []
+    for n in range(300):
+        d = drawn.choice(days)
+        rows.append((drawn.choice([1, 2, 3, 4, None]), f"o{n}", drawn.choice(["A", "B", "C", "GONE"]), DAY + timedelta(days=d), drawn.choice(["BUY", "BUY", "SELL"]), drawn.randint(1, 5), Decimal(drawn.randint(500, 9000)) / 100))
+    rows += [(7, "late", "A", DAY + timedelta(days=days[-1]), "BUY", 1, Decimal(9)), (8, "no", "A", DAY + timedelta(days=days[3]), "SELL", 1, Decimal(9))]
+    closes = spark.createDataFrame([(k, DAY + timedelta(days=d), Decimal(c) / 100) for k, d, c in bars], "symbol string, session date, close decimal(18,6)")
+    return l.replay_ledger(spark.createDataFrame(rows, ORDER), LedgerParams(initial_cash=Decimal(900))), closes, calendar
+
+
+@pytest.mark.parametrize(("factor", "cells"), [(1, 2**22), (10**11, 2**22), (1, 0)])
+def test_packed_equity_and_measures_equal_those_of_rows(spark, monkeypatch, factor, cells):
+    monkeypatch.setattr(l, "MARK_CELLS", cells)
+    book, bars, calendar = drawn_book(spark)
+    held = l.position_history(book).withColumn("quantity", F.col("quantity") * factor)
+    cash = l.cash_history(book)
+    nav = l.nav(l.mark_positions(held, bars, calendar), cash, calendar).filter("portfolio_id IS NOT NULL")
+    curve = perf.equity_curve(nav, 900)
+    made = perf.equity_curve(l.equity_of_positions(held, cash, bars, calendar, packed=True), 900)
+    rows = {(r["portfolio_id"], r["session"]): r for r in rows_of(made).filter("portfolio_id IS NOT NULL").collect()}
+    want = curve.collect()
+    assert len(rows) == len(want) > 200 and {p for p, _ in rows} == {1, 2, 3, 4, 7, 8}
+    for r in want:
+        got = rows[r["portfolio_id"], r["session"]]
+        assert got["equity"] == float(r["equity"])
+        assert (got["returns"], got["drawdown"]) == pytest.approx((r["returns"], r["drawdown"]), abs=1e-12)
+    measures = {r["portfolio_id"]: r for r in perf.performance_metrics(made, 900).collect()}
+    for r in perf.performance_metrics(curve, 900).collect():
+        assert tuple(measures[r["portfolio_id"]]) == pytest.approx(tuple(r), rel=1e-9, abs=1e-9)
+    # A missing portfolio has cash and no positions.
+    assert {r["equity"] for r in rows_of(made).filter("portfolio_id IS NULL").collect()} == {float(r["cash"]) for r in l.nav(l.mark_positions(held.limit(0), bars, calendar), cash, calendar).filter("portfolio_id IS NULL").collect()}
+
+
+def test_packed_equity_sorts_spans_and_no_sessions(spark):
+    """Once spans are shuffled and sorted no step sorts or windows a row per session."""
+    book, bars, calendar = drawn_book(spark)
+    made = perf.equity_curve(l.equity_of_positions(l.position_history(book), l.cash_history(book), bars, calendar, packed=True), 900)
+    plan = perf.performance_metrics(made, 900)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_orders_of_a_portfolio_are_numbered_across_chunks(spark):
+    rows = [(p, f"o{n}", "A", DAY + timedelta(days=n // 3), "BUY", 1, Decimal(1)) for p in (1, 2) for n in range(9)]
+    for chunk in (100, 4):
+        book = l.replay_ledger(spark.createDataFrame(rows, ORDER), LedgerParams(initial_cash=Decimal(900)), chunk_rows=chunk)
+        assert sorted((r["portfolio_id"], r["order_id"], r["sequence"]) for r in book.collect()) == [(p, f"o{n}", n + 1) for p in (1, 2) for n in range(9)]
+        by_number = l.cash_history(book, ("session", "sequence")).collect()
+        assert sorted(map(tuple, by_number), key=str) == sorted(map(tuple, l.cash_history(book).collect()), key=str) and len(by_number) == 6
