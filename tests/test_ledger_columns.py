@@ -33,13 +33,16 @@ def test_the_book_needs_no_written_tape(spark, tmp_path):
         (1, 1, 5, 11, 3.0, 100.0, 0.05, "N"), (1, 2, 5, 21, 4.0, 200.0, 0.0, "N"), (2, 2, 5, 1, 1.0, 150.0, 0.02, "R"), (3, 1, 6, 2, 2.0, 60.0, 0.01, "R"),
     ]
     spark.createDataFrame(
-        [(*x, datetime(1996, 1, x[0])) for x in lines],
-        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_shipdate timestamp",
+        [(*x, datetime(1996, 1, x[0]), 0.05) for x in lines],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_shipdate timestamp, l_discount double",
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(1, 7), (2, 7), (3, None)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     s = frames.Standins(spark, str(tmp_path))
     got = execution._book(s, "sequence", "status", "side")
     assert got.columns == ["portfolio_id", "sequence", "status", "side"]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(None, 1, "REJECTED", "SELL"), (7, 1, "FILLED", "BUY"), (7, 2, "REJECTED", "BUY"), (7, 3, "REJECTED", "SELL")]))
-    assert "orders" not in {name for _, folder, name in frames._WRITTEN if folder == str(tmp_path)}
     assert execution.ledger(s).count() == 4
+    measures = {r["portfolio_id"]: (r["sessions"], r["final_equity"]) for r in execution._metrics(s).collect()}
+    assert measures == {None: (1, 2000000.0), 7: (3, 1999899.85)}
+    # Neither the tape nor the bars of names that nobody holds are written for them.
+    assert {name for _, folder, name in frames._WRITTEN if folder == str(tmp_path)} <= {"calendar"}
