@@ -46,3 +46,12 @@ def test_the_book_needs_no_written_tape(spark, tmp_path):
     assert measures == {None: (1, 2000000.0), 7: (3, 1999899.85)}
     # Neither the tape nor the bars of names that nobody holds are written for them.
     assert {name for _, folder, name in frames._WRITTEN if folder == str(tmp_path)} <= {"calendar"}
+
+
+def test_orders_of_a_portfolio_are_numbered_across_chunks(spark):
+    rows = [(p, f"o{n}", "A", date(2020, 1, 1 + n // 3), "BUY", 1, D(1)) for p in (1, 2) for n in range(9)]
+    for chunk in (100, 4):
+        book = l.replay_ledger(spark.createDataFrame(rows, "portfolio_id long, order_id string, position_key string, session date, side string, quantity long, market_price decimal(18,6)"), LedgerParams(initial_cash=D(900)), chunk_rows=chunk)
+        assert sorted((r["portfolio_id"], r["order_id"], r["sequence"]) for r in book.collect()) == [(p, f"o{n}", n + 1) for p in (1, 2) for n in range(9)]
+        by_number = l.cash_history(book, ("session", "sequence")).collect()
+        assert sorted(map(tuple, by_number), key=str) == sorted(map(tuple, l.cash_history(book).collect()), key=str) and len(by_number) == 6
